@@ -1,0 +1,260 @@
+"""Personal data by weak supervision.
+
+Candidate spans are the base matches of four kinds (email, ip, card, phone), which are always kept, and looser
+ones: phones without a plus, written-out emails, grouped identity numbers and names after a title. Labelers of
+three sorts vote on each (yes, no or nothing): regular expressions on its form, gazetteers (top-level domains,
+card prefixes, area codes, given names) and its context. Vote patterns are counted over all documents; their
+number is bounded by the labelers. Expectation-maximisation on these counts estimates how reliable every labeler
+is and how likely each pattern is personal data; a logistic span classifier is then trained on the counts with these
+as soft labels. Looser spans that it accepts are added.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import small_batches, written
+
+KINDS = ("email", "ip", "card", "phone", "name", "id")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# the lookbehind only skips starts inside a run of digits, which fail wherever the run's start has failed
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LOOSE = (
+    ("phone", re.compile(r"(?<![\w+.-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
+    ("email", re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z]{2,24}){1,4}\b")),
+    ("id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?\b")),
+)
+_DIGITS = re.compile(r"[0-9]+")
+_TLDS = frozenset("com org net edu gov io de fr es uk eu info biz co us".split())
+_NAMES = frozenset("anna carlos claire david elena emma hans james jean john jose juan julia laura marie maria martin mary michael paul peter pierre sarah sofia thomas".split())
+_CUE = {
+    "email": re.compile(r"e-?mail|contact|write to|@", re.I),
+    "phone": re.compile(r"phone|tel|call|mobile|fax|t[ée]l|anruf", re.I),
+    "card": re.compile(r"card|visa|credit|karte|carte|tarjeta", re.I),
+    "ip": re.compile(r"\bip\b|address|host|server", re.I),
+    "name": re.compile(r"name|signed|contact|dear", re.I),
+    "id": re.compile(r"ssn|social|security|id\b|passport", re.I),
+}
+LABELERS = ("form", "check", "gazetteer", "cue", "company", "edges")
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Base matches by start, then kind; places are code points, ends exclusive."""
+    out = []
+    at, free = text.find("@"), 0
+    while at >= 0:
+        run = text[free:at]
+        start = free + len(run.rstrip(_LOCAL))
+        free = at + 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append(("email", start, m.end()))
+            free = m.end()
+        at = text.find("@", free)
+    for m in _IP.finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in _CARD.finditer(text):
+        digits = m.group().replace(" ", "").replace("-", "")
+        if 14 <= len(digits) <= 19 and _luhn(digits):
+            out.append(("card", *m.span()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 10 <= sum(c in "0123456789" for c in m.group()) <= 15:
+                out.append(("phone", *m.span()))
+    return sorted(out, key=_by_place)
+
+
+def _by_place(span):
+    return span[1], KINDS.index(span[0])
+
+
+def candidate_spans(text: str) -> list[tuple[str, int, int, bool]]:
+    """Base matches (True) and looser spans that overlap none of them (False)."""
+    base = base_spans(text)
+    out = [(*s, True) for s in base]
+    if "-" in text or "." in text or "(" in text or "[" in text:
+        for kind, pattern in _LOOSE:
+            if kind in ("phone", "id") and not _DIGITS.search(text):
+                continue
+            for m in pattern.finditer(text):
+                if not any(a < m.end() and m.start() < b for _, a, b, _ in out):
+                    out.append((kind, *m.span(), False))
+    return sorted(out, key=_by_place)
+
+
+def votes(text: str, kind: str, start: int, end: int, spans) -> tuple[int, ...]:
+    """1 yes, -1 no, 0 nothing, by labeler."""
+    found, left = text[start:end], text[max(0, start - 32) : start]
+    digits = "".join(_DIGITS.findall(found))
+    form = {"email": bool(re.search(r"[A-Za-z]", found[:2])), "phone": len(digits) in (10, 11, 12), "card": len(digits) in (15, 16), "ip": not found.startswith("0"), "name": found.count(" ") == 2, "id": digits[:3] not in ("000", "666")}[kind]
+    check = {"email": 0, "ip": 1 if all(int(p[-4:]) <= 255 for p in _DIGITS.findall(found)) else -1, "card": 1 if _luhn(digits) else -1, "phone": 1 if len(set(digits)) > 3 else -1, "name": 0, "id": 1 if digits[3:5] != "00" and digits[5:] != "0000" else -1}[kind]
+    word = found.rpartition(".")[2].strip(" ])").lower()
+    listed = {"email": 1 if word in _TLDS else -1, "ip": -1 if found.startswith(("127.", "0.", "255.")) else 0, "card": 1 if found[:1] in "3456" else -1, "phone": 1 if digits[-7:-4] == "555" or found.startswith("+") else 0, "name": 1 if any(w.lower() in _NAMES for w in found.split()) else 0, "id": 0}[kind]
+    cue = 1 if _CUE[kind].search(left) else 0
+    company = 1 if any((a, b) != (start, end) and a < end + 80 and start - 80 < b for _, a, b, *_ in spans) else 0
+    glued = (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "-_/=")) or (end < len(text) and (text[end].isalnum() or text[end] in "-_/="))
+    return (1 if form else -1, check, listed, cue, company, -1 if glued else 1)
+
+
+def estimate_reliabilities(patterns: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """EM on counted vote patterns: (posterior of each pattern, P(vote | class) as [class][labeler][vote + 1], prior).
+
+    Starts from the majority of votes; every estimate is smoothed by one count."""
+    keys = sorted(patterns)
+    if not keys:
+        return {}, np.full((2, len(LABELERS), 3), 1 / 3), 0.5
+    n = np.array([patterns[k] for k in keys], float)
+    v = np.array([k[-len(LABELERS) :] for k in keys]) + 1
+    p = 1 / (1 + np.exp(-(v - 1).sum(axis=1).astype(float)))
+    for _ in range(rounds):
+        prior = float(np.clip((n * p).sum() / n.sum(), 0.05, 0.95))
+        rates = np.empty((2, v.shape[1], 3))
+        for c, w in ((0, n * (1 - p)), (1, n * p)):
+            for j in range(v.shape[1]):
+                rates[c, j] = np.bincount(v[:, j], w, 3) + 1
+        rates /= rates.sum(axis=2, keepdims=True)
+        log = [np.log(rates[c][np.arange(v.shape[1]), v]).sum(axis=1) for c in (0, 1)]
+        new = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log((1 - prior) / prior), -30, 30)))
+        done = np.abs(new - p).max() < 1e-9
+        p = new
+        if done:
+            break
+    return dict(zip(keys, p.tolist())), rates, prior
+
+
+def _features(key: tuple) -> np.ndarray:
+    kind, size, *v = key
+    one_hot = np.zeros(len(KINDS) + 4 + 3 * len(LABELERS) + 1)
+    one_hot[KINDS.index(kind)] = one_hot[len(KINDS) + size] = one_hot[-1] = 1
+    for j, x in enumerate(v):
+        one_hot[len(KINDS) + 4 + 3 * j + x + 1] = 1
+    return one_hot
+
+
+def train_classifier(patterns: dict[tuple, int], posterior: dict[tuple, float], rounds: int = 200, decay: float = 1e-3) -> np.ndarray:
+    """Logistic weights on counted patterns with soft labels, by gradient descent."""
+    keys = sorted(patterns)
+    if not keys:
+        return np.zeros(len(_features(("email", 0, *[0] * len(LABELERS)))))
+    x, y = np.array([_features(k) for k in keys]), np.array([posterior[k] for k in keys])
+    n = np.array([patterns[k] for k in keys], float)
+    n /= n.sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= 2.0 * (x.T @ (n * (p - y)) + decay * w)
+    return w
+
+
+def _pattern(text, kind, start, end, spans) -> tuple:
+    return (kind, min(3, (end - start) // 8), *votes(text, kind, start, end, spans))
+
+
+_CANDIDATES = "array<struct<kind:string,start:int,end:int,base:boolean,pattern:string>>"
+
+
+def find_candidates(docs: DataFrame) -> DataFrame:
+    """doc_id and its candidate spans with their vote patterns, for every whole text (null: empty)."""
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())])
+    small_batches(docs.sparkSession)
+
+    def find(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                spans = candidate_spans(text) if text else []
+                out.append([{"kind": k, "start": a, "end": b, "base": base, "pattern": ",".join(map(str, _pattern(text, k, a, b, spans)))} for k, a, b, base in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["doc_id", "candidates"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, f"doc_id long, candidates {_CANDIDATES}")
+
+
+def _key(pattern: str) -> tuple:
+    kind, *rest = pattern.split(",")
+    return (kind, *map(int, rest))
+
+
+def fit(candidates: DataFrame) -> np.ndarray:
+    """The span classifier's weights, from the counts of vote patterns over all candidates. Patterns are bounded by
+    kinds, length classes and votes, not by the input."""
+    rows = candidates.select(F.explode("candidates.pattern").alias("pattern")).groupBy("pattern").count().collect()
+    patterns = {_key(r["pattern"]): r["count"] for r in rows}
+    posterior, _, _ = estimate_reliabilities(patterns)
+    return train_classifier(patterns, posterior)
+
+
+def accepted(weights: np.ndarray, key: tuple, least: float = 0.9) -> bool:
+    return bool(1 / (1 + np.exp(-_features(key) @ weights)) >= least)
+
+
+def personal_data(docs: DataFrame, least: float = 0.9) -> DataFrame:
+    """doc_id, base (base spans) and spans (base and accepted ones): each `kind:start:end`, comma-joined by start, then
+    kind; counts of base spans by kind as n_<kind>; base_sha256.
+
+    Null and empty texts have no spans. Repeated rows and null ids give a row each; other columns are ignored; an
+    empty table gives no rows and an untrained classifier."""
+    found = written(find_candidates(docs), "candidates")
+    weights = fit(found)
+
+    def decide(batches):
+        known: dict = {}
+        for batch in batches:
+            base, every, counts = [], [], []
+            for spans in batch.column(1).to_pylist():
+                for s in spans:
+                    if s["pattern"] not in known:
+                        known[s["pattern"]] = accepted(weights, _key(s["pattern"]), least)
+                text = lambda chosen: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in chosen)
+                own = [s for s in spans if s["base"]]
+                base.append(text(own))
+                every.append(text([s for s in spans if s["base"] or known[s["pattern"]]]))
+                counts.append([sum(s["kind"] == k for s in own) for k in KINDS[:4]])
+            n = list(zip(*counts)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()), pa.array(every, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+
+    return found.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def redact_text(text: str, spans) -> str:
+    """Each span (kind, start, end) becomes [KIND]; of overlapping ones the first names the whole."""
+    out, done = [], 0
+    for kind, start, end in sorted(spans, key=_by_place):
+        if start >= done:
+            out += [text[done:start], f"[{kind.upper()}]"]
+        done = max(done, end)
+    return "".join(out) + text[done:]
+
+
+def redact(docs: DataFrame, least: float = 0.9) -> DataFrame:
+    """docs with every span of their texts replaced; null texts stay null, other columns stay as they are."""
+    weights = fit(written(find_candidates(docs), "candidates"))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def clean(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                spans = candidate_spans(text) if text else []
+                chosen = [(k, a, b) for k, a, b, base in spans if base or accepted(weights, _pattern(text, k, a, b, spans), least)]
+                out.append(redact_text(text, chosen) if chosen else text)
+            yield batch.set_column(at, batch.schema.names[at], pa.array(out, pa.string()))
+
+    return docs.mapInArrow(clean, docs.schema)
