@@ -14,8 +14,8 @@ from array import array
 
 #: Longer pieces are encoded without being remembered.
 LONG = 64
-#: Pieces a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 1_000_000
+#: Pieces in a generation of a worker's memory.
+REMEMBERED = 600_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -46,12 +46,20 @@ def _bytes(ids) -> bytes:
 
 
 class _Memory(dict):
+    """What was encoded lately: when it is full, it becomes the older generation, whose pieces come back when
+    they are met again."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -88,9 +96,6 @@ class ByteLevelCoder:
         return self._split(piece, self.bare) or self._raw(piece)
 
     def encode(self, text: str) -> bytes:
-        if len(self.led) + len(self.bare) > REMEMBERED:
-            self.led.clear()
-            self.bare.clear()
         units = pieces(text)
         if len(units) == 1:
             return self.bare[text] if text else b""
@@ -117,8 +122,6 @@ class WordCoder:
     def encode(self, text: str) -> bytes:
         if _UNUSUAL.search(text) or "<|" in text:
             return self._raw(text)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
