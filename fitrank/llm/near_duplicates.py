@@ -4,7 +4,9 @@ Texts of one shingle set are one class; only its smallest document goes on. Band
 similar classes into common buckets (at the threshold all bands miss a pair with probability below 1e-6).
 The samples are also folded into a parity bitmap: the XOR of two bitmaps has a bit for each sample that
 differs, so its population count estimates high similarities closely. Candidates whose estimate lies
-`slack` standard deviations below the threshold are left out; the others are confirmed on full sets.
+`slack` standard deviations below the threshold are left out. A second, larger bitmap holds the parity of whole
+sets: its XOR never has more bits than the sets have differing shingles, so it leaves out pairs just below the
+threshold without losing any. What remains is confirmed on full sets.
 
 No bucket is expanded into pairs. First each member meets its bucket's smallest one, which settles groups of
 copies in linear time. Components follow. Then, in buckets that still hold several components, members outside
@@ -29,6 +31,8 @@ from .shared import small_batches, written
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SKETCH_WORDS = 8
+#: Words of the whole-set bitmap: 2048 bits tell some 100 differing shingles almost exactly.
+PARITY_WORDS = 32
 #: Ids that may be broadcast: 1 million are some 30 MB.
 BROADCAST_IDS = 1_000_000
 
@@ -114,6 +118,17 @@ class Signer:
         return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(samples), SKETCH_WORDS)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(documents, PARITY_WORDS) parity bitmaps of whole sets."""
+    bits = 64 * PARITY_WORDS
+    if not sets:
+        return np.zeros((0, PARITY_WORDS), np.int64)
+    x = np.concatenate(sets) >> np.uint64(64 - bits.bit_length() + 1)
+    flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * bits + x.astype(np.int64)
+    odd = (np.bincount(flat, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), PARITY_WORDS)
+
+
 def widest_xor(threshold: float, k: int, slack: float) -> int:
     """XOR bits that a pair at the threshold stays within, `slack` standard deviations out."""
     n, differ = 64 * SKETCH_WORDS, 2 * k * (1 - threshold)
@@ -123,8 +138,8 @@ def widest_xor(threshold: float, k: int, slack: float) -> int:
 
 
 def _signed(docs: DataFrame, width: int, signer: Signer) -> DataFrame:
-    names = ["row", "doc_id", "n_shingles", "class", "keys", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["row", "doc_id", "n_shingles", "class", "keys", "sketch", "parity"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
 
     def sign(batches):
         row = TaskContext.get().partitionId() << 40
@@ -135,15 +150,15 @@ def _signed(docs: DataFrame, width: int, signer: Signer) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 has = np.array([len(s) > 0 for s in sets])
                 samples = signer.samples(full)
-                keys, sketches = signer.keys(samples), signer.sketches(samples)
+                arrays = signer.keys(samples), signer.sketches(samples), parities(full)
                 where = np.where(has, np.cumsum(has) - 1, -1).tolist()
                 digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                columns = [range(row + 1, row + 1 + len(sets)), ids[at : at + 500], [len(s) for s in sets], digest, [keys[i] if i >= 0 else None for i in where], [sketches[i] if i >= 0 else None for i in where]]
+                columns = [range(row + 1, row + 1 + len(sets)), ids[at : at + 500], [len(s) for s in sets], digest, *([a[i] if i >= 0 else None for i in where] for a in arrays)]
                 row += len(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sign, "row long, doc_id long, n_shingles long, class binary, keys array<long>, sketch array<long>")
+    return rows.mapInArrow(sign, "row long, doc_id long, n_shingles long, class binary, keys array<long>, sketch array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -157,14 +172,20 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(sets, "node long, shingles array<long>")
 
 
-def _differ(a: str, b: str):
-    """XOR bits of two sketches."""
+def _sketch_bits(a: str, b: str):
+    """XOR bits of two sketches, unrolled: it is asked of every pair that meets."""
     bits = F.lit(0)
     for i in range(SKETCH_WORDS):
         bits = bits + F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i]))
     return bits
 
 
+def _parity_bits(a: str, b: str):
+    """XOR bits of two whole-set bitmaps, asked of pairs whose sketches are close."""
+    bits = F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, slack: float = 6.0) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents with 100 * common >= percent * united shingles are linked;
     a component is named by its smallest doc_id, the one that is kept.
@@ -178,13 +199,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signed = written(_signed(docs, width, signer), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("class", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row")), "classes")
-    firsts = written(usable.join(classes.select("row", "node"), "row").select("node", "n_shingles", "keys", "sketch"), "firsts")
+    firsts = written(usable.join(classes.select("row", "node"), "row").select("node", "n_shingles", "keys", "sketch", "parity"), "firsts")
     members = firsts.select("node", F.explode("keys").alias("bucket"))
-    marks = firsts.select("node", "n_shingles", "sketch")
+    marks = firsts.select("node", "n_shingles", "sketch", "parity")
 
     def alike(a, b):
         small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-        return (small * 100 >= large * percent) & (_differ(a, b) <= widest)
+        most = (small + large) * (100 - percent)  # a pair at the threshold has so many hundred-and-percent-ths of differing shingles
+        return (small * 100 >= large * percent) & (_sketch_bits(a, b) <= widest) & (_parity_bits(a, b) * (100 + percent) <= most)
 
     # 1: members meet their bucket's smallest
     common = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
