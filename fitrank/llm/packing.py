@@ -136,7 +136,7 @@ def _ranked(pieces: DataFrame, histogram: dict[int, int], block: int) -> DataFra
     return dealt.withColumn("place", F.row_number().over(within)).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("place") - 1)
 
 
-def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, block: int = 512) -> DataFrame:
+def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, block: int = 128) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each document's pieces and their places.
 
     Null and empty texts are one token (the end id). Repeated rows and null ids are documents of their

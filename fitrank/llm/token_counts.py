@@ -2,15 +2,19 @@
 
 Pre-tokens are the space-led units of `tokenization.pieces`. Counts of the `head` most frequent units of
 a sample of documents (both bounds are parameters; they only decide which way a unit takes, never the
-result) travel to the workers as a table of bounded size; every other unit goes through a shuffled join:
-distinct units are counted once each, joined to per-document frequencies and summed. Ids are never
-materialised.
+result) travel to the workers as a table of bounded size. Frequencies of all other units are gathered by unit,
+compressed and dealt into buckets by a hash of the unit; in its bucket each distinct unit is counted once and joined
+to its documents' frequencies. Sums by document remain. Ids are never materialised.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -57,44 +61,113 @@ def head_units(docs: DataFrame, path: str, size: int, sample_docs: int) -> dict[
     return {r["unit"]: r["pieces"] for r in _count_pieces(spread, path).collect()}
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 1 << 17, sample_docs: int = 10_000) -> DataFrame:
+class Tail:
+    """Per-document frequencies of units outside the head, gathered by unit and dealt into buckets."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.numbers = buckets, {}
+        self.clear()
+
+    def clear(self):
+        self.numbers.clear()
+        self.unit, self.row, self.freq = array("I"), array("q"), array("I")
+
+    def add(self, row: int, freq: dict) -> None:
+        numbers = self.numbers
+        for u, n in freq.items():
+            self.unit.append(numbers.setdefault(u, len(numbers)))
+            self.row.append(row)
+            self.freq.append(n)
+
+    def blobs(self):
+        """(bucket, blob): the units of a bucket, once each, with the rows and frequencies of each."""
+        if not self.unit:
+            return
+        names = [u.encode("utf-8", "surrogatepass") for u in self.numbers]
+        bucket = np.fromiter((zlib.crc32(u) % self.buckets for u in names), np.int64, len(names))
+        unit, row, freq = (np.array(x) for x in (self.unit, self.row, self.freq))
+        first = int(row.min())
+        order = np.lexsort((row, unit, bucket[unit]))
+        unit, row, freq = unit[order], (row[order] - first).astype("<u4"), freq[order].astype("<u4")
+        ends = np.flatnonzero(np.diff(bucket[unit], append=-1)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            own, n = np.unique(unit[a:b], return_counts=True)
+            text = [names[i] for i in own]
+            head = struct.pack("<qII", first, len(own), b - a) + np.array([len(t) for t in text], "<u4").tobytes() + n.astype("<u4").tobytes()
+            yield int(bucket[own[0]]), zlib.compress(head + row[a:b].tobytes() + freq[a:b].tobytes() + b"".join(text), 1)
+
+
+def open_blob(blob: bytes):
+    """(units, postings of each, rows, frequencies)."""
+    data = zlib.decompress(blob)
+    first, n, m = struct.unpack_from("<qII", data)
+    sizes, counts, rows, freq = (np.frombuffer(data, "<u4", k, at) for k, at in ((n, 16), (n, 16 + 4 * n), (m, 16 + 8 * n), (m, 16 + 8 * n + 4 * m)))
+    ends = 16 + 8 * n + 8 * m + np.cumsum(sizes, dtype=np.int64)
+    return [data[e - s : e].decode("utf-8", "surrogatepass") for s, e in zip(sizes.tolist(), ends.tolist())], counts, rows.astype(np.int64) + first, freq.astype(np.int64)
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 1 << 17, sample_docs: int = 10_000, gathered: int = 2_000_000) -> DataFrame:
     """Tokens of every row's whole text: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty (0 bytes, 0 tokens). Repeated rows and null ids give a row each. Other
-    columns are ignored. An empty table gives no rows.
-    """
+    columns are ignored. An empty table gives no rows. A task gathers `gathered` frequencies at most before it
+    hands them on."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = spark.sparkContext.broadcast(head_units(docs, path, head, sample_docs))
+    buckets = nb_partitions(spark)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
     def frequencies(batches):
         get = known.value.get
-        row = TaskContext.get().partitionId() << 40
+        row, tail = TaskContext.get().partitionId() << 40, Tail(buckets)
+
+        def hand_on():
+            pairs = list(tail.blobs())
+            tail.clear()
+            for at in range(0, len(pairs), 64):
+                none = pa.nulls(len(pairs[at : at + 64]), pa.int64())
+                b, blob = zip(*pairs[at : at + 64])
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(b, pa.int64()), pa.array(blob, pa.binary())], schema=schema)
+
         for batch in batches:
-            out: list = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, sizes, sums = [], [], []
+            for text in batch.column(1).to_pylist():
                 row += 1
-                text = text or ""
-                found = _units(text) if text else []
-                n = list(map(get, found))
-                rest = Counter(u for u, k in zip(found, n) if k is None) if None in n else {}
-                head_sum = sum(k for k in n if k is not None) if rest else sum(n)
-                for column, values in zip(out, ([row], [doc_id], [None], [head_sum], [len(text.encode())])):
-                    column += values
-                if rest:
-                    k = len(rest)
-                    for column, values in zip(out, ([row] * k, [doc_id] * k, rest, rest.values(), [0] * k)):
-                        column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["row", "doc_id", "unit", "freq", "n_bytes"])
-
-    freq = written(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(frequencies, "row long, doc_id long, unit string, freq long, n_bytes long"), "frequencies")
-    pieces = _count_pieces(freq.where("unit is not null").select("unit").distinct(), path)
-    tail = freq.where("unit is not null").join(pieces, "unit").select("row", "doc_id", (F.col("freq") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("n_bytes"))
-    rest = freq.where("unit is null").select("row", "doc_id", F.col("freq").alias("n"), "n_bytes")
-    return (
-        rest.union(tail)
-        .groupBy("row", "doc_id")
-        .agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+                units = _units(text) if text else []
+                n = list(map(get, units))
+                if None in n:
+                    tail.add(row, Counter(u for u, k in zip(units, n) if k is None))
+                    n = filter(None, n)
+                rows.append(row)
+                sizes.append(len(text.encode("utf-8")) if text else 0)
+                sums.append(sum(n))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), none, pa.nulls(len(rows), pa.binary())], schema=schema)
+            if len(tail.unit) >= gathered:
+                yield from hand_on()
+        yield from hand_on()
+
+    def join_pieces(batches):
+        """Blobs of a bucket meet here: every unit is counted when it first comes up and joined to all of its rows."""
+        library, pieces, of = T.library(path), {}, None
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != of:
+                    pieces, of = {}, bucket
+                units, counts, rows, freq = open_blob(blob)
+                new = [u for u in units if u not in pieces]
+                pieces.update(zip(new, (len(e.ids) for e in library.encode_batch_fast([_whole(u) for u in new], add_special_tokens=False))))
+                n = np.repeat([pieces[u] for u in units], counts) * freq
+                found, place = np.unique(rows, return_inverse=True)
+                total = np.zeros(len(found), np.int64)
+                np.add.at(total, place, n)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["row", "n"])
+
+    gathered_rows = written(docs.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, n long, bucket long, blob binary"), "frequencies")
+    blobs = gathered_rows.where("bucket is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tail = blobs.mapInArrow(join_pieces, "row long, n long").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "n")
+    rows = gathered_rows.where("bucket is null").select("row", "doc_id", "n_bytes", "n").union(tail)
+    counted = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
