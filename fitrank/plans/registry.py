@@ -1,9 +1,371 @@
-"""All queries by name."""
+"""All queries by name, with the SQL that DuckDB runs on the same tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import numpy as np
+from pyspark.sql import functions as F
 
+from ..functions.lexicon import concepts, has_any
+from ..functions.scalar import iso_date, month_diff
+from ..operators import audit, experiments, metrics, semantic
+from ..operators.consistency import consistency_flags
+from ..operators.engagement import notice_factor, with_engagement
+from ..operators.explain import explained
+from ..operators.fit import chaser_penalty, domain_gate, seniority_band, stability_band, with_fit
+from ..operators.ranking import rank_all, score, tie_break_violations, top_n
+from ..profile import corpus_profile
+from .candidate_view import candidates, table
+from .pipeline import rank_candidates
 
-def oracle_sql():
-    return {}
+PROFILE = corpus_profile()
+#: Rows of a sweep: the feature is to re-score a bounded set under many parameters.
+SUPERSET = 2000
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def token(*terms: str) -> str:
+    """DuckDB's test for a whole token in lower-cased text."""
+    return f"regexp_matches(lower(text), '(^|[^\\pL\\pN_])({'|'.join(sorted(terms, key=len, reverse=True))})([^\\pL\\pN_]|$)')"
+
+
+def flagship(spark, sf_dir):
+    """The best 25 of the candidate view, scored on texts and vectors, with their explanations."""
+    return rank_candidates(candidates(spark, sf_dir), PROFILE, 25, _vectors(spark, sf_dir), _probes(spark, sf_dir)).select("candidate_id", "rank", "score", "reasoning")
+
+
+def _vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return v.select(F.format_string("CAND_%07d", "vec_id").alias("candidate_id"), F.col("vec_id").alias("row_idx"), "embedding")
+
+
+def _probes(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()
+    return np.array([r["embedding"] for r in rows], np.float32)
+
+
+# --- lexicons -------------------------------------------------------------------------------------------------
+
+GATE = f"CASE WHEN {token(*PROFILE.positive)} THEN 1.0 WHEN {token(*PROFILE.negative)} OR ({token(*PROFILE.research)} AND NOT {token(*PROFILE.production)}) THEN 0.2 ELSE 0.6 END"
+DEPTH = " + ".join(f"CAST({token(*t)} AS INT)" for t in PROFILE.concepts.values())
+
+
+@query(f"SELECT doc_id, CAST({GATE} AS DOUBLE) AS gate, {token('with', 'from')} AS found FROM documents")
+def lexicon_gate(spark, sf_dir):
+    text = F.lower("text")
+    return table(spark, sf_dir, "documents").select("doc_id", domain_gate(text, PROFILE).alias("gate"), has_any(text, ["with", "from"]).alias("found"))
+
+
+@query(f"SELECT CAST(least({DEPTH}, 3) AS INT) AS depth, count(*) AS documents FROM documents GROUP BY 1")
+def concept_depth(spark, sf_dir):
+    found = concepts(F.lower("text"), PROFILE, suppress=False)
+    return table(spark, sf_dir, "documents").select(audit.concept_depth(found).alias("depth")).groupBy("depth").agg(F.count("*").alias("documents"))
+
+
+@query()
+def concept_suppressed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(concepts(F.lower("text"), PROFILE.but(negation=r"(?:\bthan|\bthe|\bof)", aspiration=r"\b(?:when|this)\b")), ",").alias("concepts"))
+
+
+@query(f"""WITH f AS (SELECT 'with' AS term, {token('with')} AS s FROM documents UNION ALL SELECT 'from', {token('from')} FROM documents UNION ALL SELECT 'that', {token('that')} FROM documents)
+SELECT term, count(*) AS documents FROM f WHERE s GROUP BY term""")
+def term_frequencies(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return audit.term_frequencies(docs, ["with", "from", "that"], F.lower("text"), F.lit("")).select("term", "documents")
+
+
+# --- scalars and bands ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, (year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) AS months, CAST(o_orderdate AS DATE) AS day, l_linenumber
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def month_difference(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("o_orderkey", month_diff(F.col("o_orderdate"), F.col("l_shipdate")).cast("long").alias("months"), iso_date(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("day"), "l_linenumber")
+
+
+@query("""SELECT conv_id, string_agg(role || ' ' || text, ' ' ORDER BY turn) AS narrative FROM conversations WHERE text <> '' GROUP BY conv_id""")
+def narrative_build(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda r: F.concat_ws(" ", r["role"], r["text"])), " ").alias("narrative"))
+
+
+YEARS = "abs(c_acctbal) / 700"
+
+
+@query(f"SELECT c_custkey, CAST(CASE WHEN y BETWEEN 5 AND 9 THEN 1.0 WHEN y BETWEEN 4 AND 10 THEN 0.8 WHEN y BETWEEN 3 AND 12 THEN 0.5 WHEN y > 12 THEN 0.35 ELSE 0.25 END AS DOUBLE) AS seniority FROM (SELECT c_custkey, {YEARS} AS y FROM customer)")
+def seniority(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", seniority_band(F.abs("c_acctbal") / 700).alias("seniority"))
+
+
+@query("""WITH m AS (SELECT o_custkey, floor(o_totalprice / 20000) AS d FROM orders WHERE floor(o_totalprice / 20000) > 0),
+g AS (SELECT o_custkey, count(*) AS n, avg(d) AS a FROM m GROUP BY o_custkey),
+b AS (SELECT *, CASE WHEN a >= 30 THEN 1.0 WHEN a >= 24 THEN 0.85 WHEN a >= 18 THEN 0.6 WHEN a >= 12 THEN 0.4 ELSE 0.25 END AS v FROM g)
+SELECT o_custkey, CAST(CASE WHEN n < 2 THEN 0.7 WHEN n >= 4 AND a < 18 THEN least(v, 0.3) ELSE v END AS DOUBLE) AS stability, CAST(CASE WHEN n >= 4 AND a < 18 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS penalty FROM b""")
+def tenure_bands(spark, sf_dir):
+    months = table(spark, sf_dir, "orders").select("o_custkey", F.floor(F.col("o_totalprice") / 20000).cast("double").alias("d")).where("d > 0").groupBy("o_custkey").agg(F.collect_list("d").alias("m"))
+    return months.select("o_custkey", stability_band(F.col("m")).alias("stability"), chaser_penalty(F.col("m"), PROFILE).alias("penalty"))
+
+
+@query("SELECT p_partkey, CASE WHEN d <= 30 THEN 1.0::DOUBLE ELSE pow(greatest(0, least(1, (180 - d) / 150)), 2) END AS notice FROM (SELECT p_partkey, CAST(p_size * 5 AS DOUBLE) AS d FROM part)")
+def notice_curve(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", notice_factor((F.col("p_size") * 5).cast("double"), PROFILE).alias("notice"))
+
+
+VIEW_FLAGS = """WITH n AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) + INTERVAL 22 YEAR AS d FROM orders),
+o AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY o_custkey ORDER BY d, o_orderkey), DATE '2024-02-01') AS nxt FROM n),
+r AS (SELECT *, (year(nxt) - year(d)) * 12 + month(nxt) - month(d) AS m FROM o),
+q AS (SELECT *, m + o_orderkey % 4 + CASE WHEN o_orderkey % 40 = 0 THEN 30 ELSE 0 END AS claimed FROM r),
+c AS (SELECT o_custkey, bool_or(abs(claimed - m) > 18) AS f1, sum(claimed) AS total, min(d) AS first FROM q GROUP BY o_custkey),
+s AS (SELECT o_custkey, count(*) FILTER (WHERE l_discount > 0.04 AND l_quantity < 3) >= 3 AS f2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
+y AS (SELECT c_custkey, abs(c_acctbal) / 1200 + 5 AS y FROM customer),
+v AS (SELECT c_custkey, coalesce(c.f1, false) AS f1, coalesce(s.f2, false) AS f2, coalesce(c.total, 0) > y * 12 + 24 AS f3, coalesce(y * 12 > (2024 - year(c.first)) * 12 + 2 - month(c.first) + 48, false) AS f4, c_custkey % 50 = 0 AS f5
+  FROM y LEFT JOIN c ON c.o_custkey = c_custkey LEFT JOIN s ON s.o_custkey = c_custkey)
+"""
+
+
+@query(VIEW_FLAGS + "SELECT printf('CAND_%07d', c_custkey) AS candidate_id, array_to_string(list_filter([CASE WHEN f1 THEN 'tenure_impossible' END, CASE WHEN f2 THEN 'phantom_expertise' END, CASE WHEN f3 THEN 'career_exceeds_life' END, CASE WHEN f4 THEN 'experience_exceeds_career_span' END, CASE WHEN f5 THEN 'edu_inversion' END], lambda x: x IS NOT NULL), ',') AS flags FROM v")
+def consistency(spark, sf_dir):
+    return candidates(spark, sf_dir).select("candidate_id", F.array_join(consistency_flags(PROFILE), ",").alias("flags"))
+
+
+@query("""WITH e AS (SELECT user_id, max(CAST(ts AS DATE)) AS last, avg(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) AS clicks, count(*) AS n, avg(value) AS value FROM events GROUP BY user_id),
+t AS (SELECT c_custkey, CASE WHEN n % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN n IS NOT NULL THEN 0.4 * CASE WHEN n * 3 <= 30 THEN 1.0::DOUBLE ELSE pow(greatest(0, least(1, (180 - n * 3) / 150)), 2) END ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0.1::DOUBLE ELSE 0 END AS availability,
+  0.7 * coalesce(clicks, 0) + 0.3 * CASE WHEN value IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, (280 - value * 2) / 280)) END AS responsiveness,
+  CASE WHEN last IS NULL THEN 0.3::DOUBLE ELSE greatest(0, least(1, (180 - date_diff('day', last, DATE '2024-02-01')) / 180)) END AS recency
+  FROM customer LEFT JOIN e ON user_id = c_custkey)
+SELECT printf('CAND_%07d', c_custkey) AS candidate_id, round(availability, 6) AS availability, round(responsiveness, 6) AS responsiveness, round(recency, 6) AS recency FROM t""")
+def engagement(spark, sf_dir):
+    t = with_engagement(candidates(spark, sf_dir), PROFILE)
+    return t.select("candidate_id", *[F.round(F.col(f"engagement_trace.{n}"), 6).alias(n) for n in ("availability", "responsiveness", "recency")])
+
+
+@query()
+def engagement_multiplier(spark, sf_dir):
+    return with_engagement(candidates(spark, sf_dir), PROFILE).select("candidate_id", "multiplier", "engagement_trace.*")
+
+
+@query()
+def fit_trace(spark, sf_dir):
+    rows = with_fit(candidates(spark, sf_dir).withColumn("semantic", F.lit(None).cast("double")), PROFILE)
+    return rows.select("candidate_id", *[F.col(f"fit_trace.{n}").alias(n) for n in rows.schema["fit_trace"].dataType.names if n != "evidence_concepts"])
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_cells(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------
+
+SIMS = """WITH p AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 8), s AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], q) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)) + 1e-9) AS c FROM embeddings, p),
+k AS (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS r FROM s), m AS (SELECT vec_id, greatest(0, avg(c)) AS sim FROM k WHERE r <= 3 GROUP BY vec_id)
+"""
+
+
+@query(SIMS + "SELECT vec_id, round(sim, 6) AS sim FROM m")
+def cosine_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return v.select("vec_id", F.round(semantic.cosine_topk(F.col("embedding"), _probes(spark, sf_dir).tolist(), 3), 6).alias("sim"))
+
+
+@query(SIMS + "SELECT vec_id, CAST(CAST((row_number() OVER (ORDER BY round(sim, 6), vec_id) - 1) / ((SELECT count(*) FROM m) - 1) AS REAL) AS DOUBLE) AS semantic FROM m")
+def semantic_percentile(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.round(semantic.cosine_topk(F.col("embedding"), _probes(spark, sf_dir).tolist(), 3), 6).alias("raw"))
+    return semantic.pool_percentile(v, "raw", "vec_id").select("vec_id", "semantic")
+
+
+@query()
+def semantic_matrix(spark, sf_dir):
+    v = semantic.similarity(_vectors(spark, sf_dir), _probes(spark, sf_dir))
+    return semantic.pool_percentile(v).select("candidate_id", "raw", "semantic")
+
+
+# --- ranking ---------------------------------------------------------------------------------------------------
+
+
+@query()
+def rank_topn(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query()
+def rank_full(spark, sf_dir):
+    return rank_all(score(candidates(spark, sf_dir), PROFILE)).select("candidate_id", "rank", "score")
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY round(c_acctbal, 0) DESC, c_custkey) AS BIGINT) AS rank, round(c_acctbal, 0) AS score FROM customer")
+def rank_customers(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal", 0).alias("score"))
+    return rank_all(rows, "c_custkey").select("c_custkey", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS BIGINT) AS rank FROM part ORDER BY rank LIMIT 100")
+def top_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("score"))
+    return top_n(rows, 100, "p_partkey").select("p_partkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violations")
+def tie_break_check(spark, sf_dir):
+    ranked = top_n(score(candidates(spark, sf_dir), PROFILE), 100)
+    return tie_break_violations(ranked).agg(F.count("*").alias("violations"))
+
+
+@query()
+def explanation(spark, sf_dir):
+    return explained(top_n(score(candidates(spark, sf_dir), PROFILE), 100)).select("candidate_id", "rank", "reasoning")
+
+
+@query("SELECT count(*) AS without FROM customer WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings)")
+def coverage_anti(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(ids, "c_custkey", "left_anti").agg(F.count("*").alias("without"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS rr, s_nationkey AS d, s_suppkey % 2 = 0 AS flag FROM supplier),
+x AS (SELECT * FROM s WHERE s_suppkey % 3 = 0), y AS (SELECT * FROM s WHERE s_suppkey % 3 <> 0)
+SELECT x.s_suppkey AS excluded, y.s_suppkey AS included FROM x, y WHERE coalesce(x.rr, 0) >= coalesce(y.rr, 0) AND x.d <= y.d + 2 AND (x.flag OR NOT y.flag)""")
+def dominance_join(spark, sf_dir):
+    k, f = F.col("s_suppkey"), F.col("s_suppkey") % 2 == 0
+    s = table(spark, sf_dir, "supplier").select(k.alias("candidate_id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("rr"), F.col("s_nationkey").alias("active_days"), f.alias("otw"), F.lit(0).alias("notice"), F.lit(True).alias("location_ok"), F.lit(True).alias("in_target"), F.lit(1.0).alias("seniority"), F.lit(1.0).alias("stability"))
+    third = F.col("candidate_id") % 3 == 0
+    return audit.dominance(s.where(~third), s.where(third), slack=2)
+
+
+# --- audit and aggregates --------------------------------------------------------------------------------------
+
+RANKED_DOCS = "SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents"
+
+
+def ranked_docs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars").cast("double"))
+    return rank_all(rows, "doc_id")
+
+
+@query(f"SELECT lang, count(*) AS pool, count(*) FILTER (WHERE rank <= 10) AS top_10, count(*) FILTER (WHERE rank <= 50) AS top_50, count(*) FILTER (WHERE rank <= 100) AS top_100 FROM ({RANKED_DOCS}) GROUP BY lang")
+def arch_counts(spark, sf_dir):
+    return audit.counts_at(ranked_docs(spark, sf_dir), "lang")
+
+
+@query("""SELECT CASE WHEN quality = 0 THEN 'low' WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS reason, count(*) AS n FROM labels GROUP BY 1""")
+def reason_counts(spark, sf_dir):
+    reason = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    return table(spark, sf_dir, "labels").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderpriority, min(o_totalprice) AS low, max(o_totalprice) AS high, max(CASE WHEN i = n // 2 THEN o_totalprice END) AS median, max(o_totalprice) - min(o_totalprice) AS spread FROM p GROUP BY 1""")
+def upper_median(spark, sf_dir):
+    return audit.upper_median(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query(f"""SELECT CASE WHEN rank <= 10 THEN '1-10' WHEN rank <= 50 THEN '11-50' ELSE '51-100' END AS bucket, avg(n_chars) AS mean, count(*) AS n FROM ({RANKED_DOCS}) WHERE rank <= 100 GROUP BY 1""")
+def bucket_means(spark, sf_dir):
+    return audit.bucket_means(ranked_docs(spark, sf_dir), "n_chars")
+
+
+@query("""WITH r AS (SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS DOUBLE) AS d FROM part)
+SELECT p_brand, round(CASE WHEN count(*) > 1 THEN 1 - 6 * sum(d * d) / (count(*) * (count(*)::DOUBLE * count(*) - 1)) END, 9) AS rho FROM r GROUP BY p_brand""")
+def spearman(spark, sf_dir):
+    rows = audit.spearman(table(spark, sf_dir, "part"), [F.col("p_retailprice"), F.col("p_partkey")], [F.col("p_size"), F.col("p_partkey")], "p_brand")
+    return rows.select("p_brand", F.round("rho", 9).alias("rho"))
+
+
+@query("""WITH a AS (SELECT doc_id FROM documents WHERE n_chars > 3000), b AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+n AS (SELECT (SELECT count(*) FROM a WHERE doc_id IN (SELECT doc_id FROM b)) AS common, (SELECT count(*) FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)) AS united)
+SELECT common, united, round(common / united, 9) AS jaccard FROM n""")
+def jaccard_topk(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return audit.jaccard(d.where("n_chars > 3000"), d.where("lang = 'en'"), "doc_id").withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query("""SELECT doc_id, 'entered' AS change FROM documents WHERE lang = 'en' AND NOT n_chars > 3000 UNION ALL SELECT doc_id, 'left' FROM documents WHERE n_chars > 3000 AND lang <> 'en'""")
+def id_churn(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return audit.churn(d.where("n_chars > 3000"), d.where("lang = 'en'"), "doc_id")
+
+
+@query()
+def audit_classes(spark, sf_dir):
+    return audit.classify(candidates(spark, sf_dir), PROFILE).drop("audit_flags")
+
+
+# --- metrics and experiments -----------------------------------------------------------------------------------
+
+REL = "CASE WHEN quality = 1 AND toxic = 0 THEN 3 WHEN quality = 1 THEN 1 ELSE 0 END"
+LISTS = f"""WITH l AS (SELECT d.source AS "group", row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS pos, {REL} AS rel FROM labels JOIN documents d USING (doc_id)),
+w AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY rel DESC, pos) AS best, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY "group" ORDER BY pos) AS hits FROM l),
+g AS (SELECT "group", sum((pow(2, rel) - 1) / log2(pos + 1)) AS dcg, {", ".join(f'sum(CASE WHEN pos <= {k} THEN (pow(2, rel) - 1) / log2(pos + 1) ELSE 0 END) AS d{k}, sum(CASE WHEN best <= {k} THEN (pow(2, rel) - 1) / log2(best + 1) ELSE 0 END) AS i{k}, count(*) FILTER (WHERE pos <= {k} AND rel >= 3) / {k} AS p{k}' for k in (10, 50))},
+  CASE WHEN count(*) FILTER (WHERE rel >= 1) > 0 THEN sum(CASE WHEN rel >= 1 THEN hits / pos ELSE 0 END) / count(*) FILTER (WHERE rel >= 1) ELSE 0 END AS ap FROM w GROUP BY "group")
+"""
+
+
+def labelled_lists(spark, sf_dir):
+    rel = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 3).when(F.col("quality") == 1, 1).otherwise(0)
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id").select(F.col("source").alias("group"), "n_chars", "doc_id", rel.alias("rel"))
+    return metrics.positions(rows, "group", [F.desc("n_chars"), F.col("doc_id")])
+
+
+@query(LISTS + 'SELECT "group", round(dcg, 9) AS dcg FROM g')
+def dcg(spark, sf_dir):
+    return metrics.dcg(labelled_lists(spark, sf_dir)).withColumn("dcg", F.round("dcg", 9))
+
+
+@query(LISTS + """, n AS (SELECT "group", CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END AS n10, CASE WHEN i50 > 0 THEN d50 / i50 ELSE 0 END AS n50, p10, p50, ap FROM g)
+SELECT "group", round(n10, 9) AS ndcg_10, round(n50, 9) AS ndcg_50, round(p10, 9) AS p_10, round(p50, 9) AS p_50, round(ap, 9) AS ap, round(0.5 * n10 + 0.3 * n50 + 0.15 * ap + 0.05 * p10, 9) AS composite FROM n""")
+def ranking_metrics(spark, sf_dir):
+    m = metrics.all_metrics(labelled_lists(spark, sf_dir))
+    return m.select("group", *[F.round(c, 9).alias(c) for c in m.columns if c != "group"])
+
+
+def _features(spark, sf_dir):
+    rows = labelled_lists(spark, sf_dir)
+    return rows.select(F.col("doc_id").alias("id"), "rel", (F.col("n_chars") / 4000).alias("length"), ((F.col("doc_id") * 7 % 100) / 100).alias("hash"), F.lit(1.0).alias("mult"), F.col("doc_id").alias("input_pos"))
+
+
+@query()
+def weight_sweep(spark, sf_dir):
+    weights = spark.createDataFrame([(i, i / 10, 1 - i / 10) for i in range(11)], "weight_id int, length double, hash double")
+    return experiments.evaluate_weights(_features(spark, sf_dir), weights)
+
+
+@query()
+def weight_tuning(spark, sf_dir):
+    best, top = experiments.tune(_features(spark, sf_dir).orderBy("input_pos").toPandas(), {"length": 0.5, "hash": 0.5})
+    return spark.createDataFrame([(k, v, float(top)) for k, v in best.items()], "weight string, value double, composite double")
+
+
+@query()
+def perturb_sweep(spark, sf_dir):
+    superset = candidates(spark, sf_dir).orderBy("candidate_id").limit(SUPERSET).withColumn("semantic", F.lit(None).cast("double"))
+    return experiments.sweep(superset, PROFILE)
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    rows = _features(spark, sf_dir).select("id", "rel", F.col("length").alias("base"), F.col("hash").alias("variant"))
+    return experiments.bootstrap(rows, ["variant"], rounds=500)
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
