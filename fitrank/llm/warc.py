@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .shared import get_file, nb_partitions, put_file, shared_path, small_batches, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Revisits that may be broadcast: 1 million are some 100 MB.
+BROADCAST_ROWS = 1_000_000
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -85,6 +87,9 @@ def _roles(pages: DataFrame, least_bytes: int) -> DataFrame:
     narrow = rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "size")
     holders = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.min("page_id").alias("low")).where("low < holder").select("digest", "size", "holder")
     revisits = narrow.join(holders, ["digest", "size"]).where("page_id < holder").select(F.col("page_id").alias("revisit"), F.col("digest").alias("same"), F.col("holder").alias("refers_to")).distinct()
+    revisits = written(revisits, "revisits")
+    if revisits.count() <= BROADCAST_ROWS:  # then pages are not shuffled to meet them
+        revisits = F.broadcast(revisits)
     joined = rows.join(revisits, (F.col("page_id") == F.col("revisit")) & (F.col("digest") == F.col("same")), "left")
     return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "size", "refers_to")
 
