@@ -87,7 +87,7 @@ def from_flat(rows: DataFrame, underscored: bool = True, prefix: str = "CAND_CSV
     texts = {n: F.coalesce(cell(n, "profile"), F.lit("")) for n in ("current_title", "current_company", "summary", "location", "country", "current_industry")}
     profile = F.struct(texts["summary"].alias("summary"), F.lit(None).cast("string").alias("headline"), texts["current_title"].alias("current_title"), texts["current_company"].alias("current_company"), years.alias("years_of_experience"), *[texts[n].alias(n) for n in ("location", "country", "current_industry")])
     listed = lambda name, kind: F.from_json(F.coalesce(columns.get(name, F.lit(None).cast("string")), F.lit("")), f"array<{kind}>")
-    loose = F.filter(F.transform(F.split(F.coalesce(columns.get("skills", F.lit("")), F.lit("")), ","), F.trim), lambda s: s != "")
+    loose = F.filter(F.transform(F.split(F.coalesce(columns.get("skills", F.lit("")), F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
     skills = F.coalesce(listed("skills", SKILL), F.transform(loose, lambda s: F.struct(s.alias("name"), F.lit("intermediate").alias("proficiency"), F.lit(12.0).alias("duration_months"))))
     months = F.when(years > 0, F.floor(years * 12)).otherwise(12).cast("double")
     none = F.lit(None).cast("string")
