@@ -106,6 +106,14 @@ def open_blob(blob: bytes):
     return [data[e - s : e].decode("utf-8", "surrogatepass") for s, e in zip(sizes.tolist(), ends.tolist())], counts, rows.astype(np.int64) + first, freq.astype(np.int64)
 
 
+def _summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sum of each."""
+    found, place = np.unique(rows, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, place, n)
+    return found, total
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 1 << 17, sample_docs: int = 10_000, gathered: int = 2_000_000) -> DataFrame:
     """Tokens of every row's whole text: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -159,15 +167,33 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 1 <<
                 units, counts, rows, freq = open_blob(blob)
                 new = [u for u in units if u not in pieces]
                 pieces.update(zip(new, (len(e.ids) for e in library.encode_batch_fast([_whole(u) for u in new], add_special_tokens=False))))
-                n = np.repeat([pieces[u] for u in units], counts) * freq
-                found, place = np.unique(rows, return_inverse=True)
-                total = np.zeros(len(found), np.int64)
-                np.add.at(total, place, n)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["row", "n"])
+                found, total = _summed(rows, np.repeat([pieces[u] for u in units], counts) * freq)
+                sums = zlib.compress(found.astype("<i8").tobytes() + total.astype("<i8").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([int(found[0]) >> 40], pa.int64()), pa.array([sums], pa.binary())], ["part", "sums"])
+
+    def sum_by_row(batches):
+        """Sums of a part (the rows that one task read) come back from all buckets and become one row a document."""
+        of, held = None, []
+
+        def done():
+            if held:
+                rows, n = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(rows, n)], ["row", "n"])
+
+        for batch in batches:
+            for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != of:
+                    yield from done()
+                    of = part
+                both = np.frombuffer(zlib.decompress(sums), "<i8").astype(np.int64)
+                held.append((both[: len(both) // 2], both[len(both) // 2 :]))
+        yield from done()
 
     gathered_rows = written(docs.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, n long, bucket long, blob binary"), "frequencies")
     blobs = gathered_rows.where("bucket is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    tail = blobs.mapInArrow(join_pieces, "row long, n long").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "n")
+    sums = blobs.mapInArrow(join_pieces, "part long, sums binary").repartition(buckets, "part").sortWithinPartitions("part")
+    tail = sums.mapInArrow(sum_by_row, "row long, n long").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "n")
     rows = gathered_rows.where("bucket is null").select("row", "doc_id", "n_bytes", "n").union(tail)
     counted = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
