@@ -18,7 +18,7 @@ from .candidate_view import candidates, table
 from .pipeline import rank_candidates
 
 PROFILE = corpus_profile()
-#: Rows of a sweep: the feature is to re-score a bounded set under many parameters.
+#: Rows of a sweep: the feature is to re-score a ranking's best under many parameters.
 SUPERSET = 2000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -353,7 +353,9 @@ def weight_tuning(spark, sf_dir):
 
 @query()
 def perturb_sweep(spark, sf_dir):
-    superset = candidates(spark, sf_dir).orderBy("candidate_id").limit(SUPERSET).withColumn("semantic", F.lit(None).cast("double"))
+    pool = candidates(spark, sf_dir)
+    best = top_n(score(pool, PROFILE), SUPERSET).select("candidate_id")
+    superset = pool.join(F.broadcast(best), "candidate_id", "left_semi").withColumn("semantic", F.lit(None).cast("double"))
     return experiments.sweep(superset, PROFILE)
 
 
