@@ -35,11 +35,13 @@ SKETCH_WORDS = 8
 PARITY_WORDS = 32
 #: Ids that may be broadcast: 1 million are some 30 MB.
 BROADCAST_IDS = 1_000_000
+#: Words whose hash a worker remembers: some 40 MB; workers live on beside the stages that follow.
+REMEMBERED_WORDS = 200_000
 
 
 class _Words(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
