@@ -2,7 +2,8 @@
 
 Every stage works on all that the one before kept, and its decisions take effect: documents whose language is
 rejected go; of near-duplicates one stays; personal data becomes [KIND]; documents are repeated or left out until
-sources have their target weights, in training order; pieces are packed into sequences.
+sources have their target weights, in training order; pieces are packed into sequences, and each keeps its
+training position.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from fitrank.llm.queries import WORD_FILE, tokenizer_file
 from fitrank.llm.shared import written
 
 
+#: Training position of a row; the first stage adds it without a value, the mix fills it in, packing goes by it.
+POSITION = "mix_position"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is null, has no letter or is too far from every language go."""
-    return language_id.keep_identified(docs)
+    return language_id.keep_identified(docs).withColumn(POSITION, F.lit(None).cast("double"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +38,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, in training order."""
-    return mixing.mixed_documents(docs).select(docs.columns)
+    """Rows as often as the mix takes them, in training order; their positions fill the column for it, where it is."""
+    return mixing.mixed_documents(docs.drop(POSITION)).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer_file(WORD_FILE))
+    """Pieces, their places in sequences of at most 4096 tokens and their training positions."""
+    return packing.pack(docs, tokenizer_file(WORD_FILE), position=POSITION if POSITION in docs.columns else None)
 
 
 STAGES = [

@@ -115,6 +115,13 @@ def mix(docs: DataFrame, weights: int = 3, ceiling: int = 3, schedules=SCHEDULES
     return rows.select("doc_id", *keep, "size", "source", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"), positions.alias("positions"))
 
 
+def in_training_order(plan: DataFrame) -> DataFrame:
+    """Rows of a mix, range-sorted by the training position of their first pass; what is never taken comes last."""
+    first = free_name(plan, "first_position")
+    order = [F.col(first).asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
+    return plan.withColumn(first, F.get("positions", F.lit(0))).repartitionByRange(*order).sortWithinPartitions(*order).drop(first)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as taken, range-sorted by training position, which is
     kept as the column mix_position."""

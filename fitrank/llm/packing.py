@@ -94,58 +94,67 @@ def plan_packing(histogram: dict[int, int], limits: Limits = Limits()) -> np.nda
     return np.array(lines, np.int64).reshape(-1, 6)
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, position: str | None = None) -> DataFrame:
     """Encode whole texts, append end_id, cut only what is longer than `capacity`:
-    row, doc_id, piece, start, length, ids_crc32."""
+    row, doc_id, piece, start, length, ids_crc32 and, where a column is named, the document's training position."""
     small_batches(docs.sparkSession)
     end = np.uint32(end_id).tobytes()
-    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"] + ["position"] * bool(position)
+    types = {"piece": pa.int32(), "position": pa.float64()}
 
     def cut(batches):
         encode = T.coder(path, T.WordCoder).encode
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, *at in zip(*(c.to_pylist() for c in batch.columns)):
                 row += 1
                 ids = memoryview((encode(text) if text else b"") + end)
                 n = len(ids) // 4
                 for k, a in enumerate(range(0, n, capacity)):
                     b = min(n, a + capacity)
-                    out.append((row, doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns)], names)
+                    out.append((row, doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), *at))
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for n, c in zip(names, columns)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(position).cast("double").alias("position")] if position else []))
+    return rows.mapInArrow(cut, "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", position double" * bool(position))
 
 
 def _ranked(pieces: DataFrame, histogram: dict[int, int], block: int) -> DataFrame:
-    """rank of each piece within its length, from 0. A length is dealt into blocks of about `block` rows,
-    so that no task holds all of a common one."""
+    """rank of each piece within its length, from 0, in training order where pieces have a position. A length is dealt
+    into blocks of about `block` rows (stretches of training time, or by hash), so that no task holds all of a common one."""
     wide = F.lit(1).cast("long")
     common = {k: -(-n // block) for k, n in histogram.items() if n > block}
     if common:
         table = F.create_map(*[F.lit(x).cast("long") for kv in sorted(common.items()) for x in kv])
         wide = F.coalesce(F.element_at(table, F.col("length")), wide)
     # a null doc_id is a value like any other
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("row", "piece"), wide))
+    by_hash = F.pmod(F.xxhash64("row", "piece"), wide)
+    timed = ["position"] if "position" in pieces.columns else []
+    stretch = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "position")) * wide) if timed else None
+    dealt = pieces.withColumn("block", F.when(F.col("position").isNull(), by_hash).otherwise(F.least(stretch, wide - 1)) if timed else by_hash)
     upto = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "block").count().select("length", "block", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "block").orderBy("row", "piece")
+    within = Window.partitionBy("length", "block").orderBy(*timed, "row", "piece")
     return dealt.withColumn("place", F.row_number().over(within)).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("place") - 1)
 
 
-def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, block: int = 128) -> DataFrame:
+def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, block: int = 128, position: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each document's pieces and their places.
 
+    `position` names a column with documents' training positions in [0, 1]: pieces of equal length then take their
+    places in this order, which costs no sequence, and every piece keeps its position as a last column.
+
     Null and empty texts are one token (the end id). Repeated rows and null ids are documents of their
     own. Other columns are ignored; an empty table gives no rows."""
-    pieces = written(cut_pieces(docs, path, limits.tokens, end_id), "pieces")
+    pieces = written(cut_pieces(docs, path, limits.tokens, end_id, position), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     lines = plan_packing(histogram, limits)
     order = np.lexsort((lines[:, 1], lines[:, 0]))
     plan = docs.sparkSession.sparkContext.broadcast(lines[order])
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    timed = ["position"] if position else []
 
     def place(frames):
         length, rank, _, deep, at, offset = plan.value.T
@@ -155,10 +164,10 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
             i = f["rank"].to_numpy() - rank[line]
             f["sequence_id"] = at[line] + i // deep[line]
             f["offset"] = offset[line] + i % deep[line] * length[line]
-            yield f[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            yield f[[*own, "sequence_id", "offset", *timed]]
 
-    ranked = _ranked(pieces, histogram, block).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_by_frame(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = _ranked(pieces, histogram, block).select(*own, "rank", *timed)
+    return ranked.mapInArrow(_by_frame(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", position double" * bool(position))
 
 
 def _by_frame(f):

@@ -21,7 +21,8 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_source_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Documents in training order; those that are not taken come last."""
+    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_exact_top_k(spark, sf_dir):
