@@ -28,13 +28,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
+_BRACKET = re.compile(r"[\[(]at[\])]")
+_TITLE = re.compile(r"M[rs]|Dr|Herr|Frau|Mme|Sr")
+# any letters, with the combining marks of decomposed text; a name does not start with a lower-case one
+_LOWER = "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and c.islower())
+_LETTER = r"[^\W\d_][\u0300-\u036f]*"
+_NAME = rf" (?![{_LOWER}]){_LETTER}(?:{_LETTER}){{1,20}}(?![\w\u0300-\u036f])"
+#: kind, what every text with a match holds, pattern
 _LOOSE = (
-    ("phone", re.compile(r"(?<![\w+.-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
-    ("email", re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z]{2,24}){1,4}\b")),
-    ("id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?\b")),
+    ("phone", _DIGITS, re.compile(r"(?<![\w+.-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
+    ("email", _BRACKET, re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z]{2,24}){1,4}\b")),
+    ("id", _DIGITS, re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("name", _TITLE, re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?{_NAME}(?:{_NAME})?")),
 )
-_DIGITS = re.compile(r"[0-9]+")
 _TLDS = frozenset("com org net edu gov io de fr es uk eu info biz co us".split())
 _NAMES = frozenset("anna carlos claire david elena emma hans james jean john jose juan julia laura marie maria martin mary michael paul peter pierre sarah sofia thomas".split())
 _CUE = {
@@ -90,10 +97,8 @@ def candidate_spans(text: str) -> list[tuple[str, int, int, bool]]:
     """Base matches (True) and looser spans that overlap none of them (False)."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    if "-" in text or "." in text or "(" in text or "[" in text:
-        for kind, pattern in _LOOSE:
-            if kind in ("phone", "id") and not _DIGITS.search(text):
-                continue
+    for kind, needed, pattern in _LOOSE:
+        if needed.search(text):
             for m in pattern.finditer(text):
                 if not any(a < m.end() and m.start() < b for _, a, b, _ in out):
                     out.append((kind, *m.span(), False))

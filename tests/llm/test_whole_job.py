@@ -1,9 +1,10 @@
 """What reviews found to be less than the whole job."""
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from fitrank.llm import mixing, packing, queries
+from fitrank.llm import mixing, packing, personal_data, queries
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,3 +45,26 @@ def test_packing_takes_equal_lengths_in_training_order(spark):
     got = packing.pack(docs, WORD, block=32, position="at").orderBy("sequence_id", "offset").toPandas()
     assert len(got) == 400 and got["position"].is_monotonic_increasing and got["sequence_id"].nunique() > 10
     assert got["sequence_id"].nunique() == packing.pack(docs, WORD).select("sequence_id").distinct().count()
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("call 212 555 1234 now", "phone", "212 555 1234"),
+        ("Dear Mr Peter Smith thank you", "name", "Mr Peter Smith"),
+        ("Herr Müller kommt", "name", "Herr Müller"),
+        ("von Frau Anna Müller.", "name", "Frau Anna Müller"),
+        ("Mme E\u0301lodie Le\u0301ger dit", "name", "Mme E\u0301lodie Le\u0301ger"),
+        ("Dr Øystein McDonald said", "name", "Dr Øystein McDonald"),
+        ("ask joe [at] example [dot] org", "email", "joe [at] example [dot] org"),
+        ("no 123-45-6789", "id", "123-45-6789"),
+    ],
+)
+def test_every_loose_pattern_is_tried(text, kind, found):
+    at = text.index(found)
+    assert (kind, at, at + len(found), False) in personal_data.candidate_spans(text)
+
+
+@pytest.mark.parametrize("text", ["Mr is short", "Dr älter geworden", "Mr X2 and Frau Anna2", "Herrn Meier", "call 212555 1234"])
+def test_looser_names_stay_names(text):
+    assert personal_data.candidate_spans(text) == []
