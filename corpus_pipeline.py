@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fitrank.llm import language_id, mixing, near_duplicates, packing, personal_data
 from fitrank.llm.queries import WORD_FILE, tokenizer_file
-from fitrank.llm.shared import written
+from fitrank.llm.shared import free_name, written
 
 
 #: Training position of a row; the first stage adds it without a value, the mix fills it in, packing goes by it.
@@ -26,9 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group on five-word shingles the smallest doc_id stays; so do all documents without shingles."""
-    kept = near_duplicates.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group on five-word shingles one row of the smallest doc_id stays; of documents without shingles one row
+    of each doc_id. Rows of one doc_id are one document; those without doc_id are linked with nothing and all stay."""
+    key = free_name(docs, "row_key")
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    kept = near_duplicates.near_duplicates(rows, key=key).where("kept")
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias(key)).select(key)
+    return rows.join(one.union(kept.where("doc_id is null").select(key)), key, "left_semi").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

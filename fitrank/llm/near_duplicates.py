@@ -139,8 +139,8 @@ def widest_xor(threshold: float, k: int, slack: float) -> int:
     return int(np.ceil(n * p + slack * np.sqrt(n * p * (1 - p) + sampled**2)))
 
 
-def _signed(docs: DataFrame, width: int, signer: Signer) -> DataFrame:
-    names = ["row", "doc_id", "n_shingles", "class", "keys", "sketch", "parity"]
+def _signed(docs: DataFrame, width: int, signer: Signer, keep: list[str]) -> DataFrame:
+    names = ["row", "doc_id", "n_shingles", "class", "keys", "sketch", "parity", *keep]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
 
     def sign(batches):
@@ -157,10 +157,10 @@ def _signed(docs: DataFrame, width: int, signer: Signer) -> DataFrame:
                 digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 columns = [range(row + 1, row + 1 + len(sets)), ids[at : at + 500], [len(s) for s in sets], digest, *([a[i] if i >= 0 else None for i in where] for a in arrays)]
                 row += len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *(c.slice(at, 500) for c in batch.columns[2:])], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sign, "row long, doc_id long, n_shingles long, class binary, keys array<long>, sketch array<long>, parity array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(k).cast("long").alias(k) for k in keep])
+    return rows.mapInArrow(sign, "row long, doc_id long, n_shingles long, class binary, keys array<long>, sketch array<long>, parity array<long>" + "".join(f", {k} long" for k in keep))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -188,17 +188,19 @@ def _parity_bits(a: str, b: str):
     return F.aggregate(bits, F.lit(0), lambda n, x: n + x)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, slack: float = 6.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, slack: float = 6.0, key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents with 100 * common >= percent * united shingles are linked;
     a component is named by its smallest doc_id, the one that is kept.
 
     Null, empty and blank texts have no shingles and no links. Rows of one doc_id are one document (repeated rows
     give repeated results); a row without doc_id is linked with nothing, component_id is null and it is kept.
+    `key` names a whole-number column that tells rows apart and is returned too (default doc_id).
     Other columns are ignored; an empty table gives no rows."""
     small_batches(docs.sparkSession)
+    keep = [key] if key != "doc_id" else []
     signer = Signer(bands, rows)
     widest = widest_xor(percent / 100, signer.k, slack)
-    signed = written(_signed(docs, width, signer), "signed")
+    signed = written(_signed(docs, width, signer, keep), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("class", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row")), "classes")
     firsts = written(usable.join(classes.select("row", "node"), "row").select("node", "n_shingles", "keys", "sketch", "parity"), "firsts")
@@ -236,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     grouped = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     # a null class joins nothing, so documents without shingles are their own component
-    return signed.join(grouped, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))
+    return signed.join(grouped, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"), *keep)
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

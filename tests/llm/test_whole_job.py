@@ -68,3 +68,16 @@ def test_every_loose_pattern_is_tried(text, kind, found):
 @pytest.mark.parametrize("text", ["Mr is short", "Dr älter geworden", "Mr X2 and Frau Anna2", "Herrn Meier", "call 212555 1234"])
 def test_looser_names_stay_names(text):
     assert personal_data.candidate_spans(text) == []
+
+
+def test_near_duplicates_stage_decides_by_row(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"else{i}" for i in range(40))
+    rows = [(None, text), (None, text), (None, None), (2, text), (2, text), (5, text), (5, other), (7, ""), (7, ""), (8, None), (9, other + " more"), (9, other + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3).localCheckpoint()
+    got = p.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, text), (None, text), (None, None), (2, text), (5, other), (7, ""), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
