@@ -71,8 +71,9 @@ def length_class(text: str) -> int:
 
 
 def train(rows: list[tuple[str, str]], centroids: int = 4, rounds: int = 12, margin: float = 0.5) -> Model:
-    """From (text, language) rows. A length class rejects below `margin` times the lowest cosine that a training
-    text of the class, or a shorter one, has to its own language's nearest centroid."""
+    """From (text, language) rows. A length class rejects below `margin` times the 2 % quantile of the cosines that its
+    training texts have to their own language's nearest centroid. A class of fewer than 20 takes the floor of the next
+    shorter one; where there is none, nothing is known of such texts and none is rejected."""
     rows = sorted((t, g) for t, g in rows if has_letter(t))
     languages = tuple(sorted({g for _, g in rows}))
     if not languages:
@@ -96,7 +97,7 @@ def train(rows: list[tuple[str, str]], centroids: int = 4, rounds: int = 12, mar
     centre, owner_a = np.vstack(found).astype(np.float32), np.array(owner)
     cosine = np.where(owner_a[None, :] == of[:, None], x @ centre.T, -1).max(axis=1)
     classes = np.array([length_class(t) for t, _ in rows])
-    floors, low = np.zeros(16), 0.1
+    floors, low = np.zeros(16), 0.0
     for c in range(16):
         if (classes == c).sum() >= 20:
             low = float(np.quantile(cosine[classes == c], 0.02)) * margin

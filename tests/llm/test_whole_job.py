@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fitrank.llm import mixing, packing, personal_data, queries
+from fitrank.llm import language_id, mixing, packing, personal_data, queries
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +81,11 @@ def test_near_duplicates_stage_decides_by_row(spark):
     assert got.columns == docs.columns
     want = [(None, text), (None, text), (None, None), (2, text), (5, other), (7, ""), (8, None)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_short_texts_are_not_rejected_by_a_constant():
+    long = [("the cat and the dog sat on the mat " * 3, "en"), ("der hund und die katze auf der matte " * 3, "de")] * 15
+    model = language_id.train(long)
+    assert model.floors[:7].max() == 0 and model.floors[7:].min() > 0
+    (_, score, rejected), none = model.predict(["Qu.", "?"])
+    assert score < 0.1 and not rejected and none == ("und", 0.0, True)
