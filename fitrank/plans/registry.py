@@ -362,7 +362,7 @@ def perturb_sweep(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     rows = _features(spark, sf_dir).select("id", "rel", F.col("length").alias("base"), F.col("hash").alias("variant"))
-    return experiments.bootstrap(rows, ["variant"], rounds=500)
+    return experiments.bootstrap(rows, ["variant"])
 
 
 def queries() -> dict:
