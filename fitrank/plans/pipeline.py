@@ -16,10 +16,13 @@ def semantic_scores(vectors: DataFrame, probes: np.ndarray, k: int = 3) -> DataF
     return latest_by_id(pool_percentile(similarity(vectors, probes, k))).select("candidate_id", "semantic")
 
 
+def usable_scores(vectors: DataFrame, probes: np.ndarray | None) -> DataFrame | None:
+    """Semantic scores, or None where vectors and probes don't belong together."""
+    return semantic_scores(vectors, probes) if valid_artifacts(vectors, vectors.select("candidate_id"), probes) else None
+
+
 def rank_candidates(candidates: DataFrame, profile, n: int = 100, vectors: DataFrame | None = None, probes: np.ndarray | None = None) -> DataFrame:
     """candidate_id, rank, score, reasoning, trace. Vectors that don't belong together are left out, and texts alone
     decide."""
-    semantic = None
-    if vectors is not None and valid_artifacts(vectors, vectors.select("candidate_id"), probes):
-        semantic = semantic_scores(vectors, probes)
+    semantic = usable_scores(vectors, probes) if vectors is not None else None
     return explained(top_n(score(candidates, profile, semantic), n)).select("candidate_id", "rank", F.col("score"), "reasoning", "trace")

@@ -15,7 +15,7 @@ from ..operators.fit import chaser_penalty, domain_gate, seniority_band, stabili
 from ..operators.ranking import rank_all, score, tie_break_violations, top_n
 from ..profile import corpus_profile
 from .candidate_view import candidates, table
-from .pipeline import rank_candidates
+from .pipeline import rank_candidates, usable_scores
 
 PROFILE = corpus_profile()
 #: Rows of a sweep: the feature is to re-score a ranking's best under many parameters.
@@ -354,8 +354,10 @@ def weight_tuning(spark, sf_dir):
 @query()
 def perturb_sweep(spark, sf_dir):
     pool = candidates(spark, sf_dir)
-    best = top_n(score(pool, PROFILE), SUPERSET).select("candidate_id")
-    superset = pool.join(F.broadcast(best), "candidate_id", "left_semi").withColumn("semantic", F.lit(None).cast("double"))
+    semantic = usable_scores(_vectors(spark, sf_dir), _probes(spark, sf_dir))
+    best = top_n(score(pool, PROFILE, semantic), SUPERSET).select("candidate_id")
+    superset = pool.join(F.broadcast(best), "candidate_id", "left_semi")
+    superset = superset.withColumn("semantic", F.lit(None).cast("double")) if semantic is None else superset.join(semantic, "candidate_id", "left")
     return experiments.sweep(superset, PROFILE)
 
 
