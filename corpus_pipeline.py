@@ -68,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL cannot encode texts or learn from them; tests hold each stage against a brute-force version.
+#: SQL cannot encode texts or learn from them; tests hold the stages' operators against small tables.
 ORACLE_SQL = None

@@ -1,4 +1,4 @@
-"""Scores new profiles as they arrive, against a percentile table that was frozen from the pool."""
+"""Scores new profiles as they arrive, on texts alone; and a percentile table frozen from a pool, not used by that yet."""
 
 from __future__ import annotations
 
