@@ -2,7 +2,7 @@
 
 Pieces of equal length are alike, so packing needs only the histogram of lengths, which has at most
 `capacity` entries whatever the input: the plan is made from it on the driver and covers all rows.
-Lengths are placed longest first. Open sequences are kept as runs of like ones; of the runs whose residual
+Pieces that fill a sequence take one each and need no plan. Lengths are placed longest first. Open sequences are kept as runs of like ones; of the runs whose residual
 tokens, documents and attention cost all admit the piece, the one with the largest weighted dot product of
 normalised demand and spent capacity (or the smallest residual norm) takes it, as many at once as the run
 and the length allow. Each placement is one line of the plan: ranks of a length go to a run of sequences.
@@ -25,6 +25,10 @@ from . import tokenization as T
 from .shared import small_batches, written
 
 
+#: Blocks of a length that one task adds up.
+MOST_BLOCKS = 4096
+
+
 @dataclass(frozen=True)
 class Limits:
     """Capacities of a sequence; attention is the sum of squared lengths (None: tokens squared,
@@ -96,15 +100,17 @@ def plan_packing(histogram: dict[int, int], limits: Limits = Limits()) -> np.nda
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, position: str | None = None) -> DataFrame:
     """Encode whole texts, append end_id, cut only what is longer than `capacity`:
-    row, doc_id, piece, start, length, ids_crc32 and, where a column is named, the document's training position."""
+    row, doc_id, piece, start, length, ids_crc32, full (for a piece that fills a sequence, a negative number of its own)
+    and, where a column is named, the document's training position."""
     small_batches(docs.sparkSession)
     end = np.uint32(end_id).tobytes()
-    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"] + ["position"] * bool(position)
+    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "full"] + ["position"] * bool(position)
     types = {"piece": pa.int32(), "position": pa.float64()}
 
     def cut(batches):
         encode = T.coder(path, T.WordCoder).encode
         row = TaskContext.get().partitionId() << 40
+        full = -1 - row
         for batch in batches:
             out: list = []
             for doc_id, text, *at in zip(*(c.to_pylist() for c in batch.columns)):
@@ -113,27 +119,29 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, posit
                 n = len(ids) // 4
                 for k, a in enumerate(range(0, n, capacity)):
                     b = min(n, a + capacity)
-                    out.append((row, doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), *at))
+                    whole = b - a == capacity
+                    full -= whole
+                    out.append((row, doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), full if whole else None, *at))
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for n, c in zip(names, columns)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(position).cast("double").alias("position")] if position else []))
-    return rows.mapInArrow(cut, "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", position double" * bool(position))
+    return rows.mapInArrow(cut, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, full long" + ", position double" * bool(position))
 
 
 def _ranked(pieces: DataFrame, histogram: dict[int, int], block: int) -> DataFrame:
     """rank of each piece within its length, from 0, in training order where pieces have a position. A length is dealt
-    into blocks of about `block` rows (stretches of training time, or by hash), so that no task holds all of a common one."""
-    wide = F.lit(1).cast("long")
-    common = {k: -(-n // block) for k, n in histogram.items() if n > block}
-    if common:
-        table = F.create_map(*[F.lit(x).cast("long") for kv in sorted(common.items()) for x in kv])
-        wide = F.coalesce(F.element_at(table, F.col("length")), wide)
+    into blocks of about `block` rows (stretches of training time, or by hash) and at most MOST_BLOCKS of them, so that
+    neither its rows nor its blocks meet in one task."""
+    counts = [(k, min(MOST_BLOCKS, -(-n // block))) for k, n in sorted(histogram.items())]  # a row a length, so bounded by the capacity
+    wide = F.broadcast(pieces.sparkSession.createDataFrame(counts, "length long, wide long"))
     # a null doc_id is a value like any other
-    by_hash = F.pmod(F.xxhash64("row", "piece"), wide)
+    by_hash = F.pmod(F.xxhash64("row", "piece"), F.col("wide"))
     timed = ["position"] if "position" in pieces.columns else []
-    stretch = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "position")) * wide) if timed else None
-    dealt = pieces.withColumn("block", F.when(F.col("position").isNull(), by_hash).otherwise(F.least(stretch, wide - 1)) if timed else by_hash)
+    if timed:
+        stretch = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "position")) * F.col("wide"))
+        by_hash = F.when(F.col("position").isNull(), by_hash).otherwise(F.least(stretch, F.col("wide") - 1))
+    dealt = pieces.join(wide, "length").withColumn("block", by_hash).drop("wide")
     upto = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "block").count().select("length", "block", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "block").orderBy(*timed, "row", "piece")
@@ -149,7 +157,8 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
     Null and empty texts are one token (the end id). Repeated rows and null ids are documents of their
     own. Other columns are ignored; an empty table gives no rows."""
     pieces = written(cut_pieces(docs, path, limits.tokens, end_id, position), "pieces")
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    rest = pieces.where("full is null")
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}
     lines = plan_packing(histogram, limits)
     order = np.lexsort((lines[:, 1], lines[:, 0]))
     plan = docs.sparkSession.sparkContext.broadcast(lines[order])
@@ -166,8 +175,10 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
             f["offset"] = offset[line] + i % deep[line] * length[line]
             yield f[[*own, "sequence_id", "offset", *timed]]
 
-    ranked = _ranked(pieces, histogram, block).select(*own, "rank", *timed)
-    return ranked.mapInArrow(_by_frame(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", position double" * bool(position))
+    ranked = _ranked(rest, histogram, block).select(*own, "rank", *timed)
+    placed = ranked.mapInArrow(_by_frame(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", position double" * bool(position))
+    alone = pieces.where("full is not null").select(*own, F.col("full").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *timed)
+    return placed.unionByName(alone)
 
 
 def _by_frame(f):
