@@ -1,10 +1,10 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to frequencies.
 
-Pre-tokens are the space-led units of `tokenization.pieces`. Counts of the `head` most frequent units of
-a sample of documents (both bounds are parameters; they only decide which way a unit takes, never the
-result) travel to the workers as a table of bounded size. Frequencies of all other units are gathered by unit,
-compressed and dealt into buckets by a hash of the unit; in its bucket each distinct unit is counted once and joined
-to its documents' frequencies. Sums by document remain. Ids are never materialised.
+Texts are parted into the tokenizer's own pre-tokens (what only the library can part is kept as one). Counts of the
+`head` most frequent pre-tokens of a sample of documents (both bounds are parameters; they only decide which way a
+pre-token takes, never the result) travel to the workers as a table of bounded size. Frequencies of all others are
+gathered by pre-token, compressed and dealt into buckets by a hash of it; in its bucket each distinct one is counted once
+and joined to its documents' frequencies. Sums by document remain. Ids are never materialised.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import struct
 import zlib
 from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,46 +24,70 @@ from pyspark.sql import functions as F
 from . import tokenization as T
 from .shared import nb_partitions, small_batches, written
 
-#: A first unit stands at the start of a text, without a space before it; no other unit starts so.
-FIRST = "\t"
+#: Text that one bucket is laid out for, and the most buckets that are laid out.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 1 << 16
+#: Pre-tokens whose pieces a bucket's task remembers at once; beyond it forgets, and counts again what comes back.
+REMEMBERED = 1_000_000
+#: Bytes of names that a task gathers before it hands on.
+GATHERED_BYTES = 64 << 20
+#: Entries of sums that a task holds before it adds them up.
+HELD = 1_000_000
 
 
-def _units(text: str) -> list[str]:
-    units = T.pieces(text)
-    units[0] = FIRST + units[0]
-    return units
+def _parts(unit: str) -> list[str]:
+    """Pre-tokens of a unit, or the unit where only the library can part it."""
+    return [unit] if (parts := T.pre_tokens(unit)) is None else parts
 
 
-def _whole(unit: str) -> str:
-    return unit[1:] if unit[:1] == FIRST else " " + unit
+class _Split(T._Memory):
+    """unit -> pieces of its pre-tokens where all are in the head, else (pieces of those that are, the others)."""
 
+    def __init__(self, head: dict, led: str):
+        def split(unit):
+            parts = _parts(led + unit)
+            tail = tuple(p for p in parts if p not in head)
+            pieces = sum(head[p] for p in parts if p in head)
+            return (pieces, tail) if tail else pieces
 
-def _count_pieces(units: DataFrame, path: str) -> DataFrame:
-    """(unit) -> (unit, pieces): each row's pieces, counted by the library."""
+        super().__init__(split)
+
+
+def _counted(parts: list[str], path: str) -> list[int]:
+    """Pieces of each, by the library."""
+    return [len(e.ids) for e in T.library(path).encode_batch_fast(parts, add_special_tokens=False)]
 
-    def count_pieces(batches):
-        library = T.library(path)
-        for batch in batches:
-            unit = batch.column(0)
-            n = [len(e.ids) for e in library.encode_batch_fast([_whole(u) for u in unit.to_pylist()], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([unit, pa.array(n, pa.int64())], ["unit", "pieces"])
 
-    return units.mapInArrow(count_pieces, "unit string, pieces long")
+def head_parts(docs: DataFrame, path: str, size: int, sample_docs: int, every: int) -> dict[str, int]:
+    """The most frequent pre-tokens of about `sample_docs` documents (every `every`-th by hash), `size` at most (ties by
+    text), and their pieces."""
+    pairs = pa.schema([("part", pa.string()), ("n", pa.int64())])
 
+    def parts(batches):
+        for batch in batches:
+            units: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                first, *rest = T.pieces(text)
+                units.update([first])
+                units.update([" " + u for u in rest])
+            n: Counter = Counter()
+            for u, k in units.items():
+                for p in _parts(u):
+                    if len(p) <= T.LONG:
+                        n[p] += k
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], schema=pairs)
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_counted(batch.column(0).to_pylist(), path), pa.int64())], ["part", "pieces"])
 
-def head_units(docs: DataFrame, path: str, size: int, sample_docs: int) -> dict[str, int]:
-    """The most frequent units of about `sample_docs` documents, `size` at most (ties by unit), and their pieces."""
-    every = max(1, -(-docs.count() // sample_docs))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    units = some.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("unit"))
-    units = units.where((F.length("unit") <= T.LONG) & ~F.col("unit").rlike(r"^\s"))
-    common = units.groupBy("unit").count().where("count > 1").orderBy(F.desc("count"), "unit").limit(size).select("unit")
-    spread = written(common, "head").repartition(nb_partitions(docs.sparkSession))
-    return {r["unit"]: r["pieces"] for r in _count_pieces(spread, path).collect()}
+    some = docs.where("text <> ''").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    sums = some.mapInArrow(parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).where("n > 1")
+    common = written(sums.orderBy(F.desc("n"), "part").limit(size).select("part"), "head")
+    return {r["part"]: r["pieces"] for r in common.repartition(nb_partitions(docs.sparkSession)).mapInArrow(count, "part string, pieces long").collect()}
 
 
 class Tail:
-    """Per-document frequencies of units outside the head, gathered by unit and dealt into buckets."""
+    """Per-document frequencies of pre-tokens outside the head, gathered by pre-token and dealt into buckets."""
 
     def __init__(self, buckets: int):
         self.buckets, self.numbers = buckets, {}
@@ -70,17 +95,20 @@ class Tail:
 
     def clear(self):
         self.numbers.clear()
-        self.unit, self.row, self.freq = array("I"), array("q"), array("I")
+        self.unit, self.row, self.freq, self.bytes = array("I"), array("q"), array("I"), 0
 
     def add(self, row: int, freq: dict) -> None:
         numbers = self.numbers
         for u, n in freq.items():
-            self.unit.append(numbers.setdefault(u, len(numbers)))
+            number = numbers.setdefault(u, len(numbers))
+            if number == len(numbers) - 1:
+                self.bytes += len(u)
+            self.unit.append(number)
             self.row.append(row)
             self.freq.append(n)
 
     def blobs(self):
-        """(bucket, blob): the units of a bucket, once each, with the rows and frequencies of each."""
+        """(bucket, blob): the pre-tokens of a bucket, once each, with the rows and frequencies of each."""
         if not self.unit:
             return
         names = [u.encode("utf-8", "surrogatepass") for u in self.numbers]
@@ -98,7 +126,7 @@ class Tail:
 
 
 def open_blob(blob: bytes):
-    """(units, postings of each, rows, frequencies)."""
+    """(pre-tokens, postings of each, rows, frequencies)."""
     data = zlib.decompress(blob)
     first, n, m = struct.unpack_from("<qII", data)
     sizes, counts, rows, freq = (np.frombuffer(data, "<u4", k, at) for k, at in ((n, 16), (n, 16 + 4 * n), (m, 16 + 8 * n), (m, 16 + 8 * n + 4 * m)))
@@ -123,12 +151,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 1 <<
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = spark.sparkContext.broadcast(head_units(docs, path, head, sample_docs))
-    buckets = nb_partitions(spark)
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    every = max(1, -(-size["n"] // sample_docs))
+    known = spark.sparkContext.broadcast(head_parts(docs, path, head, sample_docs, every))
+    buckets = max(nb_partitions(spark), min(-(-(size["bytes"] or 0) // BUCKET_BYTES), MOST_BUCKETS))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
     def frequencies(batches):
-        get = known.value.get
+        led, bare = _Split(known.value, " "), _Split(known.value, "")
         row, tail = TaskContext.get().partitionId() << 40, Tail(buckets)
 
         def hand_on():
@@ -143,55 +173,63 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 1 <<
             rows, sizes, sums = [], [], []
             for text in batch.column(1).to_pylist():
                 row += 1
-                units = _units(text) if text else []
-                n = list(map(get, units))
-                if None in n:
-                    tail.add(row, Counter(u for u, k in zip(units, n) if k is None))
-                    n = filter(None, n)
+                units = T.pieces(text) if text else [""]
+                found = [bare[units[0]], *map(led.__getitem__, units[1:])]
+                others = [x for x in found if type(x) is tuple]
+                if others:
+                    total = sum(x for x in found if type(x) is int) + sum(x for x, _ in others)
+                    tail.add(row, Counter(chain.from_iterable(x for _, x in others)))
+                else:
+                    total = sum(found)
                 rows.append(row)
                 sizes.append(len(text.encode("utf-8")) if text else 0)
-                sums.append(sum(n))
+                sums.append(total)
+                if len(tail.unit) >= gathered or tail.bytes >= GATHERED_BYTES:
+                    yield from hand_on()
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), none, pa.nulls(len(rows), pa.binary())], schema=schema)
-            if len(tail.unit) >= gathered:
-                yield from hand_on()
         yield from hand_on()
 
     def join_pieces(batches):
-        """Blobs of a bucket meet here: every unit is counted when it first comes up and joined to all of its rows."""
-        library, pieces, of = T.library(path), {}, None
+        """Blobs of a bucket meet here: every pre-token is counted when it first comes up and joined to all of its rows."""
+        pieces, of = {}, None
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket != of:
+                if bucket != of or len(pieces) > REMEMBERED:
                     pieces, of = {}, bucket
-                units, counts, rows, freq = open_blob(blob)
-                new = [u for u in units if u not in pieces]
-                pieces.update(zip(new, (len(e.ids) for e in library.encode_batch_fast([_whole(u) for u in new], add_special_tokens=False))))
-                found, total = _summed(rows, np.repeat([pieces[u] for u in units], counts) * freq)
+                parts, counts, rows, freq = open_blob(blob)
+                new = [p for p in parts if p not in pieces]
+                pieces.update(zip(new, _counted(new, path)))
+                found, total = _summed(rows, np.repeat([pieces[p] for p in parts], counts) * freq)
                 sums = zlib.compress(found.astype("<i8").tobytes() + total.astype("<i8").tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([int(found[0]) >> 40], pa.int64()), pa.array([sums], pa.binary())], ["part", "sums"])
 
     def sum_by_row(batches):
         """Sums of a part (the rows that one task read) come back from all buckets and become one row a document."""
-        of, held = None, []
+        of, held, size = None, [], 0
+
+        def added():
+            return _summed(*(np.concatenate(x) for x in zip(*held)))
 
         def done():
             if held:
-                rows, n = (np.concatenate(x) for x in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], ["row", "n"])
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(rows, n)], ["row", "n"])
 
         for batch in batches:
             for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if part != of:
                     yield from done()
-                    of = part
+                    of, size = part, 0
                 both = np.frombuffer(zlib.decompress(sums), "<i8").astype(np.int64)
                 held.append((both[: len(both) // 2], both[len(both) // 2 :]))
+                size += len(both) // 2
+                if size > HELD:
+                    held[:], size = [added()], 0
         yield from done()
 
     gathered_rows = written(docs.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, n long, bucket long, blob binary"), "frequencies")
-    blobs = gathered_rows.where("bucket is not null").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    blobs = gathered_rows.where("bucket is not null").select("bucket", "blob").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     sums = blobs.mapInArrow(join_pieces, "part long, sums binary").repartition(buckets, "part").sortWithinPartitions("part")
     tail = sums.mapInArrow(sum_by_row, "row long, n long").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "n")
     rows = gathered_rows.where("bucket is null").select("row", "doc_id", "n_bytes", "n").union(tail)
