@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, written
+from .shared import free_name, row_numbers, written
 
 #: Words of the contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,17 +26,19 @@ SCHEDULES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0
 def source_targets(sizes: DataFrame, weights: int = 3, ceiling: int = 3) -> DataFrame:
     """(source, source_size) -> also number (from 0 by code point, null last), weight and target.
 
-    With caps c and weights w, the targets are min(c, level * w): sources in ascending c / w are capped
-    until the level that spends the rest stays below the next cap."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    numbered = sizes.withColumn("number", F.row_number().over(by_name) - 1).withColumn("weight", F.col("number") % weights + 1).withColumn("cap", F.col("source_size") * ceiling)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "number")
-    before, onward, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(onward).cast("double")
-    stepped = numbered.withColumn("level", level).withColumn("step", F.row_number().over(by_ratio))
-    reached = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("step", "level"))).over(whole)["level"]
-    target = F.least(F.col("cap").cast("double"), F.coalesce(reached, F.lit(float("inf"))) * F.col("weight"))
-    return stepped.withColumn("target", target).select("source", "source_size", "number", "weight", "target")
+    With caps c and weights w, the targets are min(c, level * w): sources above their cap are capped and the level that
+    spends the rest on the others is worked out anew, until none is above. Each round is one aggregate."""
+    numbered = row_numbers(sizes, [F.col("source").asc_nulls_last()], "number")
+    rows = written(numbered.withColumn("weight", F.col("number") % weights + 1).withColumn("cap", F.col("source_size") * ceiling), "numbered")
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") < F.lit(level) * F.col("weight")
+        now = rows.agg(F.count_if(above).alias("n"), F.sum("source_size").alias("whole"), F.sum(F.when(above, F.col("cap")).otherwise(0)).alias("spent"), F.sum(F.when(above, 0).otherwise(F.col("weight"))).alias("weight")).first()
+        if now["n"] == capped or not now["weight"]:
+            break
+        capped, level = now["n"], float(now["whole"] - now["spent"]) / float(now["weight"])
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return rows.withColumn("target", target).select("source", "source_size", "number", "weight", "target")
 
 
 def invert_schedule(share: Column, knots) -> Column:
@@ -53,9 +55,23 @@ def invert_schedule(share: Column, knots) -> Column:
     return time.otherwise(F.lit(float(knots[-1][0])))
 
 
+def schedule_sql(share: str, knots) -> str:
+    """The same as DuckDB SQL."""
+    parts = [((t1 - t0) * (r0 + r1) / 2, t0, t1, r0, r1) for (t0, r0), (t1, r1) in zip(knots, knots[1:])]
+    total, done, cases = sum(p[0] for p in parts), 0.0, []
+    number = lambda x: f"{float(x)!r}::DOUBLE"
+    for area, t0, t1, r0, r1 in parts:
+        rest = f"greatest({share} * {number(total)} - {number(done)}, 0::DOUBLE)"
+        root = f"sqrt(greatest({number(r0 * r0)} + {number(2 * ((r1 - r0) / (t1 - t0)))} * {rest}, 0::DOUBLE))"
+        done += area
+        cases.append(f"WHEN {share} * {number(total)} <= {number(done)} THEN least({number(t1)}, {number(t0)} + 2 * {rest} / ({number(r0)} + {root}))")
+    return f"CASE {' '.join(cases)} ELSE {number(knots[-1][0])} END"
+
+
 def _before(rows: DataFrame) -> DataFrame:
     """Adds `before`: the words of earlier rows of the same source and kind (long or not), in order of mark and
-    doc_id. Rows are dealt by leading digits of their mark, so a hot source is spread over many tasks."""
+    doc_id. Rows are dealt by leading digits of their mark, so a hot source is spread over many tasks; as there are at
+    most three digits, its deals are few enough for one."""
     keys = ["source", "long", "deal"]
     dealt = rows.withColumn("deal", F.expr("substring(mark, 1, digits)"))
     upto = Window.partitionBy("source", "long").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +104,7 @@ def mix(docs: DataFrame, weights: int = 3, ceiling: int = 3, schedules=SCHEDULES
     is_long = F.col("size") * 256 > F.col("source_size")
     sized = written(sources, "targets")
     parts = _with(narrow, sized, "source_size").groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.when(is_long, F.col("size")).otherwise(0)).alias("long_size"))
-    digits = F.least(F.lit(12), F.ceil(F.log(F.greatest(F.lit(1.0), F.col("rows") / block)) / F.log(F.lit(16.0)))).cast("int")
+    digits = F.least(F.lit(3), F.ceil(F.log(F.greatest(F.lit(1.0), F.col("rows") / block)) / F.log(F.lit(16.0)))).cast("int")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     known = written(_with(sized, parts, "rows", "long_size").withColumn("digits", digits).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
     columns = ("source_size", "number", "target", "digits", "whole", "rest", "long_size")
@@ -116,16 +132,18 @@ def mix(docs: DataFrame, weights: int = 3, ceiling: int = 3, schedules=SCHEDULES
 
 
 def in_training_order(plan: DataFrame) -> DataFrame:
-    """Rows of a mix, range-sorted by the training position of their first pass; what is never taken comes last."""
-    first = free_name(plan, "first_position")
-    order = [F.col(first).asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
-    return plan.withColumn(first, F.get("positions", F.lit(0))).repartitionByRange(*order).sortWithinPartitions(*order).drop(first)
+    """Rows of a mix with the training positions of their first and last pass (to nine places), range-sorted by the
+    first; what is never taken has none and comes last."""
+    place = lambda i: F.round(F.try_element_at("positions", F.lit(i)), 9)
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
+    return plan.withColumn("first_position", place(1)).withColumn("last_position", place(-1)).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as taken, range-sorted by training position, which is
-    kept as the column mix_position."""
+    kept as the column mix_position. Rows are numbered and written before, so that a number is the same row wherever
+    it is read."""
     key, position = free_name(docs, "mix_row"), free_name(docs, "mix_position")
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix", "zstd")
     plan = mix(rows, key=key, **options).where("passes > 0").select(key, F.explode("positions").alias(position))
     return rows.join(plan, key).repartitionByRange(position, key).sortWithinPartitions(position, key).drop(key)

@@ -1,39 +1,15 @@
-"""Helpers of the training-data operators: shared folders, files and cached tables."""
+"""Helpers of the training-data operators: tables, files and Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fitrank.shipping import ship
+from fitrank.storage import free_name, release, row_numbers, shared_path, shared_root, written
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temp folder is
-    made only where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="fitrank-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared root."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage and survives
-    the loss of executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "free_name", "get_file", "nb_partitions", "put_file", "release", "row_numbers", "shared_path", "shared_root", "small_batches", "table", "written"]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -77,16 +53,3 @@ def get_file(uri: str) -> bytes:
 
 def nb_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """`name`, with underscores added until no column of df has it (case-insensitively)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
-
