@@ -1,10 +1,12 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are range-sorted by page_id, one gzip member each; a shard rolls to a new file once its compressed size
-reaches `roll_bytes`. Headers and digests are made anew from the payload. Files are written under temporary names and
-renamed to names that follow from their place, so a repeated task writes the same bytes to the same name; the
-manifest, written when all are in place, is the commit: readers open only what it lists and check each file's digest.
-Of equal payloads of at least `least_bytes`, the largest page_id holds the response, the others revisit it.
+Records are range-sorted by page_id into shards, one gzip member each; a shard rolls to a new file once its compressed
+size reaches `roll_bytes`. The number of shards and their bounds follow from the rows alone (exact counts and ids chosen
+by hash), whatever the partitions, so that every run writes the same files. Headers and digests are made anew from the
+payload. Files are written under temporary names and renamed to names that follow from their place, so a repeated task
+writes the same bytes to the same name; the manifest, written when all are in place, is the commit: readers open only
+what it lists and check each file's digest. Of equal payloads (by SHA-256 and size) of at least `least_bytes`, the
+largest page_id holds the response, the others revisit it.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,49 +83,88 @@ def read_records(data: bytes):
         yield number("X-Page-Id"), size, digest, head["WARC-Type"], number("X-Refers-To-Page")
 
 
-def _roles(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages (page_id, url, html) with digest, size and refers_to; revisits have a null html."""
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, html as bytes (null: empty), digest (SHA-1), same (SHA-256), size, and place: a text that orders
+    rows by page_id (null first), then by the first of their digest."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
-    narrow = rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "size")
-    holders = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.min("page_id").alias("low")).where("low < holder").select("digest", "size", "holder")
-    revisits = narrow.join(holders, ["digest", "size"]).where("page_id < holder").select(F.col("page_id").alias("revisit"), F.col("digest").alias("same"), F.col("holder").alias("refers_to")).distinct()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("digest", F.sha1("html")).withColumn("same", F.unhex(F.sha2("html", 256))).withColumn("size", F.octet_length("html").cast("long"))
+    number = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return rows.withColumn("place", F.concat(F.coalesce(number, F.lit("")), F.lit("/"), F.substring("digest", 1, 4)))
+
+
+def _roles(rows: DataFrame, marks: DataFrame, least_bytes: int) -> DataFrame:
+    """Payload rows with refers_to; revisits have a null html."""
+    narrow = marks.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "same", "size")
+    holders = narrow.groupBy("same", "size").agg(F.max("page_id").alias("holder"), F.min("page_id").alias("low")).where("low < holder").select("same", "size", "holder")
+    revisits = narrow.join(holders, ["same", "size"]).where("page_id < holder").select(F.col("page_id").alias("revisit"), F.col("same").alias("as"), F.col("holder").alias("refers_to")).distinct()
     revisits = written(revisits, "revisits")
     if revisits.count() <= BROADCAST_ROWS:  # then pages are not shuffled to meet them
         revisits = F.broadcast(revisits)
-    joined = rows.join(revisits, (F.col("page_id") == F.col("revisit")) & (F.col("digest") == F.col("same")), "left")
-    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "size", "refers_to")
+    joined = rows.join(revisits, (F.col("page_id") == F.col("revisit")) & (F.col("same") == F.col("as")), "left")
+    return joined.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).drop("revisit", "as")
+
 
+def shard_bounds(marks: DataFrame, shard_rows: int = 256, most_small: int = 256, shard_bytes: int = 256 << 20) -> np.ndarray:
+    """Places at which shards after the first begin. Shards: one for each `shard_bytes`, but one for each `shard_rows` up
+    to `most_small`. Bounds are quantiles of places chosen by a hash of the place, some 16 a shard."""
+    size = marks.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    shards = max(1, min(most_small, -(-size["n"] // shard_rows)), -(-(size["bytes"] or 0) // shard_bytes))
+    every = max(1, size["n"] // max(65536, 16 * shards))
+    chosen = marks.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").distinct().toPandas()["place"]
+    places = np.sort(chosen.to_numpy(str))
+    return np.unique(places[[len(places) * i // shards for i in range(1, shards)]]) if len(places) else places
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 6, **bounds) -> DataFrame:
     """Write a record for each page, in order of page_id (null ids first), and commit the manifest, which is returned:
-    part, seq, file, records, bytes, sha256."""
+    part, seq, file, records, bytes, sha256. `bounds`: options of shard_bounds. Rows of one id (or none) are split by
+    their digest's first four digits; rows alike in both stay in one shard."""
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def write(batches):
-        part, members, size, rows = TaskContext.get().partitionId(), [], 0, []
+        part, seq, members, size = None, 0, [], 0
 
         def roll():
+            nonlocal seq, size
             data = b"".join(members)
-            file = put_file(folder, f"part-{part:06d}-{len(rows):06d}.warc.gz", data)
-            rows.append({"part": part, "seq": len(rows), "file": file, "records": len(members), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+            file = put_file(folder, f"part-{part:06d}-{seq:06d}.warc.gz", data)
+            row = {"part": part, "seq": seq, "file": file, "records": len(members), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
             members.clear()
+            seq, size = seq + 1, 0
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for page_id, url, html, digest, n, refers_to in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for shard, page_id, url, html, digest, n, refers_to in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if shard != part:
+                    if members:
+                        yield roll()
+                    part, seq = shard, 0
                 record = record_bytes(page_id, url, html, digest, n, refers_to, date)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 members.append(packer.compress(record) + packer.flush())
                 size += len(members[-1])
                 if size >= roll_bytes:
-                    roll()
-                    size = 0
+                    yield roll()
         if members:
-            roll()
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    small_batches(pages.sparkSession)
-    ordered = _roles(pages, least_bytes).repartitionByRange(nb_partitions(pages.sparkSession), "page_id").sortWithinPartitions("page_id", "digest", "url")
+            yield roll()
+
+    spark = pages.sparkSession
+    small_batches(spark)
+    rows = _payloads(pages)
+    marks = written(rows.select("page_id", "same", "size", "place"), "digests")
+    starts = shard_bounds(marks, **bounds)
+    shards, tasks = len(starts) + 1, nb_partitions(spark)
+    begin = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("int")
+    def shard_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(begin.value, place.to_numpy(str), side="right"))
+
+    placed = _roles(rows, marks, least_bytes).withColumn("shard", shard_of("place"))
+    # a shard is one task's; its neighbours are in the same or the next
+    dealt = placed.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int"))
+    ordered = dealt.sortWithinPartitions("shard", "page_id", "same", "url").select("shard", "page_id", "url", "html", "digest", "size", "refers_to")
     return written(ordered.mapInArrow(write, "part long, seq long, file string, records long, bytes long, sha256 string"), "warc-manifest")
 
 

@@ -3,7 +3,6 @@
 import zlib
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +52,13 @@ def test_packing(spark):
         assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 4096
 
 
+def test_packing_needs_few_sequences(spark):
+    """Within one sequence in a hundred of the least possible, over a whole synthetic table."""
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), WORD)
+    tokens, sequences = got.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert sequences <= -(-tokens // 4096) * 1.01 + 1 and got.where("length = 4096").groupBy("sequence_id").count().where("count > 1").isEmpty()
+
+
 def test_mixing(spark):
     got = mixing.mix(documents(spark)).toPandas()
     assert len(got) == 14 and (got["taken"] <= 3 * got["size"]).all() and abs(got.groupby("source", dropna=False)["target"].first().sum() - got["size"].sum()) < 1e-6
@@ -85,19 +91,43 @@ def test_near_duplicates(spark, width):
 
 
 def test_personal_data(spark):
-    got = {r.doc_id: r for r in personal_data.personal_data(documents(spark)).collect()}
-    assert (got[8].n_email, got[8].n_phone) == (1, 1) and got[8].spans.startswith("email:5:13,phone:17:")
-    assert got[0].spans == "" and got[0].base_sha256.startswith("e3b0c442")
-    clean = {r.doc_id: r.text for r in personal_data.redact(documents(spark)).collect()}
+    import hashlib
+
+    from test_codecs import plain_spans
+
+    contacts = "Mr. Peter Smith, phone 212 555 1234, mail p@x.org; card 4111 1111 1111 1111; " * 3
+    more = spark.createDataFrame([(50 + i, contacts + "x" * i, "en", "a", 0, 0, 0, "x") for i in range(5)], SCHEMA)
+    docs = documents(spark).union(more)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = personal_data.personal_data(docs).collect()
+    assert len(got) == 19
+    for r in got:
+        base = plain_spans(texts[r.doc_id])
+        form = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == hashlib.sha256(form.encode()).hexdigest()
+        every = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        loose = [s for s in every if s not in base]
+        assert [s for s in every if s in base] == base and every == sorted(every, key=personal_data._by_place)
+        assert all((*s, False) in personal_data.candidate_spans(texts[r.doc_id]) for s in loose)
+        assert r.doc_id is None or r.doc_id < 50 or {s[0] for s in loose} >= {"phone"}
+    clean = {r.doc_id: r.text for r in personal_data.redact(docs).collect()}
     assert clean[8].startswith("mail [EMAIL] or [PHONE] long") and clean[0] is None and clean[4] == BASE
+    assert "4111" not in clean[50] and "212 555" not in clean[50] and clean[54].endswith("[CARD]; xxxx")
+    assert personal_data.redact(docs).columns == docs.columns
 
 
 def test_media(spark):
     import hashlib
 
+    sha = lambda x: hashlib.sha256(x).hexdigest()
     for r in media.media_features(documents(spark)).join(documents(spark).select("doc_id", "text").distinct(), "doc_id").collect():
-        n, payload = media.padded(r.text)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest()) and "errors=0" in r.feature
+        raw = (r.text or "").encode()
+        payload = raw + b"\0" * (64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        stream = media.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stream), sha(stream)) and "errors=0" in r.feature
+        assert len(r.timestamps) == -(-len(payload) // media.UNIT) and [p.time for p in r.access_points] == r.timestamps[:: media.RAP_EVERY]
 
 
 def test_language(spark):
@@ -108,6 +138,25 @@ def test_language(spark):
     assert {9, 10, 11} <= kept and not kept & {0, 1, 2}
 
 
+def test_language_accuracy_on_held_out_documents(spark):
+    """Over a whole synthetic table: accuracy, a share of clean documents that stay, and the same model again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    again = language_id.fit(docs.repartition(5))
+    assert model.languages == again.languages and np.array_equal(model.centroids, again.centroids) and np.array_equal(model.floors, again.floors)
+    rows = language_id.identify(docs, model).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null and text rlike '\\\\p{L}'").toPandas()
+    assert len(rows) > 250 and (rows.lang == rows.lang_pred).mean() >= 0.97 and rows.rejected.mean() <= 0.01
+
+
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of number "), F.col("id")).alias("text"), F.when(F.col("id") % 3 < 2, "en").otherwise("fr").alias("lang"))
+    for options, most in (({"per_language": 50}, 50), ({"sample_rows": 30}, 15)):
+        sizes = {r["lang"]: r["count"] for r in language_id.training_sample(rows, **options).groupBy("lang").count().collect()}
+        assert set(sizes) == {"en", "fr"} and max(sizes.values()) == most
+    ids = {r.doc_id for r in language_id.training_sample(rows).collect()}
+    assert not any(zlib.crc32(str(i).encode()) % 3 == 1 for i in ids)
+
+
 def test_archives(spark):
     big = "x" * 1500
     pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, None, big), (4, "u", None), (5, "u", "s"), (6, "u", "s"), (None, "u", big)], "page_id long, url string, html string")
@@ -115,15 +164,53 @@ def test_archives(spark):
     assert got == {1: (1500, "revisit", 3), 2: (1500, "revisit", 3), 3: (1500, "response", None), 4: (0, "response", None), 5: (1, "response", None), 6: (1, "response", None), None: (1500, "response", None)}
 
 
-def test_vectors(spark):
+def test_archives_are_the_same_bytes_every_time(spark, tmp_path):
+    """Over two runs, other partitions of the input and other numbers of shuffle partitions."""
+    rows = [(i * 7 % 1000 if i % 9 else None, f"http://h/{i}", f"<p>{i % 300}</p>" * (i % 50)) for i in range(1200)]
+    manifests = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, partitions in enumerate((3, 7, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+            written = warc.write_archives(pages, str(tmp_path / str(k)), roll_bytes=2000, shard_rows=100)
+            manifests.append(sorted((r.part, r.seq, r.file.rpartition("/")[2], r.records, r.bytes, r.sha256) for r in written.collect()))
+            assert sorted(p.name for p in (tmp_path / str(k)).iterdir() if not p.name.startswith(".")) == [m[2] for m in manifests[-1]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert manifests[0] == manifests[1] == manifests[2] and len({m[0] for m in manifests[0]}) > 5 and sum(m[3] for m in manifests[0]) == 1200
+
+
+def test_archives_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1200, "s", 1, "d", 2), (1, "u", "x" * 1200, "s", 1, "d", 2), (2, "u", "x" * 1200, "s", 1, "d", 2)], "page_id long, url string, html string, shard string, size int, DIGEST string, refers_to long")
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.archive_pages(pages).collect())
+    assert got == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", 0)]
+
+
+@pytest.mark.parametrize("options", [{"shard": 16, "leaf": 4, "query_block": 2, "least_block": 1}, {"shard": 8, "leaf": 2, "sample": 20, "most_cells": 3}, {}])
+def test_vectors(spark, options):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(60)] + [(60, None), (61, [1.0, float("nan"), 0.0, 0.0, 0.0]), (62, []), (63, [0.1] * 5), (64, [0.1] * 5)]
-    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7, shard=16, leaf=4, query_block=2, shards_a_run=2).toPandas()
-    v = {i: np.floor(64 * np.array(x)) for i, x in rows if x and not np.isnan(x).any()}
-    for q in (0, 20, 40):
-        want = sorted((-int(v[q] @ v[j]), j) for j in v if j != q)[:7]
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(60)] + [(60, None), (61, [1.0, float("nan"), 0.0, 0.0, 0.0]), (62, []), (63, [0.1] * 5), (64, [0.1] * 5), (None, [0.1] * 5)]
+    rows += [(100 + i, [0.5] * 5) for i in range(70)] + [(300 + i, [0.1 * i] * 3) for i in range(30)]
+    # repeated rows, and one id with two vectors, of which the greater counts
+    rows += rows[:30] + [(7, [-9.0] * 5)]
+    table = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, dim int, SHARD int, vector int, tree int")
+    got = vector_search.top_k(table, F.col("vec_id") % 20 == 0, k=7, **options).toPandas()
+    v: dict = {}
+    for i, x in rows:
+        if i is not None and x and not np.isnan(x).any():
+            v[i] = max(v.get(i, [-1e9]), np.floor(64 * np.array(x)).tolist())
+    for q in (i for i in v if i % 20 == 0):
+        want = sorted((-np.dot(v[q], v[j]), j) for j in v if j != q and len(v[j]) == len(v[q]))[:7]
         g = got[got.query_id == q].sort_values("rank")
-        assert list(zip(-g.score, g.vec_id)) == want
+        assert list(zip(-g.score, g.vec_id)) == want and g["rank"].tolist() == list(range(1, len(want) + 1))
+    assert set(got.query_id) == {i for i in v if i % 20 == 0}
+
+
+def test_vectors_beyond_exact_doubles(spark):
+    rows = [(0, [3e9, 1.0]), (1, [3e9, 1.0]), (2, [3e9, 2.0]), (3, [-3e9, 0.0])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3, scale=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 9 * 10**18 + 2), (1, 9 * 10**18 + 1), (3, -9 * 10**18)]
 
 
 def test_empty_tables(spark):
@@ -138,7 +225,20 @@ def test_pipeline_columns(spark, tmp_path):
     import corpus_pipeline
 
     docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         assert stage(spark, docs, "").columns == docs.columns
-    assert isinstance(corpus_pipeline.run(spark, str(tmp_path)).toPandas(), pd.DataFrame)
+    empty = docs.where("false")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shared_folder_is_released(spark):
+    from fitrank.llm import shared
+
+    path = shared.shared_path(spark, "x")
+    rows = shared.written(spark.range(3), "x")
+    assert rows.count() == 3 and shared.shared_root(spark) in path
+    numbers = shared.row_numbers(spark.range(100).select((F.col("id") * 37 % 100).alias("v")), [F.col("v")], "n").where("n <> v")
+    assert numbers.isEmpty()
+    shared.release(spark)
+    assert shared.written(spark.range(3), "x").count() == 3
