@@ -1,11 +1,14 @@
 """Exact top-k inner-product search by KD-trees per shard.
 
-Rows are dealt into shards; each shard becomes a tree: the widest dimension is split at its median until a
-leaf holds `leaf` vectors, and every node keeps the tight box and the smallest id of its vectors. No vector
-of a box scores higher with query q than sum(max(q * low, q * high)). Queries come in blocks. A task walks
-the trees of a run of shards for one block, best bound first; nodes are left out for every query whose
-k-th best (score, id) they cannot better, and that k-th best goes on from shard to shard. Runs are merged
-by rank. Scores are exact integers.
+Rows are dealt into shards by space, as the top levels of one tree would: medians of the widest dimension of a bounded
+sample; cells with more rows than a shard holds are dealt on by a hash of the id. Each shard becomes a tree: the widest
+dimension is split at its median until a leaf holds `leaf` vectors, and every node keeps the tight box and the smallest
+id of its vectors. Trees are written once to the shared folder; their root boxes and places are the table of trees.
+
+No vector of a box scores higher with query q than sum(max(q * low, q * high)). Queries come in blocks, neighbours in
+space together. A task takes one block through a list of trees, best root bound first, and opens a tree only if its root
+may better the k-th best (score, id) of some query; within a tree it goes on best bound first. The k-th best is passed on
+from tree to tree. What is moved is the rows, once, and a line for each block and tree. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import nb_partitions, small_batches, written
+from .shared import get_file, nb_partitions, put_file, shared_path, small_batches, written
 
 NO_ID = np.iinfo(np.int64).max
-#: Below every score; exact as a double and as a 64-bit integer.
+#: Below every score that is exact as a double; 64-bit integers have their own least.
 LOWEST = -(2**62)
+#: Trees whose lines may be broadcast: 10,000 are some 10 MB in 64 dimensions.
+BROADCAST_TREES = 10_000
 
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray, leaf: int = 128) -> dict:
@@ -58,7 +63,8 @@ class Best:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
-        self.scores = np.full((len(ids), k), LOWEST, queries.dtype)
+        self.lowest = LOWEST if queries.dtype.kind == "f" else -np.iinfo(np.int64).max
+        self.scores = np.full((len(ids), k), self.lowest, queries.dtype)
         self.found = np.full((len(ids), k), NO_ID)
 
     def may_gain(self, bound: np.ndarray, least: int) -> np.ndarray:
@@ -69,7 +75,7 @@ class Best:
         scores = self.queries[who] @ vectors.T
         own = self.ids[who][:, None] == ids[None, :]
         if own.any():
-            scores[own] = LOWEST
+            scores[own] = self.lowest
         all_scores = np.hstack([self.scores[who], scores])
         all_ids = np.hstack([self.found[who], np.where(own, NO_ID, ids[None, :])])
         cut = all_scores.shape[1] - self.k
@@ -115,77 +121,183 @@ def clean_vectors(rows: DataFrame, scale: int = 64, id_name: str = "vec_id", vec
     return rows.where(usable).select(F.col(id_name).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x * scale).cast("long")).alias("vector"))
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard: int = 8192, shards_a_run: int = 8, query_block: int = 1024, leaf: int = 256) -> DataFrame:
+def one_per_id(clean: DataFrame) -> DataFrame:
+    """Rows of one vec_id are one vector, the greatest of them."""
+    return clean.groupBy("vec_id").agg(F.max("vector").alias("vector"))
+
+
+def space_cells(sample: np.ndarray, cells: int) -> list[tuple]:
+    """Nodes (dimension, median, left, right) that cut space into about `cells` cells of equally many sampled vectors; a
+    child below 0 is cell -1 - child. Equal vectors stay together."""
+    nodes: list[list] = []
+    todo, found = [(np.arange(len(sample)), cells, -1, 2)], 0
+    while todo:
+        rows, want, parent, side = todo.pop()
+        spread = sample[rows].max(axis=0) - sample[rows].min(axis=0) if want > 1 and len(rows) > 1 else np.zeros(1)
+        me = -1 - found
+        if spread.max() > 0:
+            wide = int(np.argmax(spread))
+            values = sample[rows, wide]
+            cut = float(np.median(values))
+            cut = cut if (values < cut).any() else float(values[values > cut].min())
+            me = len(nodes)
+            nodes.append([wide, cut, 0, 0])
+            todo += [(rows[values >= cut], want // 2, me, 3), (rows[values < cut], want - want // 2, me, 2)]
+        else:
+            found += 1
+        if parent >= 0:
+            nodes[parent][side] = me
+    return [tuple(n) for n in nodes]
+
+
+def cell_of(vectors: np.ndarray, nodes: list[tuple]) -> np.ndarray:
+    """The cell of each vector."""
+    out = np.zeros(len(vectors), np.int32)
+    todo = [(0, np.arange(len(vectors)))] if nodes else []
+    while todo:
+        node, rows = todo.pop()
+        wide, cut, *children = nodes[node]
+        right = vectors[rows, wide] >= cut
+        for child, own in zip(children, (rows[~right], rows[right])):
+            if child < 0:
+                out[own] = -1 - child
+            elif len(own):
+                todo.append((child, own))
+    return out
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def in_cells(vectors: DataFrame, shard: int, sample: int, most_cells: int) -> DataFrame:
+    """vec_id, vector, dim, cell. Cells are laid out from at most about `sample` vectors (every n-th by hash of its id, all
+    of them at most 32 MB); the sample decides how well boxes part, never the result."""
+    dims = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    cells = {}
+    for dim, n in dims.items():
+        every = max(1, -(-n // max(1, min(sample, (32 << 20) // (8 * dim)))))
+        some = vectors.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0)).orderBy("vec_id").select("vector").toArrow()
+        cells[dim] = space_cells(_matrix(some.column(0), some.num_rows), min(most_cells, -(-n // shard))) if some.num_rows else []
+    known = vectors.sparkSession.sparkContext.broadcast(cells)
+
+    def assign(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            cell = np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(sizes):
+                own = np.flatnonzero(sizes == dim)
+                cell[own] = cell_of(_matrix(batch.column(1).take(pa.array(own)), len(own)), known.value[int(dim)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(cell)], ["vec_id", "vector", "dim", "cell"])
+
+    return vectors.select("vec_id", "vector").mapInArrow(assign, "vec_id long, vector array<bigint>, dim int, cell int")
+
+
+def _dealt(rows: DataFrame, size: int, name: str, salt: int) -> DataFrame:
+    """Adds `name`: cells of up to `size` rows are put together in order, larger ones dealt by a hash of the id."""
+    counts = sorted((r["dim"], r["cell"], r["n"]) for r in rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect())  # a row a cell
+    table, number, room, of = [], -1, 0, None
+    for dim, cell, n in counts:
+        if n > size or n > room or dim != of:
+            number, room, of = number + 1, size, dim
+        table.append((dim, cell, number, -(-n // size)))
+        number, room = number + -(-n // size) - 1, room - n
+    firsts = F.broadcast(rows.sparkSession.createDataFrame(table, f"dim int, cell int, {name}_first int, {name}_wide int"))
+    own = F.col(f"{name}_first") + F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(f"{name}_wide").cast("long")).cast("int")
+    return rows.join(firsts, ["dim", "cell"]).withColumn(name, own).drop(f"{name}_first", f"{name}_wide")
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard: int = 8192, query_block: int = 4096, least_block: int = 128, leaf: int = 256, sample: int = 16384, most_cells: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each query row with all other rows,
-    ties to the smaller vec_id; fewer rows give fewer. Only vectors of equal length are compared. Rows of the
-    query's own id count as the query itself. Ids are taken to be unique. is_query is a condition on vec_id.
-    Other columns are ignored; an empty table gives no rows."""
+    ties to the smaller vec_id; fewer rows give fewer. Only vectors of equal length are compared. Rows of one id are one
+    vector, the greatest of them. Inner products must fit 64-bit integers. is_query is a condition on vec_id. Other columns are ignored; an empty table gives no
+    rows. A shard holds about `shard` vectors; a block of queries `query_block` at most and, to employ all tasks,
+    `least_block` or more."""
     spark = rows.sparkSession
     small_batches(spark)
-    clean = written(clean_vectors(rows, scale), "vectors").withColumn("dim", F.size("vector"))
-    n = max(1, clean.count())
-    shards = -(-n // shard)
-    runs = -(-shards // shards_a_run)
-    marked = clean.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    clean = written(one_per_id(clean_vectors(rows, scale)), "vectors")
+    placed = written(in_cells(clean, shard, sample, most_cells), "cells")
+    folder = shared_path(spark, "trees")
+    queries = placed.where(is_query)
+    asked = queries.count()
+    block = max(1, min(query_block, max(least_block, -(-asked // nb_partitions(spark)))))
 
     def tree(key, batch):
+        dim, number = key[0].as_py(), key[1].as_py()
         ids = batch.column("vec_id").to_numpy()
-        flat = batch.column("vector").combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(len(ids), -1)
-        built = build_tree(ids, vectors, leaf)
-        blob = pickle.dumps(built | {"largest": int(np.abs(vectors).max())}, protocol=5)
-        return pa.table({"dim": [key[0].as_py()], "run": [key[1].as_py() % runs], "shard": [key[1].as_py()], "blob": pa.array([blob], pa.binary())}, schema=pa.schema([("dim", pa.int32()), ("run", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())]))
-
-    trees = marked.groupBy("dim", "shard").applyInArrow(tree, "dim int, run int, shard int, blob binary")
-    queries = clean.where(is_query)
-    blocks = max(1, -(-queries.count() // query_block))
+        vectors = _matrix(batch.column("vector"), len(ids))
+        built = build_tree(ids, vectors, leaf) | {"largest": int(np.abs(vectors).max())}
+        file = put_file(folder, f"tree-{dim}-{number:08d}", pickle.dumps(built, protocol=5))
+        line = {"dim": [dim], "tree": [{"file": file, "least": int(ids.min()), "low": built["low"][0].tolist(), "high": built["high"][0].tolist()}]}
+        return pa.table(line, schema=pa.schema([("dim", pa.int32()), ("tree", pa.struct([("file", pa.string()), ("least", pa.int64()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))]))]))
 
     def gather(key, batch):
+        dim, number = key[0].as_py(), key[1].as_py()
         ids = batch.column("vec_id").to_numpy()
-        vectors = batch.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        blob = pickle.dumps((ids, vectors), protocol=5)
-        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "blob": pa.array([blob], pa.binary())}, schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]))
+        file = put_file(folder, f"block-{dim}-{number:08d}", pickle.dumps((ids, _matrix(batch.column("vector"), len(ids))), protocol=5))
+        return pa.table({"dim": [dim], "block": [file]}, schema=pa.schema([("dim", pa.int32()), ("block", pa.string())]))
 
-    blocked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(gather, "dim int, block int, blob binary")
-    # every block meets every run: blocks go to each run, shards of a run to each block
-    right = blocked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).select("dim", "block", "run", F.lit(-1).alias("shard"), "blob")
-    left = written(trees, "trees").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "block", "run", "shard", "blob")
+    line = "dim int, tree struct<file:string,least:bigint,low:array<bigint>,high:array<bigint>>"
+    trees = written(_dealt(placed, shard, "shard", 0).groupBy("dim", "shard").applyInArrow(tree, line), "trees")
+    blocks = written(_dealt(queries, block, "number", 1).groupBy("dim", "number").applyInArrow(gather, "dim int, block string"), "blocks")
+    # where blocks are too few to employ all tasks, each goes through several shorter lists of trees
+    n_trees, n_blocks = trees.count(), blocks.count()
+    runs = max(1, min(n_trees, nb_partitions(spark) // max(1, n_blocks)))
+    lists = trees.withColumn("run", F.pmod(F.xxhash64("tree.file"), F.lit(runs)).cast("int"))
+    # one line for each block and tree of its dimension: the query set against all rows, in blocks
+    work = blocks.join(F.broadcast(lists) if n_trees <= BROADCAST_TREES else lists, "dim").select("block", "run", "tree")
 
     def search(batches):
-        best, at = None, None
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        at, lines = None, []
 
         def done():
-            if best is None:
-                return
+            best = _searched(at[0], lines, k)
+            lines.clear()
             ok = best.found != NO_ID
-            who = np.repeat(best.ids, ok.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best.found[ok]), pa.array(best.scores[ok].astype(np.int64))], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, ok.sum(axis=1))), pa.array(best.found[ok]), pa.array(best.scores[ok].astype(np.int64))], schema=schema)
 
         for batch in batches:
-            for dim, block, run, number, blob in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (dim, block, run) != at:
-                    yield from done()
-                    best, at = None, (dim, block, run)
-                data = pickle.loads(blob)
-                if number < 0:
-                    ids, raw = data
-                    largest_query = int(np.abs(raw).max())
-                    best = Best(ids, _typed(raw, largest_query), k)
-                elif best is not None:
-                    largest = max(data["largest"], largest_query)
-                    if best.queries.dtype.kind == "f" and largest * largest * dim >= 2**53:
-                        best = _widened(best, raw)
-                    kind = best.queries.dtype
-                    best.walk(data | {n: data[n].astype(kind) for n in ("vectors", "low", "high")})
-        yield from done()
-
-    parted = left.unionByName(right).repartition(nb_partitions(spark), "dim", "block", "run").sortWithinPartitions("dim", "block", "run", "shard")
+            for file, run, one in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (file, run) != at:
+                    if lines:
+                        yield from done()
+                    at = (file, run)
+                lines.append(one)
+        if lines:
+            yield from done()
+
+    parted = work.repartition(nb_partitions(spark), "block", "run").sortWithinPartitions("block", "run")
     found = parted.mapInArrow(search, "query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _searched(block: str, trees: list[dict], k: int) -> Best:
+    """A block of queries through trees, the best root bound first; trees that cannot better any query stay closed."""
+    ids, raw = pickle.loads(get_file(block))
+    largest_query = int(np.abs(raw).max())
+    best = Best(ids, _typed(raw, largest_query), k)
+    low, high = (np.array([t[n] for t in trees], np.float64) for n in ("low", "high"))
+    positive, negative = np.maximum(raw, 0).astype(np.float64), np.minimum(raw, 0).astype(np.float64)
+    order = [float((positive @ h + negative @ w).max()) for h, w in zip(high, low)]
+    for i in np.argsort(-np.array(order), kind="stable"):
+        if best.queries.dtype.kind == "f":
+            bound = positive @ high[i] + negative @ low[i]
+            # a bound that is not exact in doubles decides nothing
+            if max(np.abs(bound).max(), 0) < 2**52 and not best.may_gain(bound, trees[i]["least"]).any():
+                continue
+        data = pickle.loads(get_file(trees[i]["file"]))
+        largest = max(data["largest"], largest_query)
+        if best.queries.dtype.kind == "f" and largest * largest * raw.shape[1] >= 2**53:
+            best = _widened(best, raw)
+        kind = best.queries.dtype
+        best.walk(data | {n: data[n].astype(kind) for n in ("vectors", "low", "high")})
+    return best
+
+
 def _widened(best: Best, raw: np.ndarray) -> Best:
     """The same state in 64-bit integers, for components too large for exact doubles."""
     wide = Best(best.ids, raw.astype(np.int64), best.k)
