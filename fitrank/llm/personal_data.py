@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import small_batches, written
+from .shared import free_name, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "name", "id")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -42,8 +45,46 @@ _LOOSE = (
     ("id", _DIGITS, re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("name", _TITLE, re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?{_NAME}(?:{_NAME})?")),
 )
-_TLDS = frozenset("com org net edu gov io de fr es uk eu info biz co us".split())
-_NAMES = frozenset("anna carlos claire david elena emma hans james jean john jose juan julia laura marie maria martin mary michael paul peter pierre sarah sofia thomas".split())
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lists that labelers look in; two-letter domains of countries and calling codes follow from their rules."""
+
+    domains: frozenset = frozenset("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev cloud online site shop store tech blog xyz".split())
+    names: frozenset = frozenset(
+        (
+            "anna anne antonio barbara bernard brigitte carlos carmen carol caroline charles charlotte christian christine claire claude daniel daniela david deborah denise dennis diana diego dieter dominique donald donna dorothy edward "
+            "elena elisabeth elizabeth emily emma eric eva felix fernando francesca francisco frank françois françoise frederick gabriel george gerhard giovanni giulia guillaume hannah hans harold heather heinz helen helga helmut henri henry "
+            "ingrid isabel isabelle jack jacques james jan jane janet javier jean jennifer jessica joan johann john jonas jorge jose josé joseph joshua juan judith julia julie jürgen karen karin karl katharina kevin klaus laura lea "
+            "léa linda lisa louis louise lucas lucía luis lukas manfred manuel margaret maria maría marie mark marta martin martina mary matthew matthias max mia michael michel miguel monika nancy natalie nicolas nicole nina olivia pablo "
+            "patricia patrick paul paula pedro peter petra philippe pierre rachel ralf raquel richard robert roberto rosa ruth sabine samuel sandra sara sarah sebastian sergio simon sofia sophie stefan stephanie steven susan susanne sylvie "
+            "teresa thomas ursula uwe valerie victor walter werner william wolfgang yves"
+        ).split()
+    )
+
+    def has_domain(self, word: str) -> bool:
+        return word in self.domains or (len(word) == 2 and word.isascii() and word.isalpha())
+
+    def has_name(self, words: list[str]) -> bool:
+        return any(w.lower() in self.names for w in words)
+
+    @staticmethod
+    def has_calling_code(digits: str) -> bool:
+        """World zones: 1 and 7 alone; two digits where the zone has such codes, else three."""
+        return digits[:1] in ("1", "7") or digits[:2] in _TWO_DIGIT_CODES or digits[:2] in _THREE_DIGIT_ZONES
+
+    @staticmethod
+    def has_issuer(digits: str) -> bool:
+        """Ranges of card issuers by their first digits."""
+        four = int(digits[:4] or 0)
+        return digits[:1] == "4" or digits[:2] in ("34", "36", "37", "38", "39", "62", "65") or 5100 <= four <= 5599 or 2221 <= four <= 2720 or 3528 <= four <= 3589 or 3000 <= four <= 3059 or four == 6011 or 6440 <= four <= 6499
+
+
+# Calling codes of two digits, and zones whose codes have three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_THREE_DIGIT_ZONES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+GAZETTEERS = Gazetteers()
 _CUE = {
     "email": re.compile(r"e-?mail|contact|write to|@", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|fax|t[ée]l|anruf", re.I),
@@ -93,30 +134,72 @@ def _by_place(span):
     return span[1], KINDS.index(span[0])
 
 
+class _Places:
+    """Places of a text that are taken, as ordered ranges that do not touch each other."""
+
+    def __init__(self, ranges):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(ranges):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Take a range if nothing of it is taken."""
+        i = bisect_left(self.starts, b)
+        if i and self.ends[i - 1] > a:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def candidate_spans(text: str) -> list[tuple[str, int, int, bool]]:
-    """Base matches (True) and looser spans that overlap none of them (False)."""
+    """Base matches (True) and looser spans that overlap none of them, nor each other (False)."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
+    taken = _Places((a, b) for _, a, b in base)
     for kind, needed, pattern in _LOOSE:
         if needed.search(text):
-            for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for _, a, b, _ in out):
-                    out.append((kind, *m.span(), False))
+            out += [(kind, *m.span(), False) for m in pattern.finditer(text) if taken.take(*m.span())]
     return sorted(out, key=_by_place)
 
 
-def votes(text: str, kind: str, start: int, end: int, spans) -> tuple[int, ...]:
+def companions(spans, reach: int = 80) -> list[bool]:
+    """Of each span: is another range within `reach` characters? Spans are in order of their starts."""
+    ranges = sorted({(a, b) for _, a, b, *_ in spans})
+    near, far = {}, -reach - 1
+    for i, (a, b) in enumerate(ranges):
+        near[a, b] = far > a - reach or (i + 1 < len(ranges) and ranges[i + 1][0] < b + reach)
+        far = max(far, b)
+    return [near[a, b] for _, a, b, *_ in spans]
+
+
+def votes(text: str, kind: str, start: int, end: int, company: bool, lists: Gazetteers = GAZETTEERS) -> tuple[int, ...]:
     """1 yes, -1 no, 0 nothing, by labeler."""
     found, left = text[start:end], text[max(0, start - 32) : start]
     digits = "".join(_DIGITS.findall(found))
-    form = {"email": bool(re.search(r"[A-Za-z]", found[:2])), "phone": len(digits) in (10, 11, 12), "card": len(digits) in (15, 16), "ip": not found.startswith("0"), "name": found.count(" ") == 2, "id": digits[:3] not in ("000", "666")}[kind]
-    check = {"email": 0, "ip": 1 if all(int(p[-4:]) <= 255 for p in _DIGITS.findall(found)) else -1, "card": 1 if _luhn(digits) else -1, "phone": 1 if len(set(digits)) > 3 else -1, "name": 0, "id": 1 if digits[3:5] != "00" and digits[5:] != "0000" else -1}[kind]
-    word = found.rpartition(".")[2].strip(" ])").lower()
-    listed = {"email": 1 if word in _TLDS else -1, "ip": -1 if found.startswith(("127.", "0.", "255.")) else 0, "card": 1 if found[:1] in "3456" else -1, "phone": 1 if digits[-7:-4] == "555" or found.startswith("+") else 0, "name": 1 if any(w.lower() in _NAMES for w in found.split()) else 0, "id": 0}[kind]
-    cue = 1 if _CUE[kind].search(left) else 0
-    company = 1 if any((a, b) != (start, end) and a < end + 80 and start - 80 < b for _, a, b, *_ in spans) else 0
     glued = (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "-_/=")) or (end < len(text) and (text[end].isalnum() or text[end] in "-_/="))
-    return (1 if form else -1, check, listed, cue, company, -1 if glued else 1)
+    form, check, listed = _BY_KIND[kind](found, digits, lists)
+    return (1 if form else -1, check, listed, 1 if _CUE[kind].search(left) else 0, 1 if company else 0, -1 if glued else 1)
+
+
+def _yes(condition: bool) -> int:
+    return 1 if condition else -1
+
+
+#: kind -> form, check and gazetteer votes of the text found, its digits and the lists.
+_BY_KIND = {
+    "email": lambda found, digits, lists: (re.search(r"[A-Za-z]", found[:2]), 0, _yes(lists.has_domain(found.rpartition(".")[2].strip(" ])").lower()))),
+    "ip": lambda found, digits, lists: (not found.startswith("0"), _yes(all(int(p[-4:]) <= 255 for p in _DIGITS.findall(found))), -1 if found.startswith(("127.", "0.", "255.")) else 0),
+    "card": lambda found, digits, lists: (len(digits) in (15, 16), _yes(_luhn(digits)), _yes(lists.has_issuer(digits))),
+    "phone": lambda found, digits, lists: (len(digits) in (10, 11, 12), _yes(len(set(digits)) > 3), 1 if digits[-7:-4] == "555" or (found.startswith("+") and lists.has_calling_code(digits)) else 0),
+    "name": lambda found, digits, lists: (found.count(" ") == 2, 0, 1 if lists.has_name(found.split()) else 0),
+    "id": lambda found, digits, lists: (digits[:3] not in ("000", "666"), _yes(digits[3:5] != "00" and digits[5:] != "0000"), 0),
+}
 
 
 def estimate_reliabilities(patterns: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], np.ndarray, float]:
@@ -169,27 +252,36 @@ def train_classifier(patterns: dict[tuple, int], posterior: dict[tuple, float],
     return w
 
 
-def _pattern(text, kind, start, end, spans) -> tuple:
-    return (kind, min(3, (end - start) // 8), *votes(text, kind, start, end, spans))
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()), T.StructField("pattern", T.StringType())]))
 
 
-_CANDIDATES = "array<struct<kind:string,start:int,end:int,base:boolean,pattern:string>>"
+def _candidates(text: str | None, lists: Gazetteers) -> list[dict]:
+    """A text's candidate spans with their vote patterns: kind, length class, votes."""
+    spans = candidate_spans(text) if text else []
+    out = []
+    for (kind, a, b, base), company in zip(spans, companions(spans)):
+        pattern = (kind, min(3, (b - a) // 8), *votes(text, kind, a, b, company, lists))
+        out.append({"kind": kind, "start": a, "end": b, "base": base, "pattern": ",".join(map(str, pattern))})
+    return out
 
 
-def find_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and its candidate spans with their vote patterns, for every whole text (null: empty)."""
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())])
+def with_candidates(docs: DataFrame, name: str, lists: Gazetteers = GAZETTEERS) -> DataFrame:
+    """docs and, as the column `name`, the candidate spans of their whole texts (null: empty)."""
     small_batches(docs.sparkSession)
+    at = [c.lower() for c in docs.columns].index("text")
 
     def find(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                spans = candidate_spans(text) if text else []
-                out.append([{"kind": k, "start": a, "end": b, "base": base, "pattern": ",".join(map(str, _pattern(text, k, a, b, spans)))} for k, a, b, base in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["doc_id", "candidates"])
+            spans = pa.array([_candidates(t, lists) for t in batch.column(at).to_pylist()], pa.list_(_SPAN))
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, name])
+
+    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField(name, _SPANS)]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, f"doc_id long, candidates {_CANDIDATES}")
+
+def find_candidates(docs: DataFrame, lists: Gazetteers = GAZETTEERS) -> DataFrame:
+    """doc_id and its candidate spans with their vote patterns, for every whole text (null: empty)."""
+    return with_candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "candidates", lists).drop("text")
 
 
 def _key(pattern: str) -> tuple:
@@ -210,13 +302,13 @@ def accepted(weights: np.ndarray, key: tuple, least: float = 0.9) -> bool:
     return bool(1 / (1 + np.exp(-_features(key) @ weights)) >= least)
 
 
-def personal_data(docs: DataFrame, least: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, least: float = 0.9, lists: Gazetteers = GAZETTEERS) -> DataFrame:
     """doc_id, base (base spans) and spans (base and accepted ones): each `kind:start:end`, comma-joined by start, then
     kind; counts of base spans by kind as n_<kind>; base_sha256.
 
     Null and empty texts have no spans. Repeated rows and null ids give a row each; other columns are ignored; an
     empty table gives no rows and an untrained classifier."""
-    found = written(find_candidates(docs), "candidates")
+    found = written(find_candidates(docs, lists), "candidates")
     weights = fit(found)
 
     def decide(batches):
@@ -248,18 +340,25 @@ def redact_text(text: str, spans) -> str:
     return "".join(out) + text[done:]
 
 
-def redact(docs: DataFrame, least: float = 0.9) -> DataFrame:
-    """docs with every span of their texts replaced; null texts stay null, other columns stay as they are."""
-    weights = fit(written(find_candidates(docs), "candidates"))
+def redact(docs: DataFrame, least: float = 0.9, lists: Gazetteers = GAZETTEERS) -> DataFrame:
+    """docs with every span of their texts replaced; null texts stay null, other columns stay as they are. Spans are
+    found once and written beside the texts."""
+    name = free_name(docs, "candidates")
+    found = written(with_candidates(docs, name, lists), "candidates", "zstd")
+    weights = fit(found.select(F.col(name).alias("candidates")))
     at = [c.lower() for c in docs.columns].index("text")
 
     def clean(batches):
+        known: dict = {}
         for batch in batches:
             out = []
-            for text in batch.column(at).to_pylist():
-                spans = candidate_spans(text) if text else []
-                chosen = [(k, a, b) for k, a, b, base in spans if base or accepted(weights, _pattern(text, k, a, b, spans), least)]
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                for s in spans:
+                    if s["pattern"] not in known:
+                        known[s["pattern"]] = accepted(weights, _key(s["pattern"]), least)
+                chosen = [(s["kind"], s["start"], s["end"]) for s in spans if s["base"] or known[s["pattern"]]]
                 out.append(redact_text(text, chosen) if chosen else text)
-            yield batch.set_column(at, batch.schema.names[at], pa.array(out, pa.string()))
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield rest.set_column(at, rest.schema.names[at], pa.array(out, pa.string()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return found.mapInArrow(clean, docs.schema)
