@@ -21,8 +21,8 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_source_mixing(spark, sf_dir):
-    """Documents in training order; those that are not taken come last."""
-    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    """Documents in training order with their first and last training position; those that are not taken come last."""
+    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 def op3_exact_top_k(spark, sf_dir):
@@ -42,7 +42,9 @@ def op6_personal_data(spark, sf_dir):
 
 
 def op7_media_columns(spark, sf_dir):
-    return media.media_features(table(spark, sf_dir, "documents")).drop("timestamps", "access_points")
+    """Timestamps and random-access points (time@packet) as texts."""
+    points = F.transform("access_points", lambda p: F.concat_ws("@", p["time"], p["packet"]))
+    return media.media_features(table(spark, sf_dir, "documents")).withColumns({"timestamps": F.array_join("timestamps", ","), "access_points": F.array_join(points, ",")})
 
 
 def op8_best_fit_packing(spark, sf_dir):
@@ -50,7 +52,7 @@ def op8_best_fit_packing(spark, sf_dir):
 
 
 def op9_language_id(spark, sf_dir):
-    return language_id.identify(table(spark, sf_dir, "documents")).drop("rejected")
+    return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark, sf_dir):
@@ -59,8 +61,19 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mixing, op3_exact_top_k, op4_token_files, op5_near_duplicates, op6_personal_data, op7_media_columns, op8_best_fit_packing, op9_language_id, op10_warc)}
 
+
+def _positions_sql() -> str:
+    """First and last training position by the schedule of the source's number."""
+    share = "CASE WHEN {k} < whole THEN ({k} * source_size + middle) / target ELSE least(1::DOUBLE, (whole * source_size + middle * rest / source_size) / target) END"
+    columns = []
+    for name, k in (("first_position", "0"), ("last_position", "(passes - 1)")):
+        time = " ".join(f"WHEN number % {len(mixing.SCHEDULES)} = {i} THEN {mixing.schedule_sql(f'({share.format(k=k)})', knots)}" for i, knots in enumerate(mixing.SCHEDULES))
+        columns.append(f"round(CASE WHEN passes > 0 THEN CASE {time} END END, 9) AS {name}")
+    return ", ".join(columns)
+
+
 ORACLE_SQL = {
-    "op2_source_mixing": r"""
+    "op2_source_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s),
@@ -70,16 +83,16 @@ l AS (SELECT *, row_number() OVER o AS step,
         / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
       FROM w WINDOW o AS (ORDER BY cap / weight, number)),
 r AS (SELECT first(level ORDER BY step) AS level FROM l WHERE level * weight <= cap),
-t AS (SELECT l.source, l.source_size, least(CAST(l.cap AS DOUBLE), coalesce(r.level, 'inf'::DOUBLE) * l.weight) AS target FROM l LEFT JOIN r ON true),
+t AS (SELECT l.source, l.source_size, l.number, least(CAST(l.cap AS DOUBLE), coalesce(r.level, 'inf'::DOUBLE) * l.weight) AS target FROM l LEFT JOIN r ON true),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-e AS (SELECT d.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS rest, d.size * 256 > q.source_size AS long FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+e AS (SELECT d.*, q.source_size, q.number, q.target, q.whole, q.target - q.whole * q.source_size AS rest, d.size * 256 > q.source_size AS long FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, long ORDER BY mark, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         coalesce(sum(size) FILTER (WHERE long) OVER (PARTITION BY source), 0) AS long_size FROM e),
 c AS (SELECT *, CAST(before * 2 + size AS DOUBLE) <= 2 * (rest * long_size / source_size) AS long_again FROM b),
-f AS (SELECT *, coalesce(sum(size) FILTER (WHERE long AND long_again) OVER (PARTITION BY source), 0) AS spent FROM c)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN CASE WHEN long THEN long_again ELSE CAST(before * 2 + size AS DOUBLE) <= 2 * (rest - spent) END THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-FROM f""",
+f AS (SELECT *, coalesce(sum(size) FILTER (WHERE long AND long_again) OVER (PARTITION BY source), 0) AS spent FROM c),
+g AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN CASE WHEN long THEN long_again ELSE CAST(before * 2 + size AS DOUBLE) <= 2 * (rest - spent) END THEN 1 ELSE 0 END END AS passes,
+        before + size / 2 + CASE WHEN long THEN 0 ELSE long_size END AS middle FROM f)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * passes AS BIGINT) AS taken, {_positions_sql()} FROM g""",
     "op3_exact_top_k": """
 WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vector FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -5,7 +5,8 @@ continuation bitmap (does the id go on at level k+1?) and a rank directory (ones
 bits). The place of an id at level k+1 is the rank of its continuation bit, so any single id is found
 without decoding others, and a run of ids is a run at every level.
 
-File: `DAC1`, then unsigned little-endian: levels u32, docs u64, tokens u64; doc_ids i64[docs];
+File: `DAC1`, then unsigned little-endian: levels u32, docs u64, tokens u64, documents without id (they come first)
+u64; doc_ids i64[docs];
 starts u64[docs + 1]; for each level n u64, chunks u8[n], bitmap u8[ceil(n/8)], directory u64[n//512 + 1];
 last crc32 u32 of all before.
 """
@@ -29,7 +30,11 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def dac_bytes(doc_ids, starts, ids: np.ndarray) -> bytes:
-    """One file of documents: starts has one entry more than doc_ids; ids are unsigned 32-bit."""
+    """One file of documents: starts has one entry more than doc_ids, of which the first may be None; ids are unsigned
+    32-bit."""
+    nulls = sum(d is None for d in doc_ids)
+    if any(d is None for d in doc_ids[nulls:]):
+        raise ValueError("documents without id come first")
     levels, rest = [], ids.astype(np.uint32)
     while True:
         more = rest > 255
@@ -40,7 +45,7 @@ def dac_bytes(doc_ids, starts, ids: np.ndarray) -> bytes:
         rest = rest[more] >> 8
         if not len(rest):
             break
-    body = b"DAC1" + struct.pack("<IQQ", len(levels), len(doc_ids), len(ids)) + np.asarray(doc_ids, "<i8").tobytes() + np.asarray(starts, "<u8").tobytes() + b"".join(levels)
+    body = b"DAC1" + struct.pack("<IQQQ", len(levels), len(doc_ids), len(ids), nulls) + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(starts, "<u8").tobytes() + b"".join(levels)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -54,8 +59,8 @@ class DacFile:
     def __init__(self, data: bytes):
         if data[:4] != b"DAC1" or zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("not a whole token file")
-        n_levels, n_docs, self.n_tokens = struct.unpack_from("<IQQ", data, 4)
-        at = 24
+        n_levels, n_docs, self.n_tokens, self.nulls = struct.unpack_from("<IQQQ", data, 4)
+        at = 32
         take = lambda dtype, n: np.frombuffer(data, dtype, n, at)
         self.doc_ids, at = take("<i8", n_docs), at + 8 * n_docs
         self.starts, at = take("<u8", n_docs + 1).astype(np.int64), at + 8 * (n_docs + 1)
@@ -121,7 +126,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
             nonlocal doc_ids, texts, size, seq
             ids = np.frombuffer(b"".join(texts), np.uint32)
             starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in texts])]).astype(np.int64)
-            file = put_file(folder, f"part-{part:06d}-{seq:06d}.dac", dac_bytes([_NULL if d is None else d for d in doc_ids], starts, ids))
+            file = put_file(folder, f"part-{part:06d}-{seq:06d}.dac", dac_bytes(doc_ids, starts, ids))
             rows.append((part, seq, file, len(doc_ids), len(ids)))
             doc_ids, texts, size, seq = [], [], 0, seq + 1
 
@@ -141,8 +146,6 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
 
 
 _MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-#: Stands for a null doc_id inside a file.
-_NULL = -(2**63)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -156,9 +159,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 starts = dac.starts
                 data = memoryview(dac.slice(0, dac.n_tokens).astype("<u4").tobytes())
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-                ids = pa.array(dac.doc_ids, pa.int64(), mask=dac.doc_ids == _NULL)
+                ids = pa.array(dac.doc_ids, pa.int64(), mask=np.arange(len(dac.doc_ids)) < dac.nulls)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    # one task, but one row a file
     upto = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)))
     spread = placed.select("file", "before").repartition(nb_partitions(manifest.sparkSession))

@@ -19,8 +19,10 @@ def test_mix_query_is_in_training_order(spark, tmp_path, monkeypatch):
     plan = {r.doc_id: r.positions for r in mixing.mix(sources(spark)).collect()}
     never = [d for d, p in plan.items() if not p]
     want = sorted((d for d, p in plan.items() if p), key=lambda d: (plan[d][0], d)) + sorted(never)
-    got = [r.doc_id for r in queries.op2_source_mixing(spark, str(tmp_path)).collect()]
+    rows = queries.op2_source_mixing(spark, str(tmp_path)).collect()
+    got = [r.doc_id for r in rows]
     assert got == want
+    assert [(r.first_position, r.last_position) for r in rows] == [(round(plan[d][0], 9), round(plan[d][-1], 9)) if plan[d] else (None, None) for d in want]
     reversed_mix = mixing.mix
     monkeypatch.setattr(mixing, "mix", lambda docs: reversed_mix(docs, schedules=mixing.SCHEDULES[::-1]))
     other = [r.doc_id for r in queries.op2_source_mixing(spark, str(tmp_path)).collect()]
@@ -76,7 +78,7 @@ def test_near_duplicates_stage_decides_by_row(spark):
     text = " ".join(f"word{i}" for i in range(40))
     other = " ".join(f"else{i}" for i in range(40))
     rows = [(None, text), (None, text), (None, None), (2, text), (2, text), (5, text), (5, other), (7, ""), (7, ""), (8, None), (9, other + " more"), (9, other + " more")]
-    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3).localCheckpoint()
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).coalesce(3)
     got = p.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     want = [(None, text), (None, text), (None, None), (2, text), (5, other), (7, ""), (8, None)]
