@@ -29,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group on five-word shingles one row of the smallest doc_id stays; of documents without shingles one row
     of each doc_id. Rows of one doc_id are one document; those without doc_id are linked with nothing and all stay."""
     key = free_name(docs, "row_key")
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    # written, so that a row has the same key wherever it is read
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows", "zstd")
     kept = near_duplicates.near_duplicates(rows, key=key).where("kept")
     one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias(key)).select(key)
     return rows.join(one.union(kept.where("doc_id is null").select(key)), key, "left_semi").select(docs.columns)
@@ -68,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL cannot encode texts or learn from them; tests hold the stages' operators against small tables.
+#: SQL cannot encode texts or learn from them; tests hold each stage against a brute-force version on small tables.
 ORACLE_SQL = None

@@ -24,20 +24,37 @@ def has_any(text: Column, terms) -> Column:
 
 
 def unsuppressed(text: Column, terms, negation: str, aspiration: str) -> Column:
-    """Is there a mention that neither a negation (within two words, in the 40 characters before) nor an
-    aspiration (earlier in its sentence) takes back? Each mention is marked; what stands before the i-th mark,
-    marks removed, is its prefix."""
-    plain = F.replace(text, F.lit(MARK), F.lit(""))
-    parts = F.split(F.regexp_replace(plain, term_regex(terms), MARK + "$0"), MARK)
+    """Is there a mention that neither a negation (within two words, in the 40 characters before) nor an aspiration
+    (earlier in its sentence) takes back?
+
+    One pass over the text: it is cut into sentences, each with the place of its first aspiration; mentions are marked, and
+    what lies between marks is walked through with the last 40 characters and the place in the sentence carried along. Terms
+    hold no sentence end; an aspiration holds neither a sentence end nor another aspiration."""
+    if not terms:
+        return F.lit(False)
+    if any(c in t for t in terms for c in ".!?\n"):
+        raise ValueError("a term holds a sentence end")
     negated = r"(?U)" + negation + r"\s+(?:[\w'/-]+\s+){0,2}\z"
-
-    def stands(i):
-        before = F.array_join(F.slice(parts, 1, i), "")
-        sentence = F.regexp_extract(before, r"[^.!?\n]*\z", 0)
-        return ~F.right(before, F.lit(WINDOW)).rlike(negated) & ~sentence.rlike("(?U)" + aspiration)
-
-    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(has_any(text, terms), F.exists(places, stands)).otherwise(F.lit(False))
+    hopes = "(?U)" + aspiration
+    plain = F.replace(text, F.lit(MARK), F.lit(""))
+    sentence = lambda s: F.struct(s.alias("text"), (F.regexp_instr(s, F.lit(hopes)) - 1).alias("at"), F.length(F.coalesce(F.regexp_substr(s, F.lit(hopes)), F.lit(""))).alias("long"))
+
+    def walked(done, s):
+        def step(state, part):
+            at = state["place"]
+            ends = s["at"] + s["long"]
+            # a mention inside the first aspiration: only what stands before it counts
+            hoped = (s["at"] >= 0) & ((ends <= at) | ((s["at"] < at) & F.left(s["text"], at).rlike(hopes)))
+            stands = state["begun"] & ~state["found"] & ~hoped & ~state["tail"].rlike(negated)
+            return F.struct(F.right(F.concat(state["tail"], part), F.lit(WINDOW)).alias("tail"), (state["found"] | stands).alias("found"), (at + F.length(part)).alias("place"), F.lit(True).alias("begun"))
+
+        parts = F.split(F.regexp_replace(s["text"], term_regex(terms), MARK + "$0"), MARK)
+        start = F.struct(done["tail"].alias("tail"), done["found"].alias("found"), F.lit(0).alias("place"), F.lit(False).alias("begun"))
+        return F.aggregate(parts, start, step, lambda state: F.struct(state["tail"].alias("tail"), state["found"].alias("found")))
+
+    nothing = F.struct(F.lit("").alias("tail"), F.lit(False).alias("found"))
+    sentences = F.transform(F.split(plain, r"(?<=[.!?\n])"), sentence)
+    return F.when(has_any(text, terms), F.aggregate(sentences, nothing, walked, lambda state: state["found"])).otherwise(F.lit(False))
 
 
 def concepts(text: Column, profile, suppress: bool = True) -> Column:

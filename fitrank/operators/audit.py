@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import iso_date, mean, month_diff, roles
+from ..functions.lexicon import concepts, has_any
+from ..functions.scalar import evidence_texts, iso_date, mean, month_diff, roles
+from ..storage import free_name, row_numbers
 from .consistency import skills
 from .fit import lower, seniority_band, stability_band
 
@@ -38,12 +40,12 @@ def evidence_grade(text: Column) -> Column:
     return F.when(contains_any(text, STRONG_EVIDENCE), "STRONG").when(contains_any(text, MEDIUM_EVIDENCE), "MED").when(contains_any(text, WEAK_EVIDENCE), "WEAK").otherwise("NONE")
 
 
-def archetype(text: Column, signatures: dict) -> Column:
+def archetype(text: Column, signatures: dict, other: str = "OTHER") -> Column:
     """The first signature that the text contains."""
     out = F
     for name, part in signatures.items():
         out = out.when(text.contains(part), name)
-    return out.otherwise("OTHER")
+    return out.otherwise(other)
 
 
 def audit_flags(profile) -> Column:
@@ -120,36 +122,50 @@ def exclusion_reason() -> Column:
     return F.when(~F.col("reachable"), "unreachable").when(F.col("disqualified"), "disqualified").when(~F.col("in_band"), "out-of-band(yoe)").when(~F.col("location_ok"), "out-of-location").otherwise("CLEAN-MISS")
 
 
+#: Included rows that a head-to-head is broadcast for.
+MOST_INCLUDED = 10_000
+
+
 def dominance(included: DataFrame, excluded: DataFrame, slack: int = 15) -> DataFrame:
-    """Pairs (excluded x, included y) where x is at least as good on every axis. Both sides are bounded by the
-    ranking's length and by the coherent few; the smaller is broadcast once its size is checked."""
+    """Pairs (excluded x, included y) where x is at least as good on every axis. The included side is bounded by the
+    ranking's length and is broadcast once its size is checked; more than MOST_INCLUDED are refused."""
+    if included.count() > MOST_INCLUDED:
+        raise ValueError(f"dominance is asked of at most {MOST_INCLUDED} included rows")
     y, x = included.alias("y"), excluded.alias("x")
     ge = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0)) >= F.coalesce(F.col(f"y.{c}"), F.lit(0))
     le = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(999)) <= F.coalesce(F.col(f"y.{c}"), F.lit(999)) + slack
     implied = lambda c: F.col(f"x.{c}") | ~F.col(f"y.{c}")
     holds = ge("rr") & le("active_days") & implied("otw") & le("notice") & F.col("x.location_ok") & implied("in_target") & ge("seniority") & ge("stability")
-    side = F.broadcast(y) if included.count() <= 10_000 else y
-    return x.join(side, holds).select(F.col("x.candidate_id").alias("excluded"), F.col("y.candidate_id").alias("included"))
+    return x.join(F.broadcast(y), holds).select(F.col("x.candidate_id").alias("excluded"), F.col("y.candidate_id").alias("included"))
 
 
 def counts_at(ranked: DataFrame, by: str, cuts=(10, 50, 100)) -> DataFrame:
     return ranked.groupBy(by).agg(F.count("*").alias("pool"), *[F.count_if(F.col("rank") <= k).alias(f"top_{k}") for k in cuts])
 
 
-def upper_median(rows: DataFrame, value: str, group: str | None = None) -> DataFrame:
-    """min, max, spread and sorted[n // 2], which doesn't interpolate."""
-    keys = [group] if group else []
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    out = placed.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col(value))).alias("median"))
-    return out.withColumn("spread", F.col("high") - F.col("low"))
+def _placed(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: the place from 1 within the group. Places come from one order of all rows, so that no task holds a
+    whole group; what stands before a group is one row a group."""
+    overall, before = free_name(rows, "overall"), free_name(rows, "before_group")
+    placed = row_numbers(rows, [F.col(group), *order], overall)
+    firsts = placed.groupBy(group).agg(F.min(overall).alias(before)).withColumnRenamed(group, free_name(rows, "of"))
+    return placed.join(firsts, F.col(group).eqNullSafe(F.col(firsts.columns[0]))).withColumn(name, F.col(overall) - F.col(before) + 1).drop(overall, before, firsts.columns[0])
+
+
+def upper_median(rows: DataFrame, value: str, group: str) -> DataFrame:
+    """min, max, spread and sorted[n // 2] of each group, which doesn't interpolate. Null values don't count."""
+    known = rows.select(F.col(group), F.col(value)).where(F.col(value).isNotNull())
+    placed = _placed(known, group, [F.col(value)], "group_place")
+    ends = known.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("group_size")).withColumnRenamed(group, "group_key")
+    middle = placed.join(ends, F.col(group).eqNullSafe(F.col("group_key"))).where(F.col("group_place") == F.floor(F.col("group_size") / 2) + 1)
+    return middle.select(F.col(group), "low", "high", F.col(value).alias("median"), (F.col("high") - F.col("low")).alias("spread"))
 
 
 def spearman(rows: DataFrame, a: list[Column], b: list[Column], group: str) -> DataFrame:
-    """1 - 6 sum d^2 / (m (m^2 - 1)) by group, ties in the order given; null below two rows."""
-    w = Window.partitionBy(group)
-    d = F.row_number().over(w.orderBy(*a)) - F.row_number().over(w.orderBy(*b))
-    g = rows.withColumn("_d", d.cast("double")).groupBy(group).agg(F.sum(F.col("_d") * F.col("_d")).alias("s"), F.count("*").cast("double").alias("m"))
+    """1 - 6 sum d^2 / (m (m^2 - 1)) by group, ties in the order given; null below two rows. The orders are of columns."""
+    first = _placed(rows, group, a, "first_place")
+    both = _placed(first, group, b, "second_place")
+    g = both.select(F.col(group), (F.col("first_place") - F.col("second_place")).cast("double").alias("d")).groupBy(group).agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("*").cast("double").alias("m"))
     return g.select(group, F.when(F.col("m") > 1, 1 - 6 * F.col("s") / (F.col("m") * (F.col("m") * F.col("m") - 1))).alias("rho"))
 
 
@@ -171,14 +187,28 @@ def churn(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return entered.unionByName(left)
 
 
-def concept_depth(concepts: Column) -> Column:
-    return F.least(F.size(concepts), F.lit(3))
+def concept_depth(found: Column) -> Column:
+    return F.least(F.size(found), F.lit(3))
+
+
+def lexicon_coverage(candidates: DataFrame, profile) -> DataFrame:
+    """What the lexicon credits and what it misses, as (section, item, n): rows by number of concepts in the primary
+    texts; rows with any off-lexicon term in the summary, and in descriptions alone; and rows of each such term."""
+    summary = lower(F.col("profile.summary"))
+    described = F.lower(F.array_join(F.transform(roles(), lambda r: F.coalesce(r["description"], F.lit(""))), " "))
+    built, _ = evidence_texts()
+    terms = list(profile.off_lexicon)
+    hit = has_any(summary, terms)
+    rows = candidates.select(concept_depth(concepts(F.lower(built), profile)).alias("depth"), hit.alias("summary"), (~hit & has_any(described, terms)).alias("described"), F.filter(F.array(*[F.when(has_any(summary, [t]), F.lit(t)) for t in terms]), lambda t: t.isNotNull()).alias("terms"))
+    sums = [F.count_if(F.col("depth") == d).alias(f"depth {d}{'+' * (d == 3)}") for d in range(4)]
+    sums += [F.count_if("summary").alias("in summary"), F.count_if("described").alias("in descriptions alone"), *[F.count_if(F.array_contains("terms", t)).alias(f"term {t}") for t in terms]]
+    counts = rows.agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(n.split(" ")[0] if n[0] in "dt" else "off_lexicon").alias("section"), F.lit(n.partition(" ")[2] if n[0] in "dt" else n).alias("item"), F.col(f"`{n}`").alias("n")) for n in counts.columns]))
+    return counts.select(each.alias("c")).select("c.*")
 
 
 def term_frequencies(rows: DataFrame, terms, summary: Column, description: Column) -> DataFrame:
     """Of each term: documents, those with it in the summary, and those with it in descriptions alone."""
-    from ..functions.lexicon import has_any
-
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), has_any(summary, [t]).alias("s"), has_any(description, [t]).alias("d")) for t in terms]))
     found = rows.select(each.alias("f")).select("f.*").where("s or d")
     return found.groupBy("term").agg(F.count("*").alias("documents"), F.count_if("s").alias("in_summary"), F.count_if(F.col("d") & ~F.col("s")).alias("description_only"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import has_any
 from ..functions.scalar import clamp01, iso_date
 from .consistency import skills
 from .fit import tenures
@@ -31,7 +32,7 @@ def availability(profile) -> Column:
 def responsiveness() -> Column:
     hours = signal("avg_response_time_hours")
     speed = F.when(hours.isNull(), 0.5).otherwise(clamp01((280 - hours) / 280))
-    return 0.7 * F.coalesce(signal("recruiter_response_rate"), F.lit(0.0)) + 0.3 * speed
+    return clamp01(0.7 * F.coalesce(signal("recruiter_response_rate"), F.lit(0.0)) + 0.3 * speed)
 
 
 def recency(profile) -> Column:
@@ -39,9 +40,10 @@ def recency(profile) -> Column:
     return F.when(days.isNull(), 0.3).otherwise(clamp01((180 - days) / 180))
 
 
-def credibility() -> Column:
+def credibility(profile) -> Column:
     """Verified signals against claims: skills assessed below 40 that are claimed as expert or advanced (of a
-    skill named twice the last claim counts), and skills older than the whole career."""
+    skill named twice the last claim counts), and skills older than the whole career. Where the profile grants a bonus,
+    good assessments in a wanted domain add it."""
     claims = F.map_from_entries(F.transform(F.array_distinct(F.transform(skills(), lambda s: F.lower(s["name"]))), lambda n: F.struct(F.coalesce(n, F.lit("")), F.element_at(F.filter(skills(), lambda s: F.lower(s["name"]).eqNullSafe(n)), -1)["proficiency"])))
     scores = F.coalesce(F.map_entries(signal("skill_assessment_scores")), F.array())
     inflated = F.size(F.filter(scores, lambda e: (e["value"] < 40) & F.coalesce(claims[F.lower(e["key"])].isin("expert", "advanced"), F.lit(False))))
@@ -49,12 +51,16 @@ def credibility() -> Column:
     overlong = F.when(career > 0, F.size(F.filter(skills(), lambda s: s["duration_months"] > career))).otherwise(0)
     github = signal("github_activity_score")
     base = F.lit(0.2) + F.when(github > 0, 0.4 * clamp01(github / 60)).otherwise(0.0) + F.when(yes("verified_email"), 0.2).otherwise(0.0) + F.when(yes("verified_phone"), 0.1).otherwise(0.0) + F.when(yes("linkedin_connected"), 0.1).otherwise(0.0)
-    return clamp01(base - 0.1 * F.least(inflated, F.lit(2)) - 0.1 * F.least(overlong, F.lit(2)))
+    found = clamp01(base - 0.1 * F.least(inflated, F.lit(2)) - 0.1 * F.least(overlong, F.lit(2)))
+    if not profile.assessment_bonus:
+        return found
+    strong = F.size(F.filter(scores, lambda e: (e["value"] >= 70) & has_any(F.lower(e["key"]), profile.positive)))
+    return F.least(F.lit(1.0), found + profile.assessment_bonus * F.least(strong, F.lit(2)))
 
 
 def with_engagement(candidates: DataFrame, profile) -> DataFrame:
     """Adds `multiplier` and `engagement_trace`."""
-    parts = {"availability": availability(profile), "responsiveness": responsiveness(), "recency": recency(profile), "credibility": credibility()}
+    parts = {"availability": availability(profile), "responsiveness": responsiveness(), "recency": recency(profile), "credibility": credibility(profile)}
     rows = candidates.withColumns({f"_{n}": c for n, c in parts.items()})
     w, t = profile.engagement, lambda n: F.col(f"_{n}")
     blend = w["availability"] * t("availability") + w["responsiveness"] * t("responsiveness") + w["recency"] * t("recency") + w["credibility"] * t("credibility")

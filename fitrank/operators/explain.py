@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Initialisms that are spoken with a vowel first.
 INITIALISMS = ["ai", "ml", "nlp", "ir", "ux", "ui", "sre", "mle", "llm"]
 
 
@@ -121,18 +122,21 @@ def explained(ranked: DataFrame) -> DataFrame:
     title = F.coalesce(F.nullif(F.trim(F.col("profile.current_title")), F.lit("")), F.lit("candidate"))
     years, c = F.col("profile.years_of_experience"), F.col
     shown = F.when(years == F.floor(years), years.cast("long").cast("string")).otherwise(F.format_string("%.1f", years))
-    rows = ranked.withColumns({"_title": title, "_years": shown, "_at": employer(), "_what": evidence_phrase(), "_plus": standout(), "_worries": concerns(), "_weak": weakest_axis()})
-    rows = rows.withColumn("_who", F.concat(with_article(c("_title")), F.coalesce(F.concat(F.lit(" of "), c("_years"), F.lit(" years")), F.lit("")), F.coalesce(F.concat(F.lit(" at "), c("_at")), F.lit(""))))
+    # the input's columns travel under names of their own, so that none clashes with one of the parts
+    own = [x for x in ranked.columns if x != "reasoning"]
+    packed = ranked.select(*[F.col(f"`{x}`").alias(f"own_{i}") for i, x in enumerate(own)], "candidate_id", "rank", "profile", "career_history", "signals", "trace")
+    rows = packed.withColumns({"explain_title": title, "explain_years": shown, "explain_at": employer(), "explain_what": evidence_phrase(), "explain_plus": standout(), "explain_worries": concerns(), "explain_weak": weakest_axis()})
+    rows = rows.withColumn("explain_who", F.concat(with_article(c("explain_title")), F.coalesce(F.concat(F.lit(" of "), c("explain_years"), F.lit(" years")), F.lit("")), F.coalesce(F.concat(F.lit(" at "), c("explain_at")), F.lit(""))))
     tone = F.when(c("rank") <= 15, 0).when(c("rank") <= 50, 1).otherwise(2)
     pattern = F.lit("")
     for level, patterns in enumerate(PATTERNS):
         full, bare = pick(list(patterns)), pick([p[: p.index("{what}") + 6] for p in patterns])
-        pattern = F.when(tone == level, F.when(c("_plus").isNotNull(), full).otherwise(bare)).otherwise(pattern)
-    rows = rows.withColumn("_pattern", pattern).withColumn("_turn", pick([", though ", ", but ", "; note that "], 1))
-    for slot, value in (("{who}", c("_who")), ("{what}", F.coalesce(c("_what"), F.lit("a partly related record"))), ("{plus}", F.coalesce(c("_plus"), F.lit("")))):
-        rows = rows.withColumn("_pattern", F.replace(c("_pattern"), F.lit(slot), value))
-    worry = F.when(F.size("_worries") > 0, F.array_join("_worries", " and ")).when(c("rank") > 50, c("_weak"))
-    rows = rows.withColumn("_text", finalize(F.concat(c("_pattern"), F.coalesce(F.concat(c("_turn"), worry), F.lit("")))))
-    capital = F.concat(F.upper(F.substring("_text", 1, 1)), F.expr("substring(_text, 2)"), F.when(c("_text").endswith("."), "").otherwise("."))
-    done = rows.withColumn("reasoning", F.when(c("_text") == "", "No explanation.").otherwise(capital))
-    return done.drop(*[x for x in done.columns if x.startswith("_")])
+        pattern = F.when(tone == level, F.when(c("explain_plus").isNotNull(), full).otherwise(bare)).otherwise(pattern)
+    rows = rows.withColumn("explain_pattern", pattern).withColumn("explain_turn", pick([", though ", ", but ", "; note that "], 1))
+    for slot, value in (("{who}", c("explain_who")), ("{what}", F.coalesce(c("explain_what"), F.lit("a partly related record"))), ("{plus}", F.coalesce(c("explain_plus"), F.lit("")))):
+        rows = rows.withColumn("explain_pattern", F.replace(c("explain_pattern"), F.lit(slot), value))
+    worry = F.when(F.size("explain_worries") > 0, F.array_join("explain_worries", " and ")).when(c("rank") > 50, c("explain_weak"))
+    rows = rows.withColumn("explain_text", finalize(F.concat(c("explain_pattern"), F.coalesce(F.concat(c("explain_turn"), worry), F.lit("")))))
+    capital = F.concat(F.upper(F.substring("explain_text", 1, 1)), F.expr("substring(explain_text, 2)"), F.when(c("explain_text").endswith("."), "").otherwise("."))
+    done = rows.withColumn("reasoning", F.when(c("explain_text") == "", "No explanation.").otherwise(capital))
+    return done.select(*[F.col(f"own_{i}").alias(x) for i, x in enumerate(own)], "reasoning")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import free_name, row_numbers
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,31 +48,25 @@ def similarity(vectors: DataFrame, probes: np.ndarray, k: int = 3, column: str =
 
 
 def pool_percentile(rows: DataFrame, value: str = "raw", order: str = "row_idx", name: str = "semantic") -> DataFrame:
-    """Adds place / (n - 1) in the whole pool by value, ties by `order`; 0 in a pool of one. Nulls stay null.
-
-    No window over everything: rows are range-partitioned and sorted, counted by partition, and get their place
-    from the sum of the counts before."""
-    known = rows.where(F.col(value).isNotNull())
-    ranged = known.repartitionByRange(value, order).sortWithinPartitions(value, order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist()  # range bounds come from samples: both uses must see one cut
-    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    before, n = {}, 0
-    for part in sorted(sizes):
-        before[part], n = n, n + sizes[part]
-    offsets = rows.sparkSession.createDataFrame(sorted(before.items()) or [(0, 0)], "_part int, _before long")
-    local = Window.partitionBy("_part").orderBy(value, order)
-    place = F.col("_before") + F.row_number().over(local) - 1
-    share = (place / F.lit(max(1, n - 1))).cast("float").cast("double") if n > 1 else F.lit(0.0)
-    done = ranged.join(F.broadcast(offsets), "_part").withColumn(name, share).drop("_part", "_before")
+    """Adds place / (n - 1) in the whole pool by value, ties by `order`; 0 in a pool of one. Nulls stay null. Rows are
+    written once, so they had better hold no more than what is needed.
+
+    No window over everything: places come from range partitions and the counts before them."""
+    place = free_name(rows, "place")
+    known = row_numbers(rows.where(F.col(value).isNotNull()), [F.col(value), F.col(order)], place)
+    n = known.count()
+    share = (F.col(place) / F.lit(n - 1)).cast("float").cast("double") if n > 1 else F.lit(0.0)
+    done = known.withColumn(name, share).drop(place)
     return done.unionByName(rows.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
-def valid_artifacts(vectors: DataFrame, ids: DataFrame, probes: np.ndarray | None) -> bool:
-    """Do vectors, ids and probes belong together (as many ids as vectors, one dimension)?"""
+def valid_artifacts(vectors: DataFrame, ids: DataFrame | None, probes: np.ndarray | None) -> bool:
+    """Do vectors, the list of ids (where it is apart from them) and probes belong together: as many ids as vectors, one
+    dimension?"""
     if probes is None or not len(probes):
         return False
     sizes = vectors.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
-    return sizes["n"] == ids.count() and sizes["n"] > 0 and sizes["low"] == sizes["high"] == probes.shape[1]
+    return sizes["n"] > 0 and sizes["low"] == sizes["high"] == probes.shape[1] and (ids is None or sizes["n"] == ids.count())
 
 
 def latest_by_id(vectors: DataFrame, key: str = "candidate_id", order: str = "row_idx") -> DataFrame:

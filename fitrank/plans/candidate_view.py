@@ -24,7 +24,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as profiles, their orders as roles, line items as skills, events as signals, documents as texts."""
     t = lambda name: table(spark, sf_dir, name)
     docs = t("documents").select("doc_id", "text")
-    n_docs = docs.agg(F.max("doc_id")).first()[0] + 1
+    n_docs = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1  # from the files' statistics
     title = lambda k: F.element_at(F.array(*[F.lit(x) for x in TITLES]), (k % len(TITLES)).cast("int") + 1)
     by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     shifted = t("orders").withColumn("o_orderdate", F.add_months("o_orderdate", YEARS_ON * 12))
@@ -41,9 +41,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_list(skill)).alias("skill")).withColumnRenamed("o_custkey", "s_custkey")
     share = lambda kind: F.avg((F.col("event_type") == kind).cast("double"))
     seen = t("events").groupBy("user_id").agg(day(F.max("ts")).alias("last"), share("click").alias("clicks"), F.count("*").alias("n"), F.avg("value").alias("value"))
+    assessed = F.create_map(F.concat(F.lit("Skill "), F.col("n") % 60), (F.col("n") * 7 % 100).cast("double"), F.concat(F.lit("with skill "), F.col("n") % 10), (F.col("n") * 3 % 100).cast("double"))
     signals = F.struct(
         (F.col("n") % 2 == 0).alias("open_to_work_flag"), (F.col("n") * 3).cast("double").alias("notice_period_days"), (F.col("n") % 3 == 0).alias("willing_to_relocate"), F.col("clicks").alias("recruiter_response_rate"), (F.col("value") * 2).alias("avg_response_time_hours"), F.col("last").alias("last_active_date"),
-        F.least(F.col("value"), F.lit(100.0)).alias("github_activity_score"), (F.col("n") % 5 == 0).alias("verified_email"), (F.col("n") % 7 == 0).alias("verified_phone"), (F.col("n") % 2 == 1).alias("linkedin_connected"), F.lit(None).cast("map<string,double>").alias("skill_assessment_scores"),
+        F.least(F.col("value"), F.lit(100.0)).alias("github_activity_score"), (F.col("n") % 5 == 0).alias("verified_email"), (F.col("n") % 7 == 0).alias("verified_phone"), (F.col("n") % 2 == 1).alias("linkedin_connected"), assessed.alias("skill_assessment_scores"),
     )
     k = F.col("c_custkey")
     profile = F.struct(F.col("text").alias("summary"), F.col("c_name").alias("headline"), title(k).alias("current_title"), F.concat(F.lit("Company "), k % 40).alias("current_company"), (F.abs(F.col("c_acctbal")) / 1200 + 5).alias("years_of_experience"), F.col("n_name").alias("location"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("current_industry"))

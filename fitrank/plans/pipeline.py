@@ -7,22 +7,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.explain import explained
-from ..operators.ranking import score, top_n
+from ..operators.ranking import contenders, exact_round6, numbered, score
 from ..operators.semantic import latest_by_id, pool_percentile, similarity, valid_artifacts
+from ..storage import written
 
 
 def semantic_scores(vectors: DataFrame, probes: np.ndarray, k: int = 3) -> DataFrame:
     """candidate_id and the pool percentile of its last vector."""
-    return latest_by_id(pool_percentile(similarity(vectors, probes, k))).select("candidate_id", "semantic")
+    raw = similarity(vectors, probes, k).select("candidate_id", "row_idx", "raw")
+    return latest_by_id(pool_percentile(raw)).select("candidate_id", "semantic")
 
 
-def usable_scores(vectors: DataFrame, probes: np.ndarray | None) -> DataFrame | None:
-    """Semantic scores, or None where vectors and probes don't belong together."""
-    return semantic_scores(vectors, probes) if valid_artifacts(vectors, vectors.select("candidate_id"), probes) else None
+def usable_scores(vectors: DataFrame, probes: np.ndarray | None, ids: DataFrame | None = None) -> DataFrame | None:
+    """Semantic scores, or None where vectors, probes and ids (a separate list, if there is one) don't belong together."""
+    return semantic_scores(vectors, probes) if valid_artifacts(vectors, ids, probes) else None
 
 
-def rank_candidates(candidates: DataFrame, profile, n: int = 100, vectors: DataFrame | None = None, probes: np.ndarray | None = None) -> DataFrame:
+def rank_candidates(candidates: DataFrame, profile, n: int = 100, vectors: DataFrame | None = None, probes: np.ndarray | None = None, ids: DataFrame | None = None) -> DataFrame:
     """candidate_id, rank, score, reasoning, trace. Vectors that don't belong together are left out, and texts alone
-    decide."""
-    semantic = usable_scores(vectors, probes) if vectors is not None else None
-    return explained(top_n(score(candidates, profile, semantic), n)).select("candidate_id", "rank", F.col("score"), "reasoning", "trace")
+    decide. The whole pool is scored for ids and scores alone; rows that may be among the n best are scored again with
+    their traces."""
+    semantic = usable_scores(vectors, probes, ids) if vectors is not None else None
+    if semantic is not None:
+        semantic = written(semantic, "semantic")
+    least, chosen = contenders(score(candidates, profile, semantic), n)
+    if chosen is not None:
+        chosen = F.broadcast(chosen.distinct())  # n + SLACK at most
+        candidates = candidates.join(chosen, "candidate_id", "left_semi")
+        semantic = semantic.join(chosen, "candidate_id", "left_semi") if semantic is not None else None
+    exact = score(candidates, profile, semantic).where(F.col("score") >= least).withColumn("score", exact_round6("score"))
+    best = numbered(exact.orderBy(F.desc("score"), "candidate_id").limit(n))
+    return explained(best).select("candidate_id", "rank", "score", "reasoning", "trace")
+
+
+def candidate_audit(ranked: DataFrame, candidate_id: str) -> DataFrame:
+    """One ranked row with its profile, roles and signals, and each part of its trace as a column."""
+    return ranked.where(F.col("candidate_id") == candidate_id).select("candidate_id", "rank", "profile", "career_history", "signals", "trace.*")
+
+
+def display_rows(ranked: DataFrame) -> DataFrame:
+    """What a leaderboard shows: texts, by rank."""
+    years = F.concat(F.format_string("%.1f", F.coalesce("profile.years_of_experience", F.lit(0.0))), F.lit(" yrs"))
+    return ranked.select("rank", "candidate_id", F.coalesce("profile.current_title", F.lit("")).alias("title"), years.alias("experience"), F.format_string("%.6f", "score").alias("score"), "reasoning")

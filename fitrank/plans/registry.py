@@ -6,16 +6,19 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import concepts, has_any
-from ..functions.scalar import iso_date, month_diff
-from ..operators import audit, experiments, metrics, semantic
+from ..functions.scalar import evidence_texts, iso_date, month_diff, narrative
+from ..operators import audit, experiments, metrics, semantic, verification
 from ..operators.consistency import consistency_flags
 from ..operators.engagement import notice_factor, with_engagement
 from ..operators.explain import explained
 from ..operators.fit import chaser_penalty, domain_gate, seniority_band, stability_band, with_fit
-from ..operators.ranking import rank_all, score, tie_break_violations, top_n
+from ..operators.ranking import rank_all, score, tie_break_violations, top_n, with_labels, without_vector
 from ..profile import corpus_profile
+from ..sources import readers, sinks
+from ..storage import shared_path, written
+from . import oracles
 from .candidate_view import candidates, table
-from .pipeline import rank_candidates, usable_scores
+from .pipeline import candidate_audit, display_rows, rank_candidates, semantic_scores, usable_scores
 
 PROFILE = corpus_profile()
 #: Rows of a sweep: the feature is to re-score a ranking's best under many parameters.
@@ -72,9 +75,23 @@ def concept_depth(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(audit.concept_depth(found).alias("depth")).groupBy("depth").agg(F.count("*").alias("documents"))
 
 
-@query()
+SUPPRESSING = PROFILE.but(negation=r"(?:\bthan|\bthe|\bof)", aspiration=r"\b(?:when|this)\b")
+
+
+@query(f"SELECT doc_id, array_to_string({oracles.found('t', SUPPRESSING)}, ',') AS concepts FROM (SELECT doc_id, {oracles.FOLD.format('text')} AS t FROM documents)")
 def concept_suppressed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(concepts(F.lower("text"), PROFILE.but(negation=r"(?:\bthan|\bthe|\bof)", aspiration=r"\b(?:when|this)\b")), ",").alias("concepts"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(concepts(F.lower("text"), SUPPRESSING), ",").alias("concepts"))
+
+
+COVERAGE = {f"depth {d}{'+' * (d == 3)}": f"least(len(concepts), 3) = {d}" for d in range(4)} | {"in summary": oracles.has("folded", PROFILE.off_lexicon), "in descriptions alone": "false"} | {f"term {t}": oracles.has("folded", [t]) for t in PROFILE.off_lexicon}
+
+
+@query(f"""WITH {oracles.VIEW},{oracles.engagement(PROFILE)},{oracles.fit(PROFILE)}, f AS (SELECT concepts, {oracles.FOLD.format('summary')} AS folded FROM heard)
+"""
+    + " UNION ALL ".join(f"SELECT '{n.split(' ')[0] if n[0] in 'dt' else 'off_lexicon'}' AS section, '{n.partition(' ')[2] if n[0] in 'dt' else n}' AS item, count(*) FILTER (WHERE {c}) AS n FROM f" for n, c in COVERAGE.items())
+)
+def lexicon_coverage(spark, sf_dir):
+    return audit.lexicon_coverage(candidates(spark, sf_dir), PROFILE)
 
 
 @query(f"""WITH f AS (SELECT 'with' AS term, {token('with')} AS s FROM documents UNION ALL SELECT 'from', {token('from')} FROM documents UNION ALL SELECT 'that', {token('that')} FROM documents)
@@ -94,10 +111,13 @@ def month_difference(spark, sf_dir):
     return rows.select("o_orderkey", month_diff(F.col("o_orderdate"), F.col("l_shipdate")).cast("long").alias("months"), iso_date(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("day"), "l_linenumber")
 
 
-@query("""SELECT conv_id, string_agg(role || ' ' || text, ' ' ORDER BY turn) AS narrative FROM conversations WHERE text <> '' GROUP BY conv_id""")
+TEXT = "trim(array_to_string(list_filter(list_concat({}, titles), lambda x: x <> ''), ' '))"
+
+
+@query(f"WITH {oracles.VIEW} SELECT candidate_id, {TEXT.format('[summary, headline]')} AS narrative, {TEXT.format('[summary]')} AS built, '' AS described FROM view")
 def narrative_build(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.transform("t", lambda r: F.concat_ws(" ", r["role"], r["text"])), " ").alias("narrative"))
+    built, described = evidence_texts()
+    return candidates(spark, sf_dir).select("candidate_id", narrative().alias("narrative"), built.alias("built"), described.alias("described"))
 
 
 YEARS = "abs(c_acctbal) / 700"
@@ -150,20 +170,23 @@ def engagement(spark, sf_dir):
     return t.select("candidate_id", *[F.round(F.col(f"engagement_trace.{n}"), 6).alias(n) for n in ("availability", "responsiveness", "recency")])
 
 
-@query()
+PARTS = ("availability", "responsiveness", "recency", "credibility")
+
+
+@query(f"WITH {oracles.VIEW},{oracles.engagement(PROFILE)} SELECT candidate_id, round(multiplier, 6) AS multiplier, {', '.join(f'round({n}, 6) AS {n}' for n in PARTS)} FROM engaged")
 def engagement_multiplier(spark, sf_dir):
-    return with_engagement(candidates(spark, sf_dir), PROFILE).select("candidate_id", "multiplier", "engagement_trace.*")
+    rows = with_engagement(candidates(spark, sf_dir), PROFILE)
+    return rows.select("candidate_id", F.round("multiplier", 6).alias("multiplier"), *[F.round(f"engagement_trace.{n}", 6).alias(n) for n in PARTS])
 
 
-@query()
-def fit_trace(spark, sf_dir):
-    rows = with_fit(candidates(spark, sf_dir).withColumn("semantic", F.lit(None).cast("double")), PROFILE)
-    return rows.select("candidate_id", *[F.col(f"fit_trace.{n}").alias(n) for n in rows.schema["fit_trace"].dataType.names if n != "evidence_concepts"])
+FEATURES = ("evidence", "domain_gate", "title_gate", "domain_title_gate", "technical", "seniority", "product", "location", "education", "stability", "chaser_penalty", "fit")
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
-def json_cells(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+@query(f"WITH {oracles.VIEW},{oracles.engagement(PROFILE)},{oracles.fit(PROFILE)} SELECT candidate_id, n_concepts, has_disclaimer, {', '.join(f'round(CAST({n} AS DOUBLE), 6) AS {n}' for n in FEATURES)} FROM fitted")
+def fit_trace(spark, sf_dir):
+    rows = with_fit(candidates(spark, sf_dir).withColumn("semantic", F.lit(None).cast("double")), PROFILE)
+    t = lambda n: F.col(f"fit_trace.{n}")
+    return rows.select("candidate_id", F.size(t("evidence_concepts")).cast("long").alias("n_concepts"), t("has_disclaimer").alias("has_disclaimer"), *[F.round(t(n), 6).alias(n) for n in FEATURES])
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------
@@ -185,10 +208,10 @@ def semantic_percentile(spark, sf_dir):
     return semantic.pool_percentile(v, "raw", "vec_id").select("vec_id", "semantic")
 
 
-@query()
+@query(f"WITH {oracles.SEMANTIC} SELECT candidate_id, round(raw, 4) AS raw, semantic FROM semantic")
 def semantic_matrix(spark, sf_dir):
-    v = semantic.similarity(_vectors(spark, sf_dir), _probes(spark, sf_dir))
-    return semantic.pool_percentile(v).select("candidate_id", "raw", "semantic")
+    v = semantic.similarity(_vectors(spark, sf_dir), _probes(spark, sf_dir)).select("candidate_id", "row_idx", "raw")
+    return semantic.pool_percentile(v).select("candidate_id", F.round(F.col("raw").cast("double"), 4).alias("raw"), "semantic")
 
 
 # --- ranking ---------------------------------------------------------------------------------------------------
@@ -199,11 +222,26 @@ def rank_topn(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@query()
+RANKED = "SELECT candidate_id, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, candidate_id) AS INTEGER) AS rank, round(score, 6) AS score FROM"
+#: Scores with the pool percentile of the vectors.
+WITH_SEMANTIC = f"""{oracles.scores(PROFILE)},{oracles.SEMANTIC},
+both_scores AS (SELECT f.candidate_id, CASE WHEN flagged THEN 0 ELSE (fit / chaser_penalty - {PROFILE.weights["technical"]}::DOUBLE * technical
+  + {PROFILE.weights["technical"]}::DOUBLE * (CASE WHEN semantic IS NULL THEN evidence ELSE {1 - PROFILE.semantic_share}::DOUBLE * evidence + {PROFILE.semantic_share}::DOUBLE * semantic END) * gate) * chaser_penalty * multiplier END AS score
+  FROM fitted f JOIN engaged USING (candidate_id) JOIN flags USING (candidate_id) LEFT JOIN semantic s ON s.candidate_id = f.candidate_id)
+"""
+
+
+@query(oracles.scores(PROFILE) + RANKED + " scored")
 def rank_full(spark, sf_dir):
     return rank_all(score(candidates(spark, sf_dir), PROFILE)).select("candidate_id", "rank", "score")
 
 
+@query(f"{WITH_SEMANTIC}{RANKED} both_scores ORDER BY rank LIMIT 100")
+def rank_hundred(spark, sf_dir):
+    """The best hundred on texts and vectors."""
+    return rank_candidates(candidates(spark, sf_dir), PROFILE, 100, _vectors(spark, sf_dir), _probes(spark, sf_dir)).select("candidate_id", "rank", "score")
+
+
 @query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY round(c_acctbal, 0) DESC, c_custkey) AS BIGINT) AS rank, round(c_acctbal, 0) AS score FROM customer")
 def rank_customers(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal", 0).alias("score"))
@@ -216,36 +254,64 @@ def top_parts(spark, sf_dir):
     return top_n(rows, 100, "p_partkey").select("p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query(f"""{oracles.scores(PROFILE)}, r AS ({RANKED} scored ORDER BY rank LIMIT 100), l AS (SELECT *, lag(score) OVER (ORDER BY rank) AS s, lag(candidate_id) OVER (ORDER BY rank) AS i FROM r)
+SELECT count(*) FILTER (WHERE score > s OR (score = s AND candidate_id < i)) AS violations, count(*) AS ranked FROM l""")
 def tie_break_check(spark, sf_dir):
-    ranked = top_n(score(candidates(spark, sf_dir), PROFILE), 100)
-    return tie_break_violations(ranked).agg(F.count("*").alias("violations"))
+    ranked = written(top_n(score(candidates(spark, sf_dir), PROFILE), 100).select("candidate_id", "rank", "score"), "ranked")
+    return tie_break_violations(ranked).agg(F.count("*").alias("violations")).join(ranked.agg(F.count("*").alias("ranked")), F.lit(True))
+
+
+@query("""WITH r AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS score, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part ORDER BY rank LIMIT 100),
+l AS (SELECT *, lag(score) OVER (ORDER BY rank) AS s, lag(p_partkey) OVER (ORDER BY rank) AS i FROM r) SELECT p_partkey, CAST(rank AS INTEGER) AS rank FROM l WHERE score > s OR (score = s AND p_partkey < i)""")
+def tie_break_violators(spark, sf_dir):
+    """Rows out of order where a ranking goes by another value than it should."""
+    best = top_n(table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("score")), 100, "p_partkey")
+    return tie_break_violations(best.withColumn("score", F.col("p_size").cast("double")), "p_partkey").select("p_partkey", "rank")
 
 
 @query()
 def explanation(spark, sf_dir):
-    return explained(top_n(score(candidates(spark, sf_dir), PROFILE), 100)).select("candidate_id", "rank", "reasoning")
+    return rank_candidates(candidates(spark, sf_dir), PROFILE, 100).select("candidate_id", "rank", "reasoning")
+
 
+@query()
+def explanation_distinct(spark, sf_dir):
+    return verification.distinct_reasons(rank_candidates(candidates(spark, sf_dir), PROFILE, 100))
 
-@query("SELECT count(*) AS without FROM customer WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings)")
+
+@query()
+def display(spark, sf_dir):
+    return display_rows(explained(top_n(score(candidates(spark, sf_dir), PROFILE), 100)))
+
+
+@query()
+def audit_lookup(spark, sf_dir):
+    """The first-ranked row with its profile, signals and trace."""
+    ranked = top_n(score(candidates(spark, sf_dir), PROFILE), 100)
+    first = ranked.where("rank = 1").first()
+    return candidate_audit(ranked, first["candidate_id"] if first else "").drop("profile", "career_history", "signals", "evidence_concepts", "honeypot")
+
+
+@query("SELECT printf('CAND_%07d', c_custkey) AS candidate_id FROM customer WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings)")
 def coverage_anti(spark, sf_dir):
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(ids, "c_custkey", "left_anti").agg(F.count("*").alias("without"))
+    return without_vector(candidates(spark, sf_dir).select("candidate_id"), _vectors(spark, sf_dir))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT printf('CAND_%07d', doc_id) AS candidate_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def semi_labels(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang")
+    name = F.format_string("CAND_%07d", "doc_id").alias("candidate_id")
+    return with_labels(table(spark, sf_dir, "documents").select(name, "lang"), table(spark, sf_dir, "labels").select(name))
 
 
-@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS rr, s_nationkey AS d, s_suppkey % 2 = 0 AS flag FROM supplier),
-x AS (SELECT * FROM s WHERE s_suppkey % 3 = 0), y AS (SELECT * FROM s WHERE s_suppkey % 3 <> 0)
-SELECT x.s_suppkey AS excluded, y.s_suppkey AS included FROM x, y WHERE coalesce(x.rr, 0) >= coalesce(y.rr, 0) AND x.d <= y.d + 2 AND (x.flag OR NOT y.flag)""")
+@query("""WITH s AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS rr, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey * 3 END AS d, c_custkey % 2 = 0 AS otw, c_custkey * 11 % 60 AS notice, c_custkey % 5 > 0 AS loc, c_custkey % 3 = 0 AS tgt, c_custkey % 4 / 4 AS sen, c_custkey % 6 / 6 AS stab,
+  row_number() OVER (ORDER BY c_nationkey DESC, c_custkey) AS rank FROM customer), x AS (SELECT * FROM s WHERE rank > 100), y AS (SELECT * FROM s WHERE rank <= 100)
+SELECT x.c_custkey AS excluded, y.c_custkey AS included FROM x, y WHERE coalesce(x.rr, 0) >= coalesce(y.rr, 0) AND coalesce(x.d, 999) <= coalesce(y.d, 999) + 15 AND (x.otw OR NOT y.otw) AND x.notice <= y.notice + 15 AND x.loc AND (x.tgt OR NOT y.tgt) AND x.sen >= y.sen AND x.stab >= y.stab""")
 def dominance_join(spark, sf_dir):
-    k, f = F.col("s_suppkey"), F.col("s_suppkey") % 2 == 0
-    s = table(spark, sf_dir, "supplier").select(k.alias("candidate_id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("rr"), F.col("s_nationkey").alias("active_days"), f.alias("otw"), F.lit(0).alias("notice"), F.lit(True).alias("location_ok"), F.lit(True).alias("in_target"), F.lit(1.0).alias("seniority"), F.lit(1.0).alias("stability"))
-    third = F.col("candidate_id") % 3 == 0
-    return audit.dominance(s.where(~third), s.where(third), slack=2)
+    k = F.col("c_custkey")
+    axes = [F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("rr"), F.when(k % 7 > 0, F.col("c_nationkey") * 3).alias("active_days"), (k % 2 == 0).alias("otw"), (k * 11 % 60).alias("notice"), (k % 5 > 0).alias("location_ok"), (k % 3 == 0).alias("in_target"), (k % 4 / 4).alias("seniority"), (k % 6 / 6).alias("stability")]
+    s = table(spark, sf_dir, "customer").select(k.alias("candidate_id"), F.col("c_nationkey").cast("double").alias("score"), *axes)
+    included = written(top_n(s, 100), "included")
+    return audit.dominance(included, s.join(F.broadcast(included.select("candidate_id")), "candidate_id", "left_anti"))
 
 
 # --- audit and aggregates --------------------------------------------------------------------------------------
@@ -253,20 +319,22 @@ def dominance_join(spark, sf_dir):
 RANKED_DOCS = "SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents"
 
 
-def ranked_docs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars").cast("double"))
-    return rank_all(rows, "doc_id")
+def ranked_docs(spark, sf_dir, *keep):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"), *keep)
+    return rank_all(rows, "doc_id", keep)
 
 
 @query(f"SELECT lang, count(*) AS pool, count(*) FILTER (WHERE rank <= 10) AS top_10, count(*) FILTER (WHERE rank <= 50) AS top_50, count(*) FILTER (WHERE rank <= 100) AS top_100 FROM ({RANKED_DOCS}) GROUP BY lang")
 def arch_counts(spark, sf_dir):
-    return audit.counts_at(ranked_docs(spark, sf_dir), "lang")
+    return audit.counts_at(ranked_docs(spark, sf_dir, "lang"), "lang")
 
 
-@query("""SELECT CASE WHEN quality = 0 THEN 'low' WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS reason, count(*) AS n FROM labels GROUP BY 1""")
+CLASSES = oracles.classes(PROFILE, audit)
+
+
+@query(f"""{CLASSES} SELECT CASE WHEN NOT reachable THEN 'unreachable' WHEN disqualified THEN 'disqualified' WHEN NOT in_band THEN 'out-of-band(yoe)' WHEN NOT location_ok THEN 'out-of-location' ELSE 'CLEAN-MISS' END AS reason, count(*) AS n FROM classes GROUP BY 1""")
 def reason_counts(spark, sf_dir):
-    reason = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    return table(spark, sf_dir, "labels").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return audit.classify(candidates(spark, sf_dir), PROFILE).groupBy(audit.exclusion_reason().alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
@@ -277,7 +345,7 @@ def upper_median(spark, sf_dir):
 
 @query(f"""SELECT CASE WHEN rank <= 10 THEN '1-10' WHEN rank <= 50 THEN '11-50' ELSE '51-100' END AS bucket, avg(n_chars) AS mean, count(*) AS n FROM ({RANKED_DOCS}) WHERE rank <= 100 GROUP BY 1""")
 def bucket_means(spark, sf_dir):
-    return audit.bucket_means(ranked_docs(spark, sf_dir), "n_chars")
+    return audit.bucket_means(ranked_docs(spark, sf_dir, "n_chars"), "n_chars")
 
 
 @query("""WITH r AS (SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS DOUBLE) AS d FROM part)
@@ -301,9 +369,67 @@ def id_churn(spark, sf_dir):
     return audit.churn(d.where("n_chars > 3000"), d.where("lang = 'en'"), "doc_id")
 
 
-@query()
+FLAGS = ("in_band", "services_only", "kw_stuffer", "cv_primary", "pure_research", "framework_dabbler", "noneng_title", "in_target", "location_ok", "reachable", "otw", "honeypot", "disqualified", "coherent", "coherent_fit")
+VALUES = ("yoe", "rr", "notice", "avg_tenure", "seniority", "stability", "strength")
+
+
+@query(f"{CLASSES} SELECT candidate_id, arch, grade, grade_summary, CAST(active_days AS INTEGER) AS active_days, {', '.join(FLAGS)}, {', '.join(f'round(CAST({v} AS DOUBLE), 6) AS {v}' for v in VALUES)} FROM classes")
 def audit_classes(spark, sf_dir):
-    return audit.classify(candidates(spark, sf_dir), PROFILE).drop("audit_flags")
+    rows = audit.classify(candidates(spark, sf_dir), PROFILE)
+    return rows.select("candidate_id", "arch", "grade", "grade_summary", "active_days", *FLAGS, *[F.round(v, 6).alias(v) for v in VALUES])
+
+
+def _ranking(spark, sf_dir):
+    return rank_candidates(candidates(spark, sf_dir), PROFILE, 100).select("candidate_id", "rank", "score")
+
+
+#: Classes of the view with the rank of the best hundred.
+MEMBERS = f"""{oracles.scores(PROFILE)}, ranking AS ({RANKED} scored ORDER BY rank LIMIT 100),
+{CLASSES[CLASSES.index("c_text AS"):]},
+m AS (SELECT c.*, r.rank FROM classes c LEFT JOIN ranking r USING (candidate_id))
+"""
+
+
+@query(MEMBERS + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) FILTER (WHERE {g}) AS pool, count(*) FILTER (WHERE {g} AND rank IS NOT NULL) AS top, coalesce(string_agg(candidate_id, ',' ORDER BY rank) FILTER (WHERE {g} AND rank IS NOT NULL), '') AS ids FROM m" for g in verification.GATES))
+def gate_counts(spark, sf_dir):
+    classes = audit.classify(candidates(spark, sf_dir), PROFILE)
+    return verification.gate_counts(verification.members(classes, _ranking(spark, sf_dir)))
+
+
+@query(MEMBERS + """SELECT CASE WHEN rank IS NULL THEN 'excluded fit' ELSE 'weaker included' END AS cohort, count(*) AS n, round(avg(rr), 6) AS response, round(avg(active_days), 6) AS active_days, round(avg(CAST(otw AS INT)), 6) AS open, round(avg(notice), 6) AS notice, round(avg(CAST(in_target AS INT)), 6) AS in_target
+FROM m WHERE (rank IS NULL AND coherent_fit) OR (rank IS NOT NULL AND NOT coherent) GROUP BY 1""")
+def cohort_means(spark, sf_dir):
+    rows = verification.cohorts(verification.members(audit.classify(candidates(spark, sf_dir), PROFILE), _ranking(spark, sf_dir)))
+    return rows.select("cohort", "n", *[F.round(c, 6).alias(c) for c in ("response", "active_days", "open", "notice", "in_target")])
+
+
+_ITEMS = {"pool": "true", "ranked": "i", "coherent in": "coherent AND i", "coherent out": "coherent AND NOT i", "weaker in": "NOT coherent AND i", "fit": "coherent_fit", "fit in": "coherent_fit AND i", "fit out": "coherent_fit AND NOT i", "elite": "e", "elite reachable": "e AND reachable", "elite in": "e AND i", "elite reachable out": "e AND reachable AND NOT i", "elite unreachable out": "e AND NOT reachable AND NOT i", "strong wording in": "NOT coherent AND grade = 'STRONG' AND i", "strong wording out": "NOT coherent AND grade = 'STRONG' AND NOT i"}
+
+
+def _tall(section: str, rows: str, item: str, *values: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, {item} || ' {v}' AS item, round(CAST({v} AS DOUBLE), 6) AS value FROM ({rows})" for v in values]
+
+
+@query(f"""{MEMBERS}, p AS (SELECT *, rank IS NOT NULL AS i, arch = 'ELITE' AS e FROM m),
+sw AS (SELECT x.candidate_id AS excluded, y.candidate_id AS included FROM m x JOIN m y ON x.rank IS NULL AND x.coherent_fit AND y.rank IS NOT NULL AND NOT y.coherent AND coalesce(x.rr, 0) >= coalesce(y.rr, 0) AND coalesce(x.active_days, 999) <= coalesce(y.active_days, 999) + 15 AND (x.otw OR NOT y.otw)
+  AND coalesce(x.notice, 999) <= coalesce(y.notice, 999) + 15 AND x.location_ok AND (x.in_target OR NOT y.in_target) AND x.seniority >= y.seniority AND x.stability >= y.stability),
+so AS (SELECT CAST(rank - row_number() OVER (ORDER BY strength DESC, rank) AS DOUBLE) AS d FROM m WHERE rank IS NOT NULL)
+"""
+    + " UNION ALL ".join([
+        *_tall("archetypes", "SELECT arch, count(*) AS pool, count(*) FILTER (WHERE rank <= 10) AS top_10, count(*) FILTER (WHERE rank <= 50) AS top_50, count(*) FILTER (WHERE rank <= 100) AS top_100 FROM m GROUP BY arch", "arch", "pool", "top_10", "top_50", "top_100"),
+        *_tall("grades", "SELECT grade, count(*) AS n FROM m WHERE rank IS NOT NULL GROUP BY grade", "grade", "n"),
+        *[x for g in verification.GATES for x in _tall("gates", f"SELECT count(*) FILTER (WHERE {g}) AS pool, count(*) FILTER (WHERE {g} AND rank IS NOT NULL) AS top FROM m", f"'{g}'", "pool", "top")],
+        *[x for n, c in _ITEMS.items() for x in _tall("placements", f"SELECT count(*) FILTER (WHERE {c}) AS n FROM p", f"'{n}'", "n")],
+        *_tall("reasons", "SELECT CASE WHEN NOT reachable THEN 'unreachable' WHEN disqualified THEN 'disqualified' WHEN NOT in_band THEN 'out-of-band(yoe)' WHEN NOT location_ok THEN 'out-of-location' ELSE 'CLEAN-MISS' END AS reason, count(*) AS n FROM m WHERE coherent AND rank IS NULL GROUP BY 1", "reason", "n"),
+        *_tall("strength", "SELECT CASE WHEN rank <= 10 THEN '1-10' WHEN rank <= 50 THEN '11-50' ELSE '51-100' END AS bucket, avg(strength) AS mean FROM m WHERE rank IS NOT NULL GROUP BY 1", "bucket", "mean"),
+        *_tall("strength", "SELECT 1 - 6 * sum(d * d) / (count(*) * (count(*)::DOUBLE * count(*) - 1)) AS rho FROM so", "'order'", "rho"),
+        *_tall("swaps", "SELECT count(*) AS pairs, count(DISTINCT excluded) AS excluded, count(DISTINCT included) AS included FROM sw", "'distinct'", "pairs", "excluded", "included"),
+        *_tall("cohorts", "SELECT CASE WHEN rank IS NULL THEN 'excluded fit' ELSE 'weaker included' END AS cohort, count(*) AS n, avg(rr) AS response, avg(active_days) AS active_days, avg(CAST(otw AS INT)) AS open, avg(notice) AS notice, avg(CAST(in_target AS INT)) AS in_target FROM m WHERE (rank IS NULL AND coherent_fit) OR (rank IS NOT NULL AND NOT coherent) GROUP BY 1", "cohort", "n", "response", "active_days", "open", "notice", "in_target"),
+    ])
+)
+def verification_rows(spark, sf_dir):
+    report = verification.verification(audit.classify(candidates(spark, sf_dir), PROFILE), _ranking(spark, sf_dir))
+    return report.withColumn("value", F.round("value", 6))
 
 
 # --- metrics and experiments -----------------------------------------------------------------------------------
@@ -339,26 +465,72 @@ def _features(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("id"), "rel", (F.col("n_chars") / 4000).alias("length"), ((F.col("doc_id") * 7 % 100) / 100).alias("hash"), F.lit(1.0).alias("mult"), F.col("doc_id").alias("input_pos"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {REL} AS rel, n_chars / 4000 AS length, (doc_id * 7 % 100) / 100 AS hash FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT CAST(w AS INTEGER) AS weight_id, doc_id, rel, w / 10 * length + (1 - w / 10) * hash AS score FROM d, range(11) AS r(w)),
+p AS (SELECT *, row_number() OVER (PARTITION BY weight_id ORDER BY score DESC, doc_id) AS pos FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY weight_id ORDER BY rel DESC, pos) AS best, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY weight_id ORDER BY pos) AS hits FROM p),
+g AS (SELECT weight_id, {", ".join(f'sum(CASE WHEN pos <= {k} THEN (pow(2, rel) - 1) / log2(pos + 1) ELSE 0 END) AS d{k}, sum(CASE WHEN best <= {k} THEN (pow(2, rel) - 1) / log2(best + 1) ELSE 0 END) AS i{k}' for k in (10, 50))}, count(*) FILTER (WHERE pos <= 10 AND rel >= 3) / 10 AS p10,
+  sum(CASE WHEN rel >= 1 THEN hits / pos ELSE 0 END) / greatest(1, count(*) FILTER (WHERE rel >= 1)) AS ap FROM w GROUP BY weight_id)
+SELECT weight_id, round(0.5 * coalesce(d10 / nullif(i10, 0), 0) + 0.3 * coalesce(d50 / nullif(i50, 0), 0) + 0.15 * ap + 0.05 * p10, 9) AS composite FROM g""")
 def weight_sweep(spark, sf_dir):
     weights = spark.createDataFrame([(i, i / 10, 1 - i / 10) for i in range(11)], "weight_id int, length double, hash double")
-    return experiments.evaluate_weights(_features(spark, sf_dir), weights)
+    return experiments.evaluate_weights(_features(spark, sf_dir), weights).withColumn("composite", F.round("composite", 9))
 
 
 @query()
 def weight_tuning(spark, sf_dir):
-    best, top = experiments.tune(_features(spark, sf_dir).orderBy("input_pos").toPandas(), {"length": 0.5, "hash": 0.5})
+    best, top = experiments.tune(experiments.labelled_rows(_features(spark, sf_dir), "input_pos"), {"length": 0.5, "hash": 0.5})
     return spark.createDataFrame([(k, v, float(top)) for k, v in best.items()], "weight string, value double, composite double")
 
 
-@query()
-def perturb_sweep(spark, sf_dir):
+def _superset(spark, sf_dir):
+    """The best of the pool on texts and vectors, with their percentiles."""
     pool = candidates(spark, sf_dir)
     semantic = usable_scores(_vectors(spark, sf_dir), _probes(spark, sf_dir))
-    best = top_n(score(pool, PROFILE, semantic), SUPERSET).select("candidate_id")
-    superset = pool.join(F.broadcast(best), "candidate_id", "left_semi")
-    superset = superset.withColumn("semantic", F.lit(None).cast("double")) if semantic is None else superset.join(semantic, "candidate_id", "left")
-    return experiments.sweep(superset, PROFILE)
+    best = written(top_n(score(pool, PROFILE, semantic).select("candidate_id", "score"), SUPERSET), "superset")
+    superset = pool.join(F.broadcast(best.select("candidate_id")), "candidate_id", "left_semi")
+    return best, superset.withColumn("semantic", F.lit(None).cast("double")) if semantic is None else superset.join(semantic, "candidate_id", "left")
+
+
+_PERTURBED = [(label, experiments._parameters(p)) for label, p in [("", PROFILE), *experiments.perturbations(PROFILE)]]
+_MIX = "concat_ws(' ', " + ", ".join(f"count(*) FILTER (WHERE rank <= 10 AND arch = '{n}') || '{n[0]}'" for n in [*PROFILE.loose_archetypes, "other"]) + ")"
+
+
+@query(f"""{WITH_SEMANTIC},{oracles.swept(PROFILE, _PERTURBED, 'both_scores', SUPERSET)},
+base AS (SELECT candidate_id, rank AS base_rank FROM tops WHERE label = ''), base_mix AS (SELECT {_MIX} AS base_mix FROM tops WHERE label = ''),
+m AS (SELECT t.*, base_rank FROM tops t LEFT JOIN base USING (candidate_id) WHERE label <> ''),
+g AS (SELECT label, {", ".join(f"round(count(*) FILTER (WHERE rank <= {k} AND base_rank <= {k}) / (2 * count(*) FILTER (WHERE rank <= {k}) - count(*) FILTER (WHERE rank <= {k} AND base_rank <= {k})), 9) AS jaccard_{k}" for k in (10, 50, 100))},
+  count(*) FILTER (WHERE score = 0) AS flagged, count(*) FILTER (WHERE rank <= 10 AND rank = base_rank) = count(*) FILTER (WHERE rank <= 10) AS same_top, {_MIX} AS mix FROM m GROUP BY label)
+SELECT g.*, mix = base_mix AS same_mix FROM g, base_mix""")
+def perturb_sweep(spark, sf_dir):
+    rows = experiments.sweep(_superset(spark, sf_dir)[1], PROFILE)
+    return rows.withColumns({c: F.round(c, 9) for c in rows.columns if c.startswith("jaccard")})
+
+
+@query(f"{WITH_SEMANTIC}, b AS ({RANKED} both_scores ORDER BY rank LIMIT {SUPERSET}) SELECT round(max(CASE WHEN rank = 100 THEN score END) - min(score), 5) AS gap FROM b")
+def superset_gap(spark, sf_dir):
+    return experiments.superset_gap(_superset(spark, sf_dir)[0]).withColumn("gap", F.round("gap", 5))
+
+
+#: The profile, one concept with more words, and a bonus for good assessments.
+VARIANTS = [("base", PROFILE), ("words", PROFILE.but(concepts={"with": ["with", "with the", "and", "and the"]})), ("assessed", PROFILE.but(assessment_bonus=0.1))]
+
+
+def _labelled_candidates(spark, sf_dir):
+    rel = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 3).when(F.col("quality") == 1, 1).otherwise(0)
+    return table(spark, sf_dir, "labels").select(F.format_string("CAND_%07d", "doc_id").alias("candidate_id"), rel.alias("rel"))
+
+
+@query()
+def impact(spark, sf_dir):
+    return experiments.impact(candidates(spark, sf_dir), _labelled_candidates(spark, sf_dir), VARIANTS, semantic_scores(_vectors(spark, sf_dir), _probes(spark, sf_dir)))
+
+
+@query()
+def impact_bootstrap(spark, sf_dir):
+    labelled = candidates(spark, sf_dir).join(_labelled_candidates(spark, sf_dir), "candidate_id")
+    rows = experiments.variant_scores(labelled, VARIANTS, semantic_scores(_vectors(spark, sf_dir), _probes(spark, sf_dir)))
+    return experiments.bootstrap(rows, ["words", "assessed"])
 
 
 @query()
@@ -367,6 +539,131 @@ def bootstrap_ci(spark, sf_dir):
     return experiments.bootstrap(rows, ["variant"])
 
 
+# --- sources and sinks -----------------------------------------------------------------------------------------
+
+
+def _people(spark, sf_dir):
+    """Suppliers as records of the source formats, one in ten without an id."""
+    k = F.col("s_suppkey")
+    profile = F.struct(F.col("s_name").alias("summary"), F.concat(F.lit("headline "), k).alias("headline"), (F.col("s_acctbal") / 1000).alias("years_of_experience"), F.concat(F.lit("City "), F.col("s_nationkey")).alias("location"))
+    role = F.struct(F.concat(F.lit("Title "), k).alias("title"), F.lit("did things").alias("description"), F.lit("2020-01-01").alias("start_date"), (k % 50).alias("duration_months"), (k % 2 == 0).alias("is_current"))
+    signals = F.struct((k % 3 == 0).alias("open_to_work_flag"), F.when(k % 4 > 0, k % 120).alias("notice_period_days"), F.create_map(F.lit("skill"), k % 100).alias("skill_assessment_scores"))
+    skills = F.array(F.struct(F.lit("sql").alias("name"), F.lit("expert").alias("proficiency"), F.when(k % 5 == 0, F.lit(12)).alias("duration_months")))
+    return table(spark, sf_dir, "supplier").select(k, F.when(k % 10 > 0, F.concat(F.lit("S"), k)).alias("candidate_id"), profile.alias("profile"), F.array(role).alias("career_history"), skills.alias("skills"), signals.alias("acme_signals"))
+
+
+def _json_lines(spark, sf_dir):
+    """The path of a file of JSON lines in order of the key, with blank and broken lines and lines that are no objects."""
+    path = f"{shared_path(spark, 'people')}.jsonl"
+    line = F.to_json(F.struct("candidate_id", "profile", "career_history", "skills", "acme_signals"))
+    broken = F.when(F.col("s_suppkey") % 4 == 0, F.array(line, F.lit("not json"))).when(F.col("s_suppkey") % 4 == 1, F.array(line, F.lit("[1, 2]"))).when(F.col("s_suppkey") % 4 == 2, F.array(line, F.lit(""))).otherwise(F.array(line))
+    _people(spark, sf_dir).select("s_suppkey", F.posexplode(broken)).coalesce(1).sortWithinPartitions("s_suppkey", "pos").select("col").write.text(path)
+    return path
+
+
+SUPPLIERS = "SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, CASE WHEN s_suppkey % 10 > 0 THEN 'S' || s_suppkey END AS cid FROM supplier"
+
+
+@query(f"""SELECT cid AS candidate_id, s_name AS summary, s_acctbal / 1000 AS years, CAST(s_suppkey % 50 AS DOUBLE) AS months, s_suppkey % 2 = 0 AS is_current, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 12 END AS DOUBLE) AS skill_months,
+  s_suppkey % 3 = 0 AS open, CAST(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 120 END AS DOUBLE) AS notice, CAST(s_suppkey % 100 AS DOUBLE) AS assessed FROM ({SUPPLIERS})""")
+def json_lines_scan(spark, sf_dir):
+    rows = readers.read_candidates(spark, _json_lines(spark, sf_dir))
+    role, skill = F.get("career_history", F.lit(0)), F.get("skills", F.lit(0))
+    return rows.select("candidate_id", F.col("profile.summary").alias("summary"), F.col("profile.years_of_experience").alias("years"), role["duration_months"].alias("months"), role["is_current"].alias("is_current"), skill["duration_months"].alias("skill_months"), F.col("signals.open_to_work_flag").alias("open"), F.col("signals.notice_period_days").alias("notice"), F.col("signals.skill_assessment_scores")["skill"].alias("assessed"))
+
+
+@query(f"SELECT coalesce(cid, 'ROW_' || i) AS candidate_id, s_name || ' headline ' || s_suppkey || ' Title ' || s_suppkey || ' did things' AS narrative FROM ({SUPPLIERS})")
+def narrative_chunks(spark, sf_dir):
+    return readers.narratives(spark, _json_lines(spark, sf_dir))
+
+
+FLAT = """CASE WHEN s_suppkey % 10 > 0 THEN 'S' || s_suppkey ELSE printf('CAND_{}_%07d', i) END AS candidate_id, s_name AS summary, s_acctbal AS years, 'C' || s_nationkey AS location, CAST(CASE WHEN s_acctbal > 0 THEN floor(s_acctbal * 12) ELSE 12 END AS DOUBLE) AS months, 2 AS skills, s_suppkey % 3 = 0 AS open"""
+
+
+def _flat(spark, sf_dir, dotted: str = "."):
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    return table(spark, sf_dir, "supplier").orderBy(k).select(F.when(k % 10 > 0, F.concat(F.lit("S"), k)).alias("candidate_id"), F.col("s_name").alias("profile.summary"), text(F.col("s_acctbal")).alias("years_of_experience"), F.concat(F.lit("C"), F.col("s_nationkey")).alias(f"profile{dotted}location"), F.lit("a, b").alias("skills"), F.when(k % 3 == 0, "true").otherwise("false").alias("acme_signals.open_to_work_flag"))
+
+
+def _flat_rows(rows):
+    return rows.select("candidate_id", F.col("profile.summary").alias("summary"), F.col("profile.years_of_experience").alias("years"), F.col("profile.location").alias("location"), F.get("career_history", F.lit(0))["duration_months"].alias("months"), F.size("skills").alias("skills"), F.col("signals.open_to_work_flag").alias("open"))
+
+
+@query(f"SELECT {FLAT.format('CSV')} FROM ({SUPPLIERS})")
+def csv_scan(spark, sf_dir):
+    path = f"{shared_path(spark, 'people')}.csv"
+    _flat(spark, sf_dir, "_").coalesce(1).write.csv(path, header=True, escape='"')
+    return _flat_rows(readers.read_candidates(spark, path))
+
+
+@query(f"SELECT {FLAT.format('XLSX')} FROM ({SUPPLIERS})")
+def xlsx_scan(spark, sf_dir):
+    path = f"{shared_path(spark, 'people')}.xlsx"
+    rows = _flat(spark, sf_dir)
+    sinks.write_bytes(spark, path, sinks.workbook([rows.columns, *[["" if v is None else v for v in r] for r in rows.collect()]]))
+    return _flat_rows(readers.read_candidates(spark, path))
+
+
+@query("SELECT 'N' || n_nationkey AS candidate_id, n_name AS summary FROM nation")
+def json_scan(spark, sf_dir):
+    path = f"{shared_path(spark, 'people')}.json"
+    record = F.struct(F.concat(F.lit("N"), F.col("n_nationkey")).alias("candidate_id"), F.struct(F.col("n_name").alias("summary")).alias("profile"))
+    text = table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(record)).alias("t")).first()["t"]
+    sinks.write_bytes(spark, path, text.encode())
+    return readers.read_candidates(spark, path).select("candidate_id", F.col("profile.summary").alias("summary"))
+
+
+@query("SELECT printf('CAND_%07d', doc_id) AS candidate_id, CAST(quality AS INTEGER) AS tier FROM labels WHERE doc_id % 7 > 0")
+def labels_scan(spark, sf_dir):
+    path = shared_path(spark, "labels")
+    rows = table(spark, sf_dir, "labels").select(F.format_string("CAND_%07d", "doc_id").alias("candidate_id"), F.when(F.col("doc_id") % 7 > 0, F.col("quality")).alias("tier"))
+    rows.select(F.to_json(F.struct("*"))).write.text(path)
+    return readers.read_labels(spark, path)
+
+
+@query(f"{oracles.scores(PROFILE)}, r AS ({RANKED} scored ORDER BY rank LIMIT 100) SELECT candidate_id, rank, printf('%.6f', score) AS score FROM r")
+def ranking_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "ranking")
+    sinks.write_ranking(rank_candidates(candidates(spark, sf_dir), PROFILE, 100), path)
+    return readers.read_ranking(spark, path).where("length(reasoning) > 0").select("candidate_id", "rank", "score")
+
+
+@query()
+def ranking_download(spark, sf_dir):
+    """The lines of the in-memory CSV."""
+    text = sinks.ranking_csv(rank_candidates(candidates(spark, sf_dir), PROFILE, 100))
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "place int, line string")
+
+
+@query("SELECT printf('CAND_%07d', vec_id) AS candidate_id, vec_id AS row_idx, CAST(len(embedding) AS INTEGER) AS dim, CAST(8 AS BIGINT) AS probes FROM embeddings")
+def artifacts_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "artifacts")
+    sinks.write_artifacts(_vectors(spark, sf_dir), _probes(spark, sf_dir), path)
+    vectors, probes = readers.read_artifacts(spark, path)
+    return vectors.select("candidate_id", "row_idx", F.size("embedding").alias("dim"), F.lit(len(probes)).cast("long").alias("probes"))
+
+
+@query()
+def reports(spark, sf_dir):
+    """Lines of the four reports and of the short verdict, as they are written."""
+    pool = candidates(spark, sf_dir)
+    classes, ranking = audit.classify(pool, PROFILE), written(_ranking(spark, sf_dir), "ranking")
+    report = written(verification.verification(classes, ranking), "report")
+    texts = {
+        "verification": verification.verification_report(report, verification.gate_counts(verification.members(classes, ranking))),
+        "sensitivity": sinks.markdown(experiments.sweep(_superset(spark, sf_dir)[1], PROFILE).orderBy("jaccard_10", "label"), "Sensitivity"),
+        "coverage": sinks.markdown(audit.lexicon_coverage(pool, PROFILE), "Lexicon coverage"),
+        "bootstrap": sinks.markdown(bootstrap_ci(spark, sf_dir), "Bootstrap"),
+        "verdict": "\n".join(verification.verdict_lines(report)),
+    }
+    folder = shared_path(spark, "reports")
+    for name, text in texts.items():
+        sinks.write_bytes(spark, f"{folder}/{name}.md", text.encode())
+    lines = [(name, i, line) for name, text in texts.items() for i, line in enumerate(text.splitlines())]
+    return spark.createDataFrame(lines, "report string, place int, line string")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -36,6 +36,7 @@ DISCLAIMER = r"\b(?:lighter on the deep.?learning|lighter weight than|not my str
 TECH_TITLE = r"(?:ml|ai|software|data|nlp|search|backend|full.?stack|platform|infrastructure|devops|sre|cloud|site.reliability|applied|research|deep.learning|machine.learning|computer.vision)\s+(?:engineer|scientist|architect|developer|analyst)|developer|scientist|machine learning|deep learning|nlp"
 REJECTED_TITLE = r"\b(?:computer\s+vision|cv\s+engineer|speech|asr|robotics?|perception|image\s+classification|object\s+detection)\b"
 ARCHETYPES = {"ELITE": "focus on search, retrieval, and ranking", "STRONG": "strong background in nlp", "SENIOR_ENG": "building systems that connect users with relevant information", "GENERIC": "predictive modeling, nlp, analytics"}
+LOOSE_ARCHETYPES = {"ELITE": "search, retrieval, and ranking", "STRONG": "strong background in nlp", "GENERIC": "predictive modeling"}
 OFF_LEXICON = ["discovery engine", "discovery system", "search relevance", "relevance engineering", "query understanding", "feed ranking", "feed ranker", "matching engine", "matching algorithm", "matchmaking", "recommendation pipeline", "ad ranking", "content ranking", "two-tower", "two tower", "collaborative filtering", "content-based filtering", "nearest neighbor", "approximate nearest neighbor", "ann index", "solr", "lucene", "vespa", "algolia", "typesense", "hnsw", "scann", "annoy", "personalization engine", "ranker", "ranking pipeline", "search pipeline", "search ranking", "ltr"]
 
 
@@ -65,7 +66,11 @@ class JobProfile:
     chaser: float = 0.75
     notice_free: float = 30.0
     notice_end: float = 180.0
+    #: Added to credibility for each of at most two assessments of 70 or more in a wanted domain.
+    assessment_bonus: float = 0.0
     archetypes: dict = field(default_factory=lambda: ARCHETYPES)
+    loose_archetypes: dict = field(default_factory=lambda: LOOSE_ARCHETYPES)
+    off_lexicon: tuple = tuple(OFF_LEXICON)
     negation: str = NEGATION
     aspiration: str = ASPIRATION
     disclaimer: str = DISCLAIMER
@@ -81,4 +86,4 @@ class JobProfile:
 def corpus_profile() -> JobProfile:
     """Terms that occur in the synthetic documents, where the job's own do not."""
     words = {"this": ["this"], "from": ["from"], "other": ["ther", "ther the"], "with": ["with", "with the"], "for": ["for"], "that": ["that"]}
-    return JobProfile(today=date(2024, 2, 1), concepts=words, generic=("and", "which"), positive=("with", "this"), negative=("der", "die"), research=("les", "est"), production=("the",), scope=("of the", "in the"), home_country="india", product_industries=("BUILDING", "MACHINERY"), services_industries=("FURNITURE",))
+    return JobProfile(today=date(2024, 2, 1), concepts=words, generic=("and", "which"), positive=("with", "this"), negative=("der", "die"), research=("les", "est"), production=("the",), scope=("of the", "in the"), home_country="india", product_industries=("BUILDING", "MACHINERY"), services_industries=("FURNITURE",), archetypes={"ELITE": "with the", "STRONG": "from the", "SENIOR_ENG": "that the", "GENERIC": "this"}, loose_archetypes={"ELITE": "with th", "STRONG": "from th", "GENERIC": "thi"}, off_lexicon=("and the", "which", "have", "not", "they"))

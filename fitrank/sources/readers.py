@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import os
+import warnings
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import narrative
+from ..operators.semantic import valid_artifacts
+from ..storage import free_name, row_numbers, written
+
 ROLE = "struct<title:string,description:string,company:string,industry:string,start_date:string,end_date:string,duration_months:double,is_current:boolean>"
 EDUCATION = "struct<tier:string,start_year:bigint,end_year:bigint>"
 SKILL = "struct<name:string,proficiency:string,duration_months:double>"
@@ -50,8 +57,8 @@ def from_variants(rows: DataFrame, v: str = "v", signals_key: str = "signals") -
 
 
 def _signals_key(rows: DataFrame) -> str:
-    """The first top-level key that is `signals` or ends with `_signals`."""
-    found = rows.select(F.regexp_extract("value", r'"((?:[A-Za-z0-9]+_)?signals)"\s*:\s*\{', 1).alias("k")).where("k <> ''").first()
+    """The most frequent top-level key that is `signals` or ends with `_signals` (ties by name)."""
+    found = rows.select(F.regexp_extract("value", r'"((?:[A-Za-z0-9]+_)?signals)"\s*:\s*\{', 1).alias("k")).where("k <> ''").groupBy("k").count().orderBy(F.desc("count"), "k").first()
     return found["k"] if found else "signals"
 
 
@@ -73,6 +80,13 @@ def read_json(spark: SparkSession, path: str, signals_key: str | None = None) ->
     return from_variants(rows.where(F.schema_of_variant("v").startswith("OBJECT")), signals_key=key)
 
 
+def numbered_rows(rows: DataFrame, name: str) -> DataFrame:
+    """Adds `name`: the place of each row from 0, in the order in which the source is read."""
+    order = free_name(rows, "order")
+    # written, so that a row has the same number wherever it is read
+    return row_numbers(written(rows.withColumn(order, F.monotonically_increasing_id()), "numbered"), [F.col(order)], name).drop(order)
+
+
 def from_flat(rows: DataFrame, underscored: bool = True, prefix: str = "CAND_CSV_") -> DataFrame:
     """Candidates of flat text rows: columns bare, `profile.x` or (where underscored) `profile_x`, and likewise signals;
     JSON in the cells of the three lists, or skills by commas; a role is made up for an empty career."""
@@ -100,8 +114,12 @@ def from_flat(rows: DataFrame, underscored: bool = True, prefix: str = "CAND_CSV
         flag("open_to_work_flag").alias("open_to_work_flag"), value("notice_period_days").alias("notice_period_days"), flag("willing_to_relocate").alias("willing_to_relocate"), F.coalesce(value("recruiter_response_rate"), F.lit(0.0)).alias("recruiter_response_rate"), nothing.cast("double").alias("avg_response_time_hours"),
         cell("last_active_date", "signals").alias("last_active_date"), value("github_activity_score").alias("github_activity_score"), no.alias("verified_email"), no.alias("verified_phone"), no.alias("linkedin_connected"), nothing.cast("map<string,double>").alias("skill_assessment_scores"),
     )
-    number = F.format_string(prefix + "%07d", F.monotonically_increasing_id() + 1)
-    identity = F.coalesce(*[F.nullif(columns[c], F.lit("")) for c in ("candidate_id", "id") if c in columns], number)
+    own = [F.nullif(columns[c], F.lit("")) for c in ("candidate_id", "id") if c in columns]
+    identity = F.coalesce(*own, F.lit(None).cast("string"))
+    if not own or not rows.where(identity.isNull()).isEmpty():
+        place = free_name(rows, "place")
+        rows = numbered_rows(rows, place)
+        identity = F.coalesce(identity, F.format_string(prefix + "%07d", F.col(place)))
     return rows.select(identity.alias("candidate_id"), profile.alias("profile"), F.when(F.size(career) > 0, career).otherwise(made_up).alias("career_history"), F.coalesce(listed("education", EDUCATION), F.array().cast(f"array<{EDUCATION}>")).alias("education"), skills.alias("skills"), signals.alias("signals"))
 
 
@@ -109,8 +127,29 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return from_flat(spark.read.csv(path, header=True, multiLine=True, escape='"'))
 
 
+_OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _active_sheet(z: zipfile.ZipFile, ns: dict) -> str:
+    """The file of the sheet that is shown when the workbook is opened; without a workbook part the first by name."""
+    names = z.namelist()
+    sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+    if "xl/workbook.xml" not in names or "xl/_rels/workbook.xml.rels" not in names:
+        return sheets[0]
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    view = book.find("m:bookViews/m:workbookView", ns)
+    listed = book.findall("m:sheets/m:sheet", ns)
+    active = int(view.get("activeTab", "0")) if view is not None else 0
+    if active >= len(listed):
+        return sheets[0]
+    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    target = targets.get(listed[active].get(f"{_OFFICE}id"), "").lstrip("/")
+    target = target if target.startswith("xl/") else f"xl/{target}"
+    return target if target in names else sheets[0]
+
+
 def sheet_rows(data: bytes) -> list[list[str]]:
-    """Cells of a workbook's first sheet as text."""
+    """Cells of a workbook's active sheet as text."""
     import io
 
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -119,7 +158,7 @@ def sheet_rows(data: bytes) -> list[list[str]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheet = sorted(n for n in names if n.startswith("xl/worksheets/sheet"))[0]
+        sheet = _active_sheet(z, ns)
         out = []
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{ns['m']}}}row"):
             cells: dict[int, str] = {}
@@ -139,7 +178,7 @@ def sheet_rows(data: bytes) -> list[list[str]]:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet; columns bare or dotted. The file goes to one worker, which parses it."""
+    """The active sheet; columns bare or dotted. The file goes to one worker, which parses it."""
     from ..shipping import ship
 
     ship(spark)
@@ -154,7 +193,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
                 head = rows[0] if rows else []
                 yield pd.DataFrame({"cells": [dict(zip(head, r)) for r in rows[1:] if any(r)]})
 
-    cells = files.mapInPandas(parse, "cells map<string,string>").persist()
+    cells = written(files.mapInPandas(parse, "cells map<string,string>"), "sheet")
     names = sorted({k for r in cells.select(F.map_keys("cells").alias("k")).distinct().collect() for k in r["k"]})
     return from_flat(cells.select(*[F.col("cells")[n].alias(n) for n in names]), underscored=False, prefix="CAND_XLSX_")
 
@@ -167,6 +206,14 @@ def read_candidates(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
     return rows.limit(limit) if limit else rows
 
 
+def narratives(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """candidate_id and narrative of each record; a record without id is ROW_n by its place from 0. limit 0 reads all.
+    What an encoder takes in: batches of it are partitions' Arrow batches."""
+    rows = numbered_rows(read_candidates(spark, path).select("candidate_id", narrative().alias("narrative")), "place")
+    rows = rows.where(F.col("place") < limit) if limit else rows
+    return rows.select(F.coalesce(F.nullif("candidate_id", F.lit("")), F.concat(F.lit("ROW_"), "place")).alias("candidate_id"), "narrative")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """candidate_id and tier; rows without either are skipped."""
     return spark.read.schema("candidate_id string, tier int").json(path).where("candidate_id is not null and tier is not null")
@@ -178,3 +225,20 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("candidate_id string, row_idx bigint, embedding array<float>").parquet(path)
+
+
+def read_artifacts(spark: SparkSession, folder: str) -> tuple[DataFrame | None, np.ndarray | None]:
+    """(vectors, probes) of a folder that `write_artifacts` filled, or (None, None) with a warning where a part is missing or they do
+    not belong together; a ranking then goes by texts alone."""
+    try:
+        vectors, ids = read_vectors(spark, f"{folder}/vectors"), spark.read.schema("candidate_id string").parquet(f"{folder}/ids")
+        rows = spark.read.schema("place int, embedding array<float>").parquet(f"{folder}/probes").orderBy("place").collect()
+    except AnalysisException:
+        warnings.warn(f"{folder} lacks a part; texts alone decide", stacklevel=2)
+        return None, None
+    widths = {len(r["embedding"]) for r in rows}
+    probes = np.array([r["embedding"] for r in rows], np.float32) if len(widths) == 1 else None
+    if not valid_artifacts(vectors, ids, probes):
+        warnings.warn(f"vectors, ids and probes in {folder} do not belong together; texts alone decide", stacklevel=2)
+        return None, None
+    return vectors, probes

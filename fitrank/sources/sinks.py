@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +28,35 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select("candidate_id", "row_idx", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, in any store that Spark reaches."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_artifacts(vectors: DataFrame, probes, folder: str) -> None:
+    """Vectors, the list of their ids and the probes, each as a table of its own."""
+    write_vectors(vectors, f"{folder}/vectors")
+    vectors.select("candidate_id").write.mode("overwrite").parquet(f"{folder}/ids")
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(probes)]
+    vectors.sparkSession.createDataFrame(rows, "place int, embedding array<float>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/probes")
+
+
+def workbook(rows: list[list[str]]) -> bytes:
+    """A spreadsheet of one sheet of texts."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>' for x in r) + "</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}"><sheetData>{cells}</sheetData></worksheet>')
+    return out.getvalue()
+
+
 def markdown(frame: DataFrame, title: str, limit: int = 200) -> str:
     """A report table of a small frame."""
     rows = frame.limit(limit).collect()

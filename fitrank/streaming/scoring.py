@@ -1,4 +1,4 @@
-"""Scores new profiles as they arrive, on texts alone; and a percentile table frozen from a pool, not used by that yet."""
+"""Scores new profiles as they arrive, on texts alone."""
 
 from __future__ import annotations
 
@@ -9,17 +9,6 @@ from ..operators.ranking import score
 from ..sources.readers import from_variants
 
 
-def percentile_bounds(pool: DataFrame, value: str = "raw", steps: int = 1000) -> list[float]:
-    """`steps` + 1 quantiles: a table whose size doesn't depend on the pool."""
-    return pool.select(F.percentile_approx(value, [i / steps for i in range(steps + 1)], 100_000).alias("q")).first()["q"]
-
-
-def frozen_percentile(value, bounds: list[float]):
-    """Share of the bounds below a value, as a Column."""
-    table = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(table, lambda b: b < value)) / F.lit(len(bounds))
-
-
 def stream_scores(spark: SparkSession, folder: str, profile, signals_key: str = "signals") -> DataFrame:
     """A streaming frame of scored candidates from JSON-lines files that appear in a folder."""
     lines = spark.readStream.text(folder).where(F.trim("value") != "")
