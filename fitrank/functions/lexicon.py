@@ -23,41 +23,45 @@ def has_any(text: Column, terms) -> Column:
     return F.coalesce(text.rlike(term_regex(terms)), F.lit(False)) if terms else F.lit(False)
 
 
-def unsuppressed(text: Column, terms, negation: str, aspiration: str) -> Column:
+def sentences(text: Column, aspiration: str) -> Column:
+    """A text cut after . ! ? and line ends: (text, at, long) of each piece, the last two of its first aspiration (at -1
+    where there is none). All lexicons of a text can share it."""
+    hopes = F.lit("(?U)" + aspiration)
+    cut = F.split(F.replace(text, F.lit(MARK), F.lit("")), r"(?<=[.!?\n])")
+    return F.transform(cut, lambda s: F.struct(s.alias("text"), (F.regexp_instr(s, hopes) - 1).alias("at"), F.length(F.coalesce(F.regexp_substr(s, hopes), F.lit(""))).alias("long")))
+
+
+def unsuppressed(text: Column, terms, negation: str, aspiration: str, cut: Column | None = None) -> Column:
     """Is there a mention that neither a negation (within two words, in the 40 characters before) nor an aspiration
-    (earlier in its sentence) takes back?
+    (earlier in its sentence) takes back? `cut`: the text's sentences, where they are at hand.
 
-    One pass over the text: it is cut into sentences, each with the place of its first aspiration; mentions are marked, and
-    what lies between marks is walked through with the last 40 characters and the place in the sentence carried along. Terms
-    hold no sentence end; an aspiration holds neither a sentence end nor another aspiration."""
+    One pass over the text: in each sentence mentions are marked, and what lies between marks is walked through with the
+    last 40 characters and the place in the sentence carried along. Terms hold no sentence end; an aspiration holds neither
+    a sentence end nor another aspiration."""
     if not terms:
         return F.lit(False)
     if any(c in t for t in terms for c in ".!?\n"):
         raise ValueError("a term holds a sentence end")
     negated = r"(?U)" + negation + r"\s+(?:[\w'/-]+\s+){0,2}\z"
-    hopes = "(?U)" + aspiration
-    plain = F.replace(text, F.lit(MARK), F.lit(""))
-    sentence = lambda s: F.struct(s.alias("text"), (F.regexp_instr(s, F.lit(hopes)) - 1).alias("at"), F.length(F.coalesce(F.regexp_substr(s, F.lit(hopes)), F.lit(""))).alias("long"))
+    hopes, marked = "(?U)" + aspiration, term_regex(terms)
 
     def walked(done, s):
         def step(state, part):
             at = state["place"]
-            ends = s["at"] + s["long"]
             # a mention inside the first aspiration: only what stands before it counts
-            hoped = (s["at"] >= 0) & ((ends <= at) | ((s["at"] < at) & F.left(s["text"], at).rlike(hopes)))
-            stands = state["begun"] & ~state["found"] & ~hoped & ~state["tail"].rlike(negated)
-            return F.struct(F.right(F.concat(state["tail"], part), F.lit(WINDOW)).alias("tail"), (state["found"] | stands).alias("found"), (at + F.length(part)).alias("place"), F.lit(True).alias("begun"))
+            hoped = (s["at"] >= 0) & ((s["at"] + s["long"] <= at) | ((s["at"] < at) & F.left(s["text"], at).rlike(hopes)))
+            stands = state["found"] | (state["begun"] & ~hoped & ~state["tail"].rlike(negated))
+            return F.struct(F.right(F.concat(state["tail"], part), F.lit(WINDOW)).alias("tail"), stands.alias("found"), (at + F.length(part)).alias("place"), F.lit(True).alias("begun"))
 
-        parts = F.split(F.regexp_replace(s["text"], term_regex(terms), MARK + "$0"), MARK)
         start = F.struct(done["tail"].alias("tail"), done["found"].alias("found"), F.lit(0).alias("place"), F.lit(False).alias("begun"))
-        return F.aggregate(parts, start, step, lambda state: F.struct(state["tail"].alias("tail"), state["found"].alias("found")))
+        return F.aggregate(F.split(F.regexp_replace(s["text"], marked, MARK + "$0"), MARK), start, step, lambda state: F.struct(state["tail"].alias("tail"), state["found"].alias("found")))
 
     nothing = F.struct(F.lit("").alias("tail"), F.lit(False).alias("found"))
-    sentences = F.transform(F.split(plain, r"(?<=[.!?\n])"), sentence)
-    return F.when(has_any(text, terms), F.aggregate(sentences, nothing, walked, lambda state: state["found"])).otherwise(F.lit(False))
+    cut = sentences(text, aspiration) if cut is None else cut
+    return F.when(has_any(text, terms), F.aggregate(cut, nothing, walked, lambda state: state["found"])).otherwise(F.lit(False))
 
 
-def concepts(text: Column, profile, suppress: bool = True) -> Column:
+def concepts(text: Column, profile, suppress: bool = True, cut: Column | None = None) -> Column:
     """Names of the concepts that the lower-cased text has, in the profile's order."""
-    found = lambda terms: unsuppressed(text, terms, profile.negation, profile.aspiration) if suppress else has_any(text, terms)
+    found = lambda terms: unsuppressed(text, terms, profile.negation, profile.aspiration, cut) if suppress else has_any(text, terms)
     return F.filter(F.array(*[F.when(found(terms), F.lit(name)) for name, terms in profile.concepts.items()]), lambda x: x.isNotNull())

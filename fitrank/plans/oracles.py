@@ -11,6 +11,11 @@ from ..profile import JobProfile
 FOLD = r"regexp_replace(lower({}), '[ªµºß-öø-ɏ\x{{0300}}-\x{{036f}}]', 'z', 'g')"
 
 
+def round6(x: str) -> str:
+    """Six places of the binary value, halves to even; DuckDB's own round goes by a product."""
+    return f"CAST(printf('%.6f', {x}) AS DOUBLE)"
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -129,14 +134,14 @@ def swept(profile: JobProfile, rows: list[tuple], superset: str, size: int) -> s
     arch = "CASE " + " ".join(f"WHEN contains(lower(summary), {quoted(v)}) THEN {quoted(n)}" for n, v in profile.loose_archetypes.items()) + " ELSE 'other' END"
     left = "greatest(0::DOUBLE, least(1::DOUBLE, (notice_end - n_events * 3) / (notice_end - notice_free)))"
     return f"""prm AS (SELECT * FROM {parameters(rows)}),
-best AS (SELECT candidate_id FROM {superset} ORDER BY round(score, 6) DESC, candidate_id LIMIT {size}),
+best AS (SELECT candidate_id FROM {superset} ORDER BY {round6('score')} DESC, candidate_id LIMIT {size}),
 sup AS (SELECT f.*, e.responsiveness, e.recency, e.credibility, s.semantic, g.flagged, v.seen, v.n_events, {arch} AS arch FROM fit_sums f JOIN best USING (candidate_id) JOIN engaged_parts e USING (candidate_id) JOIN flags g USING (candidate_id) JOIN view v USING (candidate_id) LEFT JOIN semantic s USING (candidate_id)),
 grades AS (SELECT *, CASE WHEN has_disclaimer THEN least({grade}, b_disclaimer) ELSE {grade} END AS ev FROM sup, prm),
 blends AS (SELECT *, CASE WHEN semantic IS NULL THEN ev ELSE (1 - semantic_share) * ev + semantic_share * semantic END AS blended,
   CASE WHEN seen AND n_events % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN seen THEN 0.4::DOUBLE * CASE WHEN n_events * 3 <= notice_free THEN 1 ELSE {left} * {left} END ELSE 0 END + CASE WHEN seen AND n_events % 3 = 0 THEN 0.1::DOUBLE ELSE 0 END AS available FROM grades),
 swept AS (SELECT label, candidate_id, arch, CASE WHEN flagged THEN 0 ELSE (w_technical * blended * gate + w_seniority * seniority + w_product * product + w_location * location + w_education * education + w_stability * stability) * CASE WHEN chaser_penalty < 1 THEN chaser ELSE 1 END
   * (floor + (1 - floor) * (e_availability * available + e_responsiveness * responsiveness + e_recency * recency + e_credibility * credibility)) END AS score FROM blends),
-tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 6) DESC, candidate_id) AS rank FROM swept) WHERE rank <= 100)"""
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {round6('score')} DESC, candidate_id) AS rank FROM swept) WHERE rank <= 100)"""
 
 
 #: Similarity to the first eight vectors and its percentile, as the engine's batches work them out (32-bit there).

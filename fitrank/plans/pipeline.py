@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.explain import explained
-from ..operators.ranking import contenders, exact_round6, numbered, score
+from ..operators.ranking import score, top_n
 from ..operators.semantic import latest_by_id, pool_percentile, similarity, valid_artifacts
 from ..storage import written
 
@@ -23,20 +23,29 @@ def usable_scores(vectors: DataFrame, probes: np.ndarray | None, ids: DataFrame
     return semantic_scores(vectors, probes) if valid_artifacts(vectors, ids, probes) else None
 
 
+def scored_pool(candidates: DataFrame, profile, semantic: DataFrame | None = None) -> DataFrame:
+    """candidate_id, score, trace and a fingerprint of the row, written once for the whole pool: a few numbers a row, no
+    texts. All that follows a scoring reads this."""
+    return written(score(candidates, profile, semantic).select("candidate_id", "score", "trace", _fingerprint().alias("fingerprint")), "scores")
+
+
+def _fingerprint() -> Column:
+    return F.xxhash64("profile", "career_history", F.to_json("signals"))
+
+
+def best_of(pool: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """The n best of a scored pool with their profiles, roles, signals and ranks."""
+    best = F.broadcast(top_n(pool, n))  # n rows
+    rows = candidates.select("candidate_id", "profile", "career_history", "signals").withColumn("fingerprint", _fingerprint())
+    # alike rows of one id meet each of their ranks, of which one stays
+    return rows.join(best, ["candidate_id", "fingerprint"]).dropDuplicates(["rank"]).drop("fingerprint")
+
+
 def rank_candidates(candidates: DataFrame, profile, n: int = 100, vectors: DataFrame | None = None, probes: np.ndarray | None = None, ids: DataFrame | None = None) -> DataFrame:
     """candidate_id, rank, score, reasoning, trace. Vectors that don't belong together are left out, and texts alone
-    decide. The whole pool is scored for ids and scores alone; rows that may be among the n best are scored again with
-    their traces."""
+    decide. The pool is scored once; whole rows are fetched only for the n best."""
     semantic = usable_scores(vectors, probes, ids) if vectors is not None else None
-    if semantic is not None:
-        semantic = written(semantic, "semantic")
-    least, chosen = contenders(score(candidates, profile, semantic), n)
-    if chosen is not None:
-        chosen = F.broadcast(chosen.distinct())  # n + SLACK at most
-        candidates = candidates.join(chosen, "candidate_id", "left_semi")
-        semantic = semantic.join(chosen, "candidate_id", "left_semi") if semantic is not None else None
-    exact = score(candidates, profile, semantic).where(F.col("score") >= least).withColumn("score", exact_round6("score"))
-    best = numbered(exact.orderBy(F.desc("score"), "candidate_id").limit(n))
+    best = best_of(scored_pool(candidates, profile, semantic), candidates, n)
     return explained(best).select("candidate_id", "rank", "score", "reasoning", "trace")
 
 

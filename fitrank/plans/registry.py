@@ -18,7 +18,7 @@ from ..sources import readers, sinks
 from ..storage import shared_path, written
 from . import oracles
 from .candidate_view import candidates, table
-from .pipeline import candidate_audit, display_rows, rank_candidates, semantic_scores, usable_scores
+from .pipeline import best_of, candidate_audit, display_rows, rank_candidates, scored_pool, semantic_scores, usable_scores
 
 PROFILE = corpus_profile()
 #: Rows of a sweep: the feature is to re-score a ranking's best under many parameters.
@@ -222,7 +222,7 @@ def rank_topn(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-RANKED = "SELECT candidate_id, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, candidate_id) AS INTEGER) AS rank, round(score, 6) AS score FROM"
+RANKED = f"SELECT candidate_id, CAST(row_number() OVER (ORDER BY {oracles.round6('score')} DESC, candidate_id) AS INTEGER) AS rank, {oracles.round6('score')} AS score FROM"
 #: Scores with the pool percentile of the vectors.
 WITH_SEMANTIC = f"""{oracles.scores(PROFILE)},{oracles.SEMANTIC},
 both_scores AS (SELECT f.candidate_id, CASE WHEN flagged THEN 0 ELSE (fit / chaser_penalty - {PROFILE.weights["technical"]}::DOUBLE * technical
@@ -233,7 +233,7 @@ both_scores AS (SELECT f.candidate_id, CASE WHEN flagged THEN 0 ELSE (fit / chas
 
 @query(oracles.scores(PROFILE) + RANKED + " scored")
 def rank_full(spark, sf_dir):
-    return rank_all(score(candidates(spark, sf_dir), PROFILE)).select("candidate_id", "rank", "score")
+    return rank_all(score(candidates(spark, sf_dir), PROFILE))
 
 
 @query(f"{WITH_SEMANTIC}{RANKED} both_scores ORDER BY rank LIMIT 100")
@@ -257,7 +257,7 @@ def top_parts(spark, sf_dir):
 @query(f"""{oracles.scores(PROFILE)}, r AS ({RANKED} scored ORDER BY rank LIMIT 100), l AS (SELECT *, lag(score) OVER (ORDER BY rank) AS s, lag(candidate_id) OVER (ORDER BY rank) AS i FROM r)
 SELECT count(*) FILTER (WHERE score > s OR (score = s AND candidate_id < i)) AS violations, count(*) AS ranked FROM l""")
 def tie_break_check(spark, sf_dir):
-    ranked = written(top_n(score(candidates(spark, sf_dir), PROFILE), 100).select("candidate_id", "rank", "score"), "ranked")
+    ranked = written(top_n(scored_pool(candidates(spark, sf_dir), PROFILE), 100).select("candidate_id", "rank", "score"), "ranked")
     return tie_break_violations(ranked).agg(F.count("*").alias("violations")).join(ranked.agg(F.count("*").alias("ranked")), F.lit(True))
 
 
@@ -281,15 +281,17 @@ def explanation_distinct(spark, sf_dir):
 
 @query()
 def display(spark, sf_dir):
-    return display_rows(explained(top_n(score(candidates(spark, sf_dir), PROFILE), 100)))
+    pool = candidates(spark, sf_dir)
+    return display_rows(explained(best_of(scored_pool(pool, PROFILE), pool, 100)))
 
 
 @query()
 def audit_lookup(spark, sf_dir):
     """The first-ranked row with its profile, signals and trace."""
-    ranked = top_n(score(candidates(spark, sf_dir), PROFILE), 100)
-    first = ranked.where("rank = 1").first()
-    return candidate_audit(ranked, first["candidate_id"] if first else "").drop("profile", "career_history", "signals", "evidence_concepts", "honeypot")
+    pool = candidates(spark, sf_dir)
+    scored = scored_pool(pool, PROFILE)
+    first = top_n(scored, 1).first()
+    return candidate_audit(best_of(scored, pool, 1), first["candidate_id"] if first else "").drop("profile", "career_history", "signals", "evidence_concepts", "honeypot")
 
 
 @query("SELECT printf('CAND_%07d', c_custkey) AS candidate_id FROM customer WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings)")
@@ -380,7 +382,7 @@ def audit_classes(spark, sf_dir):
 
 
 def _ranking(spark, sf_dir):
-    return rank_candidates(candidates(spark, sf_dir), PROFILE, 100).select("candidate_id", "rank", "score")
+    return top_n(scored_pool(candidates(spark, sf_dir), PROFILE), 100).select("candidate_id", "rank", "score")
 
 
 #: Classes of the view with the rank of the best hundred.
@@ -487,8 +489,8 @@ def _superset(spark, sf_dir):
     """The best of the pool on texts and vectors, with their percentiles."""
     pool = candidates(spark, sf_dir)
     semantic = usable_scores(_vectors(spark, sf_dir), _probes(spark, sf_dir))
-    best = written(top_n(score(pool, PROFILE, semantic).select("candidate_id", "score"), SUPERSET), "superset")
-    superset = pool.join(F.broadcast(best.select("candidate_id")), "candidate_id", "left_semi")
+    best = written(top_n(scored_pool(pool, PROFILE, semantic), SUPERSET).select("candidate_id", "rank", "score"), "superset")
+    superset = pool.join(F.broadcast(best.select("candidate_id")), "candidate_id", "left_semi")  # SUPERSET rows
     return best, superset.withColumn("semantic", F.lit(None).cast("double")) if semantic is None else superset.join(semantic, "candidate_id", "left")
 
 

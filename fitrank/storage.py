@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,26 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(rows: DataFrame, name: str) -> DataFrame:
+    """Adds `name`: a whole number of each row that is the same wherever and however often the row is read. Rows that come
+    straight from files are known by file and place; any others are numbered and written first."""
+    plan = rows._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    file, place, number = (free_name(rows, n) for n in ("file_of", "place_in", "file_number"))
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            placed = rows.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+        except AnalysisException:
+            placed = None
+        if placed is not None:
+            paths = sorted(r[file] for r in placed.select(file).distinct().collect())  # a line a file
+            files = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], f"`{file}` string, `{number}` long")
+            key = F.shiftleft(F.col(number), 40).bitwiseOR(F.col(place))
+            return placed.join(F.broadcast(files), file).select(*[F.col(f"`{c}`") for c in rows.columns], key.alias(name))
+    return written(rows.withColumn(name, F.monotonically_increasing_id()), "rows", "zstd")
+
+
 def row_numbers(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the place from 0 in an order of all rows, by range partitions and the counts before them; ties in any
     order. Nothing but one count a partition meets in one task."""

@@ -17,6 +17,7 @@ from fitrank.operators.fit import chaser_penalty, stability_band, with_fit
 from fitrank.operators.ranking import rank_all, score, tie_break_violations, top_n
 from fitrank.profile import JobProfile
 from fitrank.sources import readers, sinks
+from fitrank.storage import written
 
 JOB = JobProfile()
 
@@ -91,7 +92,7 @@ def test_bands(spark):
 
 def test_scores_and_order(spark, tmp_path):
     people = [person(2, "built ranking systems, semantic search and faiss"), person(1, "built ranking systems, semantic search and faiss"), person(3, "taking online courses on ranking systems", "Content Writer"), person(4, yoe=1.0, months=(200, 200))]
-    scored = score(load(spark, tmp_path, people), JOB)
+    scored = written(score(load(spark, tmp_path, people), JOB), "scored")
     best = {r["candidate_id"]: r for r in top_n(scored, 4).collect()}
     assert [i for i, r in sorted(best.items(), key=lambda x: x[1]["rank"])][:2] == ["CAND_0000001", "CAND_0000002"]
     assert best["CAND_0000004"]["score"] == 0 and best["CAND_0000004"]["trace"]["fit"] is None and best["CAND_0000001"]["score"] > best["CAND_0000003"]["score"]
@@ -145,7 +146,7 @@ def test_audit(spark, tmp_path):
 
 
 def test_sweep_agrees_with_scores(spark, tmp_path):
-    people = load(spark, tmp_path, [person(i, ["built ranking systems", "bm25 and ndcg", ""][i % 3], yoe=3.0 + i % 9) for i in range(12)]).withColumn("semantic", F.lit(0.4))
+    people = load(spark, tmp_path, [person(i, ["built ranking systems", "bm25 and ndcg", ""][i % 3], yoe=3.0 + i % 9, **({"notice_period_days": None} if i % 4 == 0 else {})) for i in range(12)]).withColumn("semantic", F.lit(0.4))
     changed = experiments.perturbations(JOB)[1][1]
     direct = {r.candidate_id: r.score for r in score(people, changed).collect()}
     swept = experiments.scores_under(experiments.ingredients(people, JOB), [("x", changed)]).collect()

@@ -20,6 +20,7 @@ from fitrank.operators.engagement import with_engagement
 from fitrank.plans import pipeline, registry
 from fitrank.profile import JobProfile
 from fitrank.sources import readers, sinks
+from fitrank.storage import written
 from fitrank.streaming.scoring import stream_scores
 from test_core import JOB, load, person
 
@@ -84,7 +85,7 @@ def test_scoring_keeps_clashing_columns(spark, tmp_path):
     names = ["_narrative", "_concepts", "_semantic", "fit", "flags", "semantic_score", "own", "_what", "explain_text", "place", "before", "part"]
     more = people.withColumns({n: F.lit(f"mine {n}") for n in names})
     plain = {r.candidate_id: r.score for r in ranking.score(people, JOB).collect()}
-    best = ranking.top_n(ranking.score(more, JOB), 3)
+    best = ranking.top_n(written(ranking.score(more, JOB), "scored"), 3)
     rows = explain.explained(best).collect()
     assert {r.candidate_id: round(s, 6) for r in rows for s in [r.score]} == {k: round(v, 6) for k, v in plain.items()}
     kept = [n for n in names if n not in ranking.ADDED]
@@ -115,9 +116,10 @@ def test_whole_ranking_equals_scoring_all(spark, tmp_path):
     every = ranking.score(people, JOB, pipeline.semantic_scores(vectors, probes)).collect()
     want = sorted(((round(r.score, 6), r.candidate_id) for r in every), key=lambda x: (-x[0], x[1]))[:7]
     assert [(r.score, r.candidate_id) for r in got] == want and all(r.trace.semantic is not None for r in got)
-    first = pipeline.candidate_audit(ranking.top_n(ranking.score(people, JOB), 7), got[0].candidate_id).collect()
+    pool = written(ranking.score(people, JOB), "scored")
+    first = pipeline.candidate_audit(ranking.top_n(pool, 7), got[0].candidate_id).collect()
     assert len(first) == 1 and first[0].candidate_id == got[0].candidate_id and first[0].evidence is not None
-    shown = pipeline.display_rows(explain.explained(ranking.top_n(ranking.score(people, JOB), 3))).collect()
+    shown = pipeline.display_rows(explain.explained(ranking.top_n(pool, 3))).collect()
     assert [r.rank for r in sorted(shown, key=lambda r: r.rank)] == [1, 2, 3] and all(re.fullmatch(r"\d+\.\d yrs", r.experience) and re.fullmatch(r"\d\.\d{6}", r.score) for r in shown)
 
 
