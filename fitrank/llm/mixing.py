@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, row_numbers, written
+from .shared import free_name, row_keys, row_numbers, written
 
 #: Words of the contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,9 +141,8 @@ def in_training_order(plan: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as taken, range-sorted by training position, which is
-    kept as the column mix_position. Rows are numbered and written before, so that a number is the same row wherever
-    it is read."""
+    kept as the column mix_position."""
     key, position = free_name(docs, "mix_row"), free_name(docs, "mix_position")
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix", "zstd")
+    rows = row_keys(docs, key)
     plan = mix(rows, key=key, **options).where("passes > 0").select(key, F.explode("positions").alias(position))
     return rows.join(plan, key).repartitionByRange(position, key).sortWithinPartitions(position, key).drop(key)

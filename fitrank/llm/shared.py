@@ -7,18 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fitrank.shipping import ship
-from fitrank.storage import free_name, release, row_numbers, shared_path, shared_root, written
+from fitrank.storage import free_name, release, row_keys, row_numbers, shared_path, shared_root, written
 
-__all__ = ["filesystem", "free_name", "get_file", "nb_partitions", "put_file", "release", "row_numbers", "shared_path", "shared_root", "small_batches", "table", "written"]
+__all__ = ["filesystem", "free_name", "get_file", "nb_partitions", "put_file", "release", "row_keys", "row_numbers", "shared_path", "shared_root", "small_batches", "table", "written"]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Ready the session for Python stages: workers get this package, and Arrow batches stay small enough
-    for long texts, at most `rows` rows unless the session asks for fewer."""
+    for long texts, at most `rows` rows and about `size` bytes unless the session asks for fewer."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

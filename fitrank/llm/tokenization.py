@@ -19,7 +19,7 @@ from functools import cache
 #: Longer units are encoded without being remembered.
 LONG = 64
 #: Units, and pre-tokens, in a generation of a worker's memory.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 #: White space but for spaces and line breaks.
 _RARE_SPACES = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
