@@ -8,10 +8,11 @@ differs, so its population count estimates high similarities closely. Candidates
 sets: its XOR never has more bits than the sets have differing shingles, so it leaves out pairs just below the
 threshold without losing any. What remains is confirmed on full sets.
 
-No bucket is expanded into pairs. First each member meets its bucket's smallest one, which settles groups of
-copies in linear time. Components follow. Then, in buckets that still hold several components, members outside
-the largest one meet the members of other components, bitmaps first. Hot buckets meet in joins that Spark
-splits; nothing is capped.
+First each member meets its bucket's smallest one, which settles groups of copies in linear time. Components
+follow. Then, in buckets that still hold several components, members outside the largest one meet the members of
+other components, sizes and bitmaps first. Buckets of copies thus cost what they hold; a bucket of many texts that are
+related but no copies (half of their shingles from one template) is compared by pairs, which no cap cuts short: its cost
+grows with the square of its components. Hot buckets meet in joins that Spark splits.
 """
 
 from __future__ import annotations

@@ -181,6 +181,15 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
     return placed.unionByName(alone)
 
 
+def in_training_order(packed: DataFrame) -> DataFrame:
+    """Packed pieces with a position, by sequence: a sequence stands where its first piece does (sequence_position, added),
+    and sequences are range-sorted by it. A sequence's pieces are few, as its capacity bounds them."""
+    rows = written(packed, "packed")
+    first = rows.groupBy("sequence_id").agg(F.min("position").alias("sequence_position"))
+    order = ["sequence_position", "sequence_id"]
+    return rows.join(first, "sequence_id").select(*packed.columns, "sequence_position").repartitionByRange(*order).sortWithinPartitions(*order, "offset")
+
+
 def _by_frame(f):
     """Frames in, batches out; ids that may be null stay out of pandas' floats."""
 

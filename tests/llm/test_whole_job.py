@@ -39,7 +39,9 @@ def test_pipeline_keeps_training_positions(spark, tmp_path):
     packed = p.pack_sequences(spark, mixed, "").toPandas()
     assert sorted(packed["position"]) == want
     sources(spark).write.parquet(str(tmp_path / "documents.parquet"))
-    assert p.run(spark, str(tmp_path)).columns[-1] == "position"
+    rows = p.run(spark, str(tmp_path)).collect()
+    first = {r.sequence_id: min(x.position for x in rows if x.sequence_id == r.sequence_id) for r in rows}
+    assert [r.sequence_position for r in rows] == [first[r.sequence_id] for r in rows] == sorted(first[r.sequence_id] for r in rows)
 
 
 def test_packing_takes_equal_lengths_in_training_order(spark):
