@@ -2,8 +2,8 @@
 
 Every stage works on all that the one before kept, and its decisions take effect: documents whose language is
 rejected go; of near-duplicates one stays; personal data becomes [KIND]; documents are repeated or left out until
-sources have their target weights, in training order; pieces are packed into sequences, and each keeps its
-training position.
+sources have their target weights, in training order; pieces are packed into sequences, which come in the order of
+their first piece's training position.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fitrank.llm import language_id, mixing, near_duplicates, packing, personal_data
 from fitrank.llm.queries import WORD_FILE, tokenizer_file
-from fitrank.llm.shared import free_name, written
+from fitrank.llm.shared import free_name, row_keys, written
 
 
 #: Training position of a row; the first stage adds it without a value, the mix fills it in, packing goes by it.
@@ -29,8 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group on five-word shingles one row of the smallest doc_id stays; of documents without shingles one row
     of each doc_id. Rows of one doc_id are one document; those without doc_id are linked with nothing and all stay."""
     key = free_name(docs, "row_key")
-    # written, so that a row has the same key wherever it is read
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows", "zstd")
+    rows = row_keys(docs, key)
     kept = near_duplicates.near_duplicates(rows, key=key).where("kept")
     one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias(key)).select(key)
     return rows.join(one.union(kept.where("doc_id is null").select(key)), key, "left_semi").select(docs.columns)
@@ -48,8 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces, their places in sequences of at most 4096 tokens and their training positions."""
-    return packing.pack(docs, tokenizer_file(WORD_FILE), position=POSITION if POSITION in docs.columns else None)
+    """Pieces, their places in sequences of at most 4096 tokens and their training positions; sequences are in training
+    order, each where its first piece is. Without positions there is no order."""
+    if POSITION not in docs.columns:
+        return packing.pack(docs, tokenizer_file(WORD_FILE))
+    return packing.in_training_order(packing.pack(docs, tokenizer_file(WORD_FILE), position=POSITION))
 
 
 STAGES = [
