@@ -23,12 +23,9 @@ def has_any(text: Column, terms) -> Column:
     return F.coalesce(text.rlike(term_regex(terms)), F.lit(False)) if terms else F.lit(False)
 
 
-def sentences(text: Column, aspiration: str) -> Column:
-    """A text cut after . ! ? and line ends: (text, at, long) of each piece, the last two of its first aspiration (at -1
-    where there is none). All lexicons of a text can share it."""
-    hopes = F.lit("(?U)" + aspiration)
-    cut = F.split(F.replace(text, F.lit(MARK), F.lit("")), r"(?<=[.!?\n])")
-    return F.transform(cut, lambda s: F.struct(s.alias("text"), (F.regexp_instr(s, hopes) - 1).alias("at"), F.length(F.coalesce(F.regexp_substr(s, hopes), F.lit(""))).alias("long")))
+def sentences(text: Column) -> Column:
+    """A text cut after . ! ? and line ends. All lexicons of a text can share it."""
+    return F.split(F.replace(text, F.lit(MARK), F.lit("")), r"(?<=[.!?\n])")
 
 
 def unsuppressed(text: Column, terms, negation: str, aspiration: str, cut: Column | None = None) -> Column:
@@ -44,21 +41,26 @@ def unsuppressed(text: Column, terms, negation: str, aspiration: str, cut: Colum
         raise ValueError("a term holds a sentence end")
     negated = r"(?U)" + negation + r"\s+(?:[\w'/-]+\s+){0,2}\z"
     hopes, marked = "(?U)" + aspiration, term_regex(terms)
+    # the place and length of the first aspiration, looked for only beside a mention
+    first = lambda s: F.struct((F.regexp_instr(s, F.lit(hopes)) - 1).alias("at"), F.length(F.coalesce(F.regexp_substr(s, F.lit(hopes)), F.lit(""))).alias("long"))
+    looked = lambda s: F.struct(s.alias("text"), F.when(s.rlike(marked), first(s)).alias("hope"))
 
     def walked(done, s):
         def step(state, part):
             at = state["place"]
             # a mention inside the first aspiration: only what stands before it counts
-            hoped = (s["at"] >= 0) & ((s["at"] + s["long"] <= at) | ((s["at"] < at) & F.left(s["text"], at).rlike(hopes)))
+            hoped = (s["hope"]["at"] >= 0) & ((s["hope"]["at"] + s["hope"]["long"] <= at) | ((s["hope"]["at"] < at) & F.left(s["text"], at).rlike(hopes)))
             stands = state["found"] | (state["begun"] & ~hoped & ~state["tail"].rlike(negated))
             return F.struct(F.right(F.concat(state["tail"], part), F.lit(WINDOW)).alias("tail"), stands.alias("found"), (at + F.length(part)).alias("place"), F.lit(True).alias("begun"))
 
         start = F.struct(done["tail"].alias("tail"), done["found"].alias("found"), F.lit(0).alias("place"), F.lit(False).alias("begun"))
-        return F.aggregate(F.split(F.regexp_replace(s["text"], marked, MARK + "$0"), MARK), start, step, lambda state: F.struct(state["tail"].alias("tail"), state["found"].alias("found")))
+        through = F.aggregate(F.split(F.regexp_replace(s["text"], marked, MARK + "$0"), MARK), start, step, lambda state: F.struct(state["tail"].alias("tail"), state["found"].alias("found")))
+        past = F.struct(F.right(F.concat(done["tail"], s["text"]), F.lit(WINDOW)).alias("tail"), done["found"].alias("found"))
+        return F.when(s["hope"].isNull() | done["found"], past).otherwise(through)
 
     nothing = F.struct(F.lit("").alias("tail"), F.lit(False).alias("found"))
-    cut = sentences(text, aspiration) if cut is None else cut
-    return F.when(has_any(text, terms), F.aggregate(cut, nothing, walked, lambda state: state["found"])).otherwise(F.lit(False))
+    cut = sentences(text) if cut is None else cut
+    return F.when(has_any(text, terms), F.aggregate(F.transform(cut, looked), nothing, walked, lambda state: state["found"])).otherwise(F.lit(False))
 
 
 def concepts(text: Column, profile, suppress: bool = True, cut: Column | None = None) -> Column:

@@ -116,7 +116,7 @@ def with_texts(candidates: DataFrame, profile) -> DataFrame:
     """Adds the lower-cased texts, their sentences and their concepts once, for all features to share."""
     built, support = evidence_texts()
     texts = candidates.withColumns({"_narrative": F.lower(narrative()), "_built": F.lower(built), "_support": F.lower(support)})
-    texts = texts.withColumns({f"{c}_cut": sentences(F.col(c), profile.aspiration) for c in ("_built", "_support")})
+    texts = texts.withColumns({f"{c}_cut": sentences(F.col(c)) for c in ("_built", "_support")})
     found = lambda c: concepts(F.col(c), profile, cut=F.col(f"{c}_cut"))
     return texts.withColumns({"_concepts": found("_built"), "_supporting": found("_support")}).drop("_built_cut", "_support_cut")
 
