@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, media, mixing, near_duplicates, packing, personal_data, token_counts, token_files, vector_search, warc
+from . import hard_negatives, language_id, language_model, media, mixing, near_duplicates, packing, personal_data, spelling, token_counts, token_files, vector_search, warc
 from .shared import table
 
 BYTE_FILE, WORD_FILE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -59,7 +59,25 @@ def op10_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mixing, op3_exact_top_k, op4_token_files, op5_near_duplicates, op6_personal_data, op7_media_columns, op8_best_fit_packing, op9_language_id, op10_warc)}
+def op11_language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_model.is_held_out()
+    model = language_model.train(docs.where(~held_out))
+    return language_model.score(docs, model).withColumns({"held_out": held_out, "train_tokens": F.lit(model.tokens).cast("long")})
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """One run in 199 loses a letter first, as the query is defined."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=199)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Every seventh id's label is one higher, as the query is defined."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mixing, op3_exact_top_k, op4_token_files, op5_near_duplicates, op6_personal_data, op7_media_columns, op8_best_fit_packing, op9_language_id, op10_warc, op11_language_model, op12_spelling_variants, op13_hard_negatives)}
 
 
 def _positions_sql() -> str:
@@ -114,4 +132,13 @@ WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to FROM d""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.vector, c.vector) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.vector) = len(c.vector) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,13 +113,13 @@ def _typed(vectors: np.ndarray, largest: int) -> np.ndarray:
     return vectors.astype(np.float64 if largest * largest * vectors.shape[1] < 2**53 else np.int64)
 
 
-def clean_vectors(rows: DataFrame, scale: int = 64, id_name: str = "vec_id", vector_name: str = "embedding") -> DataFrame:
-    """vec_id and vector: floor(scale * x) of each component as a double. Rows with a null id or vector, an empty
+def clean_vectors(rows: DataFrame, scale: int = 64, id_name: str = "vec_id", vector_name: str = "embedding", keep: Sequence[Column] = ()) -> DataFrame:
+    """vec_id, what `keep` says and vector: floor(scale * x) of each component as a double. Rows with a null id or vector, an empty
     vector, or a null or non-finite component take no part."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     vector = F.col(vector_name).cast("array<double>")
     usable = F.col(id_name).isNotNull() & F.col(vector_name).isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite)
-    return rows.where(usable).select(F.col(id_name).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x * scale).cast("long")).alias("vector"))
+    return rows.where(usable).select(F.col(id_name).cast("long").alias("vec_id"), *keep, F.transform(vector, lambda x: F.floor(x * scale).cast("long")).alias("vector"))
 
 
 def one_per_id(clean: DataFrame) -> DataFrame:
