@@ -16,7 +16,7 @@ from ..operators.ranking import rank_all, score, tie_break_violations, top_n, wi
 from ..profile import corpus_profile
 from ..sources import readers, sinks
 from ..storage import shared_path, written
-from . import oracles
+from . import oracles, over_time
 from .candidate_view import candidates, table
 from .pipeline import best_of, candidate_audit, display_rows, rank_candidates, scored_pool, semantic_scores, usable_scores
 
@@ -667,8 +667,8 @@ def reports(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **over_time.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **over_time.oracle_sql()}
