@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,31 +30,95 @@ from .shared import filesystem, get_file, nb_partitions, put_file, row_numbers,
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Numbers that no word has: nothing before a text's begin, the begin; words follow.
 NOTHING, BEGIN, FIRST_WORD = 0, 1, 2
-#: Words whose hash a worker remembers, and tokens that it counts or looks up at a time.
-REMEMBERED_WORDS, CHUNK_TOKENS = 200_000, 500_000
+#: Tokens that a worker looks up at a time.
+CHUNK_TOKENS = 500_000
 #: Files that a worker keeps mapped.
 OPEN_FILES = 2048
 #: An n-gram's counts: its own, then as a context: total, followers seen once, twice, more often.
 OWN, TOTAL, ONCE, TWICE, MORE = range(5)
 
 
-class _Words(dict):
-    def __missing__(self, word):
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
+#: A word's hash is the sum of its bytes' values times powers of an odd number: whole buffers at once, no objects. The
+#: values are random numbers; A-Z have those of a-z.
+_POWER = 0x9E3779B97F4A7C17
+_VALUES = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES[65:91] = _VALUES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The end of a text; no word holds white space.
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
-
-
-def tokens(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words, A-Z lower-cased, and of its end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes know ASCII only
-    return np.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), END)
+END = np.uint64(0xE17A1465D4C3A2B1)
+#: Bytes that are hashed at a time, up to the next white space.
+PIECE_BYTES = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_forward = _backward = np.ones(1, np.uint64)
+
+
+def _hash_piece(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a piece; a word ends at white space and at cuts, the starts of texts."""
+    global _forward, _backward
+    if len(data) > len(_forward):
+        _forward, _backward = _powers(_POWER, len(data)), _powers(pow(_POWER, -1, 2**64), len(data))
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[cuts] = inside[cuts]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    terms = _VALUES[data]
+    terms *= _forward[: len(data)]
+    terms[~inside] = 0
+    h = np.add.reduceat(terms, starts) * _backward[starts]
+    return _mix(h), starts
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, A-Z lower-cased, each text followed by END; and each text's number of both. A
+    null text is empty. Texts are read from their UTF-8 buffer, in pieces that end at white space."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    buffer = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
+    # what a null text's slot holds, if anything, is no text of it
+    lengths = np.where(texts.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets)) if texts.null_count else np.diff(offsets)
+    begin = (offsets[:-1] - offsets[0]).astype(np.int64)
+    if (begin + lengths != np.append(begin[1:], len(data))).any():
+        data = np.concatenate([data[a : a + n] for a, n in zip(begin, lengths)])
+        begin = np.cumsum(lengths) - lengths
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + PIECE_BYTES, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            space = np.flatnonzero(_SPACE[data[end : end + PIECE_BYTES]])
+            end = end + int(space[0]) if len(space) else min(end + PIECE_BYTES, len(data))
+        cuts = begin[np.searchsorted(begin, at) : np.searchsorted(begin, end)]
+        h, s = _hash_piece(data[at:end], cuts - at)
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    of = np.searchsorted(begin, np.concatenate(starts), "right") - 1 if starts else np.zeros(0, np.int64)
+    n = np.bincount(of, minlength=len(texts)) + 1 if len(texts) else np.zeros(0, np.int64)
+    out = np.full(len(words) + len(texts), END, np.uint64)
+    out[np.arange(len(words)) + of] = words
+    return out, n
+
+
+def text_groups(texts: pa.Array, size: int = PIECE_BYTES):
+    """(first, number) of runs of texts of about `size` bytes together, one text at least."""
+    sizes = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1)
+        yield at, end - at
+        at = end
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -125,14 +189,13 @@ def _dealt(grams: np.ndarray, counts: np.ndarray, h: np.ndarray, buckets: int):
         yield int(of[a]), pack(grams[:, a:b], counts[:, a:b])
 
 
-def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def stream(numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of texts one after the other, each after a BEGIN, and each one's place in its text."""
-    lengths = np.array([len(t) + 1 for t in texts])
-    starts = np.cumsum(lengths) - lengths
-    words = np.empty(int(lengths.sum()), np.uint32)
-    for a, n, t in zip(starts, lengths, texts):
-        words[a], words[a + 1 : a + n] = BEGIN, t
-    return words, np.arange(len(words)) - np.repeat(starts, lengths)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    words = np.full(len(numbers) + len(lengths), BEGIN, np.uint32)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    words[np.arange(len(numbers)) + of + 1] = numbers
+    return words, np.arange(len(words)) - np.repeat(starts, lengths + 1)
 
 
 def text_grams(words: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
@@ -273,12 +336,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(tokens(text))
-                n_held += len(held[-1])
-                if n_held >= 4 * CHUNK_TOKENS:
-                    yield handed_on()
-                    n_held = 0
+            held.append(tokens(batch.column(0))[0])
+            n_held += len(held[-1])
+            if n_held >= 4 * CHUNK_TOKENS:
+                yield handed_on()
+                n_held = 0
         if held:
             yield handed_on()
 
@@ -316,18 +378,18 @@ def _text_counts(docs: DataFrame, model: Model) -> DataFrame:
         held, n_held = [], 0
 
         def handed_on():
-            lengths = [len(t) for t in held]
-            numbers, _ = model.lookup_words(np.concatenate(held))
-            grams = text_grams(*stream(np.split(numbers, np.cumsum(lengths)[:-1])), order)
+            hashes, lengths = (np.concatenate(x) for x in zip(*held))
+            numbers, _ = model.lookup_words(hashes)
+            grams = text_grams(*stream(numbers, lengths), order)
             h, grams, counts = merged(grams, np.ones((1, grams.shape[1]), np.uint64))
             held.clear()
             dealt = list(_dealt(grams, counts, h, buckets))
             return _rows(order, [b for b, _ in dealt], [g for _, g in dealt])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(tokens(text))
-                n_held += len(held[-1])
+            for first, number in text_groups(batch.column(0)):
+                held.append(tokens(batch.column(0).slice(first, number)))
+                n_held += len(held[-1][0])
                 if n_held >= 2 * CHUNK_TOKENS:
                     yield handed_on()
                     n_held = 0
@@ -386,7 +448,7 @@ def _level(rows: DataFrame, model: Model, k: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").sortWithinPartitions("level", "bucket").mapInArrow(add_up, _ROWS)
 
 
-def train(docs: DataFrame, order: int = 3, bucket: int = 600_000) -> Model:
+def train(docs: DataFrame, order: int = 2, bucket: int = 600_000) -> Model:
     """The model of all texts of docs (null: empty, an end alone). Buckets hold about `bucket` n-grams at most, before
     equal ones are added up; an empty table gives a model that knows nothing."""
     spark = docs.sparkSession
@@ -412,20 +474,19 @@ def train(docs: DataFrame, order: int = 3, bucket: int = 600_000) -> Model:
     return Model(**{**model.__dict__, "discounts": cuts, "total": int(single["s5"]), "left": float(left)})
 
 
-def score_texts(model: Model, texts: list[str | None]) -> list[tuple]:
-    """(tokens, known tokens, base score, score) of each text; long texts go window by window."""
-    hashes = [tokens(t) for t in texts]
-    numbers, n = model.lookup_words(np.concatenate(hashes))
-    lengths = np.array([len(h) for h in hashes])
+def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Tokens, known tokens, base score and score of each text; long texts go window by window."""
+    hashes, lengths = tokens(texts)
+    numbers, n = model.lookup_words(hashes)
     first = np.cumsum(lengths) - lengths
     base = np.log10((n + 1) / (model.tokens + model.words + 1))
-    words, place = stream(np.split(numbers, first[1:]))
+    words, place = stream(numbers, lengths)
     logs = np.empty(len(words))
     for a in range(0, len(words), CHUNK_TOKENS):
         back = max(0, a - model.order + 1)
         logs[a : a + CHUNK_TOKENS] = model.log10(words[back : a + CHUNK_TOKENS], place[back : a + CHUNK_TOKENS])[a - back :]
     total = np.add.reduceat(logs, first + np.arange(len(first)))
-    return list(zip(lengths.tolist(), np.add.reduceat((n > 0).astype(np.int64), first).tolist(), np.add.reduceat(base, first).tolist(), total.tolist()))
+    return lengths, np.add.reduceat((n > 0).astype(np.int64), first), np.add.reduceat(base, first), total
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -433,19 +494,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     perplexity of every whole text (null: empty). Repeated rows and null ids give a row each; other columns are ignored."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double"
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"]
 
     def scored(batches):
         for batch in batches:
-            ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 4 << 20):
-                    size += len(texts[end] or "")
-                    end += 1
-                n, known, base, total = zip(*score_texts(model, texts[at:end]))
-                perplexity = 10 ** (-np.array(total) / np.array(n))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(perplexity)], schema.replace(" long", "").replace(" double", "").split(", "))
-                at = end
+            for first, number in text_groups(batch.column(1), 4 * PIECE_BYTES):
+                n, known, base, total = score_texts(model, batch.column(1).slice(first, number))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, number), *map(pa.array, (n, known, base, total, 10 ** (-total / n)))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, schema)
 

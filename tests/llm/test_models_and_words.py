@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,12 +97,36 @@ def test_language_model(spark, order):
         assert g[5] == pytest.approx(10 ** (-w[4] / w[1]), rel=1e-9)
 
 
+def hash_of(word):
+    return language_model.tokens(pa.array([word.decode()]))[0][0]
+
+
+def test_tokens_in_pieces(monkeypatch):
+    """Words and ends are the same however the buffer is cut; equal words and only they have equal hashes."""
+    rng = np.random.default_rng(0)
+    texts = [None, "", " ", "a", "ab ba AB", "É é\x85É\u00a0x", "long" * 500 + " long", *(" ".join(f"w{rng.integers(0, 99)}" for _ in range(int(rng.integers(0, 60)))) + " " * int(rng.integers(0, 3)) for _ in range(50)), None, "last"]
+    column = pa.array(["cut off", *texts, "cut off too"]).slice(1, len(texts))
+    whole, lengths = language_model.tokens(column)
+    assert lengths.tolist() == [len(words(t)) + 1 for t in texts]
+    of = {}
+    for w, h in zip([x for t in texts for x in [*words(t), b"\n"]], whole.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(language_model, "PIECE_BYTES", size)
+        again, n = language_model.tokens(column)
+        assert (again == whole).all() and (n == lengths).all()
+    assert language_model.tokens(pa.array([], pa.string()))[0].tolist() == []
+    hidden = pa.Array.from_buffers(pa.string(), 3, [pa.py_buffer(b"\x05"), pa.py_buffer(np.array([0, 2, 5, 6], np.int32).tobytes()), pa.py_buffer(b"aab bc")])
+    assert language_model.tokens(hidden)[1].tolist() == [2, 1, 2]
+
+
 def test_probabilities_sum_to_one(spark):
     rows = corpus()
-    model = language_model.train(documents(spark, rows), bucket=100)
+    model = language_model.train(documents(spark, rows), order=3, bucket=100)
     vocabulary = sorted({w for _, t in rows for w in words(t)}) + [b"\n", b"never seen"]
     for history in ([], [b"w1"], [b"w1", b"w2"], [b"never"], [b"w3", b"never"]):
-        numbers, _ = model.lookup_words(np.array([language_model.END if w == b"\n" else language_model._words[w] for w in [*history, *vocabulary]], np.uint64))
+        numbers, _ = model.lookup_words(np.array([language_model.END if w == b"\n" else hash_of(w) for w in [*history, *vocabulary]], np.uint64))
         start = [language_model.BEGIN, *numbers[: len(history)].tolist()]
         streams = np.array([x for n in numbers[len(history) :].tolist() for x in [*start, n]], np.uint32)
         place = np.tile(np.arange(len(start) + 1), len(vocabulary))
@@ -111,11 +136,12 @@ def test_probabilities_sum_to_one(spark):
 
 def test_windows_of_long_texts(spark, monkeypatch):
     rows = corpus()
-    model = language_model.train(documents(spark, rows))
-    whole = language_model.score_texts(model, [t for _, t in rows])
+    model = language_model.train(documents(spark, rows), order=3)
+    texts = pa.array([t for _, t in rows])
+    whole = language_model.score_texts(model, texts)
     monkeypatch.setattr(language_model, "CHUNK_TOKENS", 7)
-    parts = language_model.score_texts(model, [t for _, t in rows])
-    assert [p[:2] for p in parts] == [w[:2] for w in whole] and [p[3] for p in parts] == pytest.approx([w[3] for w in whole])
+    parts = language_model.score_texts(model, texts)
+    assert all(a.tolist() == pytest.approx(b.tolist()) for a, b in zip(parts, whole))
 
 
 def test_language_model_of_nothing(spark):
