@@ -126,12 +126,12 @@ def is_held_out(name: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = 400, sample_rows: int = 12_800) -> DataFrame:
+def training_sample(docs: DataFrame, per_language: int = 400, sample_rows: int = 12_800, languages: int = 256) -> DataFrame:
     """lang, mark, doc_id, length_class and the trigrams (codes, counts) of the sample: rows not held out, with a letter
-    and a language; of each language those of the smallest hash of their id, `per_language` or its share of
-    `sample_rows` at most."""
+    and one of the `languages` most frequent languages (ties by name); of each language those of the smallest hash of their
+    id, `per_language` or its share of `sample_rows` at most."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null and doc_id is not null").where(~is_held_out())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     most = max(1, min(per_language, sample_rows // max(1, len(sizes))))
     # no more than a few times as many rows meet in a language's window
     every = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, max(1, n // (2 * most)))]) if sizes else F.lit(None).cast("map<string,int>")
@@ -155,10 +155,10 @@ def training_sample(docs: DataFrame, per_language: int = 400, sample_rows: int =
     return counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).drop("place")
 
 
-def fit(docs: DataFrame, per_language: int = 400, sample_rows: int = 12_800, centroids: int = 4, rounds: int = 12, margin: float = 0.5) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, sample_rows: int = 12_800, centroids: int = 4, rounds: int = 12, margin: float = 0.5, languages: int = 256) -> Model:
     """The model of the bounded sample; a language's rows meet in one task (`per_language` at most)."""
     small_batches(docs.sparkSession)
-    sample = written(training_sample(docs, per_language, sample_rows), "sample")
+    sample = written(training_sample(docs, per_language, sample_rows, languages), "sample")
     n = sample.count()
     if not n:
         return NOTHING

@@ -2,7 +2,7 @@
 
 A source's target is its weight's share of all words, at most `ceiling` times what it has; what is above
 goes to the others by weight. Whole documents are taken: every document floor(target / words) times, and
-for the rest of the target those that come first by md5 of their id, long ones (over 1/256 of the source)
+for the rest of the target those that come first by md5 of their id (then by id, size and text), long ones (over 1/256 of the source)
 before the others, so that the last pass ends within half a short document of the target.
 
 Each pass is a stretch of the source's demand. Weights change over training time: a source's rate is
@@ -69,18 +69,18 @@ def schedule_sql(share: str, knots) -> str:
 
 
 def _before(rows: DataFrame) -> DataFrame:
-    """Adds `before`: the words of earlier rows of the same source and kind (long or not), in order of mark and
-    doc_id. Rows are dealt by leading digits of their mark, so a hot source is spread over many tasks; as there are at
+    """Adds `before`: the words of earlier rows of the same source and kind (long or not), in order of mark, doc_id, size
+    and text, so that only equal rows change places. Rows are dealt by leading digits of their mark, so a hot source is spread over many tasks; as there are at
     most three digits, its deals are few enough for one."""
     keys = ["source", "long", "deal"]
     dealt = rows.withColumn("deal", F.expr("substring(mark, 1, digits)"))
     upto = Window.partitionBy("source", "long").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy(*keys).agg(F.sum("size").alias("part"))
     offsets = parts.select(*keys, F.coalesce(F.sum("part").over(upto), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*keys).orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys).orderBy("mark", "doc_id", "size", "text_mark").rowsBetween(Window.unboundedPreceding, -1)
     inside = dealt.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return inside.alias("a").join(offsets.alias("b"), same).select("a.*", (F.col("b.offset") + F.col("a.inside")).alias("before")).drop("inside", "deal")
+    return inside.alias("a").join(offsets.alias("b"), same).select("a.*", (F.col("b.offset") + F.col("a.inside")).alias("before")).drop("inside", "deal", "text_mark")
 
 
 def _with(rows: DataFrame, sources: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
@@ -95,11 +95,13 @@ def mix(docs: DataFrame, weights: int = 3, ceiling: int = 3, schedules=SCHEDULES
 
     Null texts have 0 words; a document of no words is taken 0 times. A null source is a source, after
     all others. Repeated rows count each; `key` names a column that tells rows apart (default doc_id).
-    Reruns agree: the order comes from ids alone. An empty table gives no rows."""
+    Reruns agree: the order comes from ids, sizes and texts, never from places; rows equal in all three have the same
+    values up to their keys. An empty table gives no rows."""
     keep = [key] if key != "doc_id" else []
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    narrow = written(docs.select("doc_id", *keep, "source", words.alias("size"), mark.alias("mark")), "sizes")
+    text_mark = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    narrow = written(docs.select("doc_id", *keep, "source", words.alias("size"), mark.alias("mark"), text_mark.alias("text_mark")), "sizes")
     sources = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
     is_long = F.col("size") * 256 > F.col("source_size")
     sized = written(sources, "targets")
@@ -135,7 +137,7 @@ def in_training_order(plan: DataFrame) -> DataFrame:
     """Rows of a mix with the training positions of their first and last pass (to nine places), range-sorted by the
     first; what is never taken has none and comes last."""
     place = lambda i: F.round(F.try_element_at("positions", F.lit(i)), 9)
-    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("last_position")]
     return plan.withColumn("first_position", place(1)).withColumn("last_position", place(-1)).repartitionByRange(*order).sortWithinPartitions(*order)
 
 

@@ -92,7 +92,7 @@ def _positions_sql() -> str:
 
 ORACLE_SQL = {
     "op2_source_mixing": rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark, md5(coalesce(text, '')) AS text_mark FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s),
 w AS (SELECT *, number % 3 + 1 AS weight, source_size * 3 AS cap FROM n),
@@ -104,7 +104,7 @@ r AS (SELECT first(level ORDER BY step) AS level FROM l WHERE level * weight <=
 t AS (SELECT l.source, l.source_size, l.number, least(CAST(l.cap AS DOUBLE), coalesce(r.level, 'inf'::DOUBLE) * l.weight) AS target FROM l LEFT JOIN r ON true),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 e AS (SELECT d.*, q.source_size, q.number, q.target, q.whole, q.target - q.whole * q.source_size AS rest, d.size * 256 > q.source_size AS long FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, long ORDER BY mark, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, long ORDER BY mark, doc_id NULLS FIRST, size, text_mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         coalesce(sum(size) FILTER (WHERE long) OVER (PARTITION BY source), 0) AS long_size FROM e),
 c AS (SELECT *, CAST(before * 2 + size AS DOUBLE) <= 2 * (rest * long_size / source_size) AS long_again FROM b),
 f AS (SELECT *, coalesce(sum(size) FILTER (WHERE long AND long_again) OVER (PARTITION BY source), 0) AS spent FROM c),

@@ -105,14 +105,16 @@ def _roles(rows: DataFrame, marks: DataFrame, least_bytes: int) -> DataFrame:
     return joined.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).drop("revisit", "as")
 
 
-def shard_bounds(marks: DataFrame, shard_rows: int = 256, most_small: int = 256, shard_bytes: int = 256 << 20) -> np.ndarray:
+def shard_bounds(marks: DataFrame, shard_rows: int = 256, most_small: int = 256, shard_bytes: int = 256 << 20, most_shards: int = 1 << 16) -> np.ndarray:
     """Places at which shards after the first begin. Shards: one for each `shard_bytes`, but one for each `shard_rows` up
-    to `most_small`. Bounds are quantiles of places chosen by a hash of the place, some 16 a shard."""
+    to `most_small`, and `most_shards` at most: beyond 16 TB shards grow instead, and their files roll on as before. Bounds
+    are quantiles of places chosen by a hash of the place, some 16 a shard: 2 million places of 21 bytes at most."""
     size = marks.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     shards = max(1, min(most_small, -(-size["n"] // shard_rows)), -(-(size["bytes"] or 0) // shard_bytes))
+    shards = min(shards, most_shards)
     every = max(1, size["n"] // max(65536, 16 * shards))
-    chosen = marks.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").distinct().toPandas()["place"]
-    places = np.sort(chosen.to_numpy(str))
+    chosen = marks.where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("place").distinct().toArrow().column("place")
+    places = np.sort(np.array(chosen.to_pylist(), "S21"))
     return np.unique(places[[len(places) * i // shards for i in range(1, shards)]]) if len(places) else places
 
 
@@ -159,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_
 
     @F.pandas_udf("int")
     def shard_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(begin.value, place.to_numpy(str), side="right"))
+        return pd.Series(np.searchsorted(begin.value, place.to_numpy("S21"), side="right"))
 
     placed = _roles(rows, marks, least_bytes).withColumn("shard", shard_of("place"))
     # a shard is one task's; its neighbours are in the same or the next

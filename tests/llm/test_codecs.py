@@ -256,15 +256,6 @@ def test_gazetteers():
     assert [lists.has_domain(x) for x in ("com", "de", "zzz", "")] == [True, True, False, False]
 
 
-def test_reliabilities_follow_the_better_labeler():
-    patterns = {("email", 0, 1, 1, 1, 0, 0, 1): 90, ("email", 0, -1, -1, -1, 0, 0, 1): 80, ("email", 0, 1, 1, -1, 0, 0, -1): 5}
-    posterior, rates, _ = personal_data.estimate_reliabilities(patterns)
-    assert posterior[("email", 0, 1, 1, 1, 0, 0, 1)] > 0.9 > 0.1 > posterior[("email", 0, -1, -1, -1, 0, 0, 1)]
-    weights = personal_data.train_classifier(patterns, posterior)
-    assert personal_data.accepted(weights, ("email", 0, 1, 1, 1, 0, 0, 1), 0.5)
-    assert personal_data.redact_text("mail a@b.c now", [("email", 5, 10)]) == "mail [EMAIL] now"
-
-
 def test_language_model():
     rows = [("the cat and the dog " * 3, "en"), ("der hund und die katze " * 3, "de")] * 5
     model = language_id.train(rows)

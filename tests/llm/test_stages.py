@@ -70,15 +70,13 @@ def test_near_duplicates(spark, docs):
 def test_personal_data_is_replaced(spark, docs):
     rows = docs.collect()
     found = [personal_data._candidates(r.text, personal_data.GAZETTEERS) for r in rows]
-    patterns = Counter(personal_data._key(s["pattern"]) for spans in found for s in spans)
-    posterior, _, _ = personal_data.estimate_reliabilities(patterns)
-    weights = personal_data.train_classifier(patterns, posterior)
+    weights = personal_data.fit(personal_data.find_candidates(docs))
     want = []
     for r, spans in zip(rows, found):
         text = r.text
         if text:
             marks = [None] * len(text)
-            for s in sorted((s for s in spans if s["base"] or personal_data.accepted(weights, personal_data._key(s["pattern"]))), key=lambda s: (s["start"], personal_data.KINDS.index(s["kind"]))):
+            for s in sorted((s for s in spans if s["base"] or personal_data.accepted(weights, s["features"])), key=lambda s: (s["start"], personal_data.KINDS.index(s["kind"]))):
                 run = next((marks[i] for i in range(s["start"], s["end"]) if marks[i]), None) or (s["start"], s["kind"])
                 for i in range(s["start"], s["end"]):
                     marks[i] = marks[i] or run
