@@ -56,6 +56,10 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files whose numbers are broadcast, some 20 MB; those of more are a table that rows are joined to.
+BROADCAST_FILES = 100_000
+
+
 def row_keys(rows: DataFrame, name: str) -> DataFrame:
     """Adds `name`: a whole number of each row that is the same wherever and however often the row is read. Rows that come
     straight from files are known by file and place; any others are numbered and written first."""
@@ -69,10 +73,14 @@ def row_keys(rows: DataFrame, name: str) -> DataFrame:
         except AnalysisException:
             placed = None
         if placed is not None:
-            paths = sorted(r[file] for r in placed.select(file).distinct().collect())  # a line a file
-            files = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], f"`{file}` string, `{number}` long")
+            paths = placed.select(file).distinct()
+            few = sorted(r[file] for r in paths.limit(BROADCAST_FILES + 1).collect())
+            if len(few) <= BROADCAST_FILES:
+                files = F.broadcast(rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(few)], f"`{file}` string, `{number}` long"))
+            else:
+                files = written(row_numbers(paths, [F.col(file)], number), "files")
             key = F.shiftleft(F.col(number), 40).bitwiseOR(F.col(place))
-            return placed.join(F.broadcast(files), file).select(*[F.col(f"`{c}`") for c in rows.columns], key.alias(name))
+            return placed.join(files, file).select(*[F.col(f"`{c}`") for c in rows.columns], key.alias(name))
     return written(rows.withColumn(name, F.monotonically_increasing_id()), "rows", "zstd")
 
 

@@ -179,3 +179,15 @@ def test_with_fit_gates(spark, tmp_path):
     rows = load(spark, tmp_path, [person(1, "computer vision", "Computer Vision Engineer"), person(2, "nlp", "Chef")]).withColumn("semantic", F.lit(None).cast("double"))
     t = {r.candidate_id: r.fit_trace for r in with_fit(rows, JOB).collect()}
     assert (t["CAND_0000001"].domain_gate, t["CAND_0000001"].domain_title_gate) == (0.2, 0.2) and (t["CAND_0000002"].domain_gate, t["CAND_0000002"].title_gate) == (1.0, 0.2)
+
+
+def test_row_keys_of_many_files_are_joined_from_a_table(spark, tmp_path, monkeypatch):
+    from fitrank import storage
+
+    path = str(tmp_path / "rows")
+    spark.range(100, numPartitions=7).selectExpr("id % 3 as a").write.parquet(path)
+    rows = spark.read.parquet(path)
+    few = storage.row_keys(rows, "key").collect()
+    monkeypatch.setattr(storage, "BROADCAST_FILES", 2)
+    many = storage.row_keys(rows, "key").collect()
+    assert sorted(few) == sorted(many) and len({r.key for r in many}) == 100
