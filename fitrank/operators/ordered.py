@@ -8,14 +8,14 @@ width of rows), and the number of partitions is the session's, not the input's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import written
+from ..storage import free_name, in_order, row_numbers, written
 
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -162,3 +162,67 @@ def with_sessions(rows: DataFrame, by: Sequence[str], time: str, gap: float, tie
     numbered = counted.join(F.broadcast(offsets), F.col("part") == F.col("of"))
     known = numbered.select(*_unpacked("own", rows.columns), (F.col("upto") + F.col("offset")).alias(name))
     return known.union(placed.where("at is null").select(*_unpacked("own", rows.columns), F.lit(None).cast("long").alias(name)))
+
+
+def windowed(rows: DataFrame, by: Sequence[str], order: Sequence[Column], columns: dict[str, Callable[[WindowSpec], Column]], before: int = 0, after: int = 0) -> DataFrame:
+    """Adds window columns over rows of a key in an order: each is made by a function of the window, whose offsets or rows
+    frames reach at most `before` rows back and `after` rows ahead (lag, lead, moving sums). A null key is a key; ties in
+    the order come in any order. A partition gets the few rows beside it, wherever they are, so a hot key is spread."""
+    part, place, halo = (free_name(rows, n) for n in ("part", "place", "halo"))
+    whole, parts = in_order(rows, [*[F.col(f"`{k}`") for k in by], *order], part, place)
+    ends = F.broadcast(parts.select(F.col("part").alias("of"), F.col("start").alias("of_start"), F.col("rows").alias("of_rows")))
+    here = F.col(place) - F.col("of_start")
+    tails = whole.join(ends, F.col(part) == F.col("of")).where((here < after) | (here >= F.col("of_rows") - before)).select(F.col(place).alias("at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns], F.col(place).alias(place)).alias("row"), F.lit(None).cast("int").alias("to"))
+    marks = lambda at: parts.select(at.alias("at"), F.lit(None).cast(tails.schema["row"].dataType).alias("row"), F.col("part").alias("to"))
+    out = whole.withColumn(halo, F.lit(False))
+    names = [*rows.columns, place]
+    for reach, at, span in ((before, F.col("start"), (-before, -1)), (after, F.col("start") + F.col("rows") - 1, (1, after))):
+        if reach:
+            # a few rows a partition meet in one task
+            near = F.collect_list("row").over(Window.orderBy("at").rangeBetween(*span))
+            given = tails.union(marks(at)).withColumn("near", near).where("to is not null").select("to", F.explode("near").alias("row"))
+            out = out.unionByName(given.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("to").alias(part), F.lit(True).alias(halo)))
+    window = Window.partitionBy(part, *[F.col(f"`{k}`") for k in by]).orderBy(place)
+    return out.select("*", *[make(window).alias(name) for name, make in columns.items()]).where(~F.col(halo)).drop(part, place, halo)
+
+
+def range_windowed(rows: DataFrame, by: Sequence[str], at: str, columns: dict[str, Callable[[WindowSpec], Column]], before: float = 0, after: float = 0) -> DataFrame:
+    """Adds window columns over the rows of a key whose time (or number) `at` lies within `before` ticks before a row's and
+    `after` after it, its peers included. Rows without `at` get nulls. A partition gets the rows of its first and last key
+    that other partitions have within the frame; where a frame holds a large part of a key, so does what is given."""
+    part, tick, halo = (free_name(rows, n) for n in ("part", "tick", "halo"))
+    timed = rows.withColumn(tick, ticks(rows, at))
+    key = [F.col(f"`{k}`") for k in by]
+    whole = in_ranges(timed.where(F.col(tick).isNotNull()), [*key, F.col(tick), F.monotonically_increasing_id()], part)
+    own = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)], F.col(tick).alias("at"))
+    bounds = whole.groupBy(F.col(part).alias("p")).agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    beside = Window.orderBy("p")
+    bounds = bounds.withColumn("next", F.lead("first").over(beside)).withColumn("previous", F.lag("last").over(beside))  # a row a partition
+    same = lambda name: _same(key, [F.col(f"{name}.k{i}") for i in range(len(by))])
+    near = whole.join(F.broadcast(bounds.select(F.col("p").alias("of"), "next", "previous")), F.col(part) == F.col("of"))
+    out = whole.withColumn(halo, F.lit(False))
+    names = [*rows.columns, tick]
+    t = F.col(tick)
+    for reach, beside_it, within, further in ((before, "next", lambda end: t >= F.col(f"{end}.at") - before, F.col("p") > F.col(part)), (after, "previous", lambda end: t <= F.col(f"{end}.at") + after, F.col("p") < F.col(part))):
+        # peers of a bound are given even if the frame reaches nowhere
+        end = "first" if beside_it == "next" else "last"
+        tail = near.where(same(beside_it) & within(beside_it)).drop("of", "next", "previous")
+        given = tail.join(F.broadcast(bounds.select("p", end)), further & same(end) & within(end))
+        out = out.unionByName(given.select(*[F.col(f"`{c}`") for c in names], F.col("p").alias(part), F.lit(True).alias(halo)))
+    window = Window.partitionBy(part, *key).orderBy(tick).rangeBetween(-before, after)
+    known = out.select("*", *[make(window).alias(name) for name, make in columns.items()]).where(~F.col(halo)).drop(part, tick, halo)
+    rest = timed.where(F.col(tick).isNull()).drop(tick)
+    return known.unionByName(rest, allowMissingColumns=True)
+
+
+def tiled(rows: DataFrame, by: Sequence[str], order: Sequence[Column], tiles: int, name: str = "tile") -> DataFrame:
+    """Adds `name`: the rows of a key in an order, in `tiles` runs from 1 that differ by one row at most, longer ones first
+    (ntile). A null key is a key."""
+    place, first, size = (free_name(rows, n) for n in ("place", "first_place", "key_rows"))
+    placed = row_numbers(rows, [*[F.col(f"`{k}`") for k in by], *order], place)
+    groups = placed.groupBy(*[F.col(f"`{k}`").alias(f"of{i}") for i, k in enumerate(by)]).agg(F.min(place).alias(first), F.count("*").alias(size))
+    both = placed.join(groups, _same([F.col(f"`{k}`") for k in by], [F.col(f"of{i}") for i in range(len(by))]))
+    i, short = F.col(place) - F.col(first), F.floor(F.col(size) / tiles)
+    long_rows = (F.col(size) % tiles) * (short + 1)
+    tile = F.when(i < long_rows, F.floor(i / (short + 1))).otherwise(F.floor((i - long_rows) / F.greatest(short, F.lit(1))) + F.col(size) % tiles) + 1
+    return both.withColumn(name, tile.cast("int")).select(*[F.col(f"`{c}`") for c in rows.columns], name)

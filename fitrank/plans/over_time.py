@@ -99,6 +99,30 @@ def user_sessions(spark, sf_dir):
     return rows.groupBy("user_id", "session").agg(F.min("ts").alias("begun"), F.max("ts").alias("ended"), F.count("*").alias("events"), F.round(F.sum("value"), 6).alias("value")).drop("session")
 
 
+# --- framed windows ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, lag(value, 2) OVER w AS two_before, lead(event_type) OVER w AS next_type, round(avg(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 6) AS mean
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def neighbours(spark, sf_dir):
+    """Each event with values of its user's events around it."""
+    columns = {"two_before": lambda w: F.lag("value", 2).over(w), "next_type": lambda w: F.lead("event_type").over(w), "mean": lambda w: F.round(F.avg("value").over(w.rowsBetween(-3, 1)), 6)}
+    rows = ordered.windowed(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], columns, before=3, after=1)
+    return rows.select("event_id", *columns)
+
+
+@query("""SELECT event_id, count(*) OVER w AS in_a_day, max(value) OVER w AS highest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 HOUR FOLLOWING)""")
+def rolling_day(spark, sf_dir):
+    """Each event with its user's events of the day before it and the hour after it."""
+    columns = {"in_a_day": lambda w: F.count("*").over(w), "highest": lambda w: F.max("value").over(w)}
+    return ordered.range_windowed(table(spark, sf_dir, "events"), ["user_id"], "ts", columns, before=DAY, after=HOUR).select("event_id", *columns)
+
+
+@query("SELECT o_orderkey, CAST(ntile(7) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS tile FROM orders")
+def price_tiles(spark, sf_dir):
+    return ordered.tiled(table(spark, sf_dir, "orders"), ["o_orderpriority"], [F.col("o_totalprice"), F.col("o_orderkey")], 7).select("o_orderkey", "tile")
+
+
 # --- arriving data -----------------------------------------------------------------------------------------------
 
 #: Events arrive in four loads by time; one in fifty only with the last.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,15 +85,30 @@ def row_keys(rows: DataFrame, name: str) -> DataFrame:
     return written(rows.withColumn(name, F.monotonically_increasing_id()), "rows", "zstd")
 
 
+#: Bits of a row's place within its partition, as monotonically_increasing_id() counts.
+_PLACE = (1 << 33) - 1
+
+
+def in_order(rows: DataFrame, order: Sequence[Column], part: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """rows range-partitioned and sorted, with the number of their partition and their place from 0 in the order of all
+    rows; and the partitions that have rows: part, rows, start (the place of the first). What is written carries the place
+    within the partition, so nothing is shuffled again. Ties come in any order."""
+    local = free_name(rows, "local")
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)))
+    ranged = written(sorted_rows, "ranged")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+    start, of = free_name(ranged, "start"), free_name(ranged, "of")
+    starts = F.broadcast(parts.select(F.col("part").alias(of), F.col("start").alias(start)))  # a row a partition
+    placed = ranged.join(starts, F.col(part) == F.col(of)).withColumn(place, F.col(start) + F.col(local))
+    return placed.drop(start, of, local), parts
+
+
 def row_numbers(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the place from 0 in an order of all rows, by range partitions and the counts before them; ties in any
     order. Nothing but one count a partition meets in one task."""
-    part, before = free_name(rows, "part"), free_name(rows, "before")
-    ranged = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
-    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(part).agg(F.count("*").alias(before)).select(part, F.coalesce(F.sum(before).over(upto), F.lit(0)).alias(before))
-    local = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return ranged.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + local - 1).drop(part, before)
+    part = free_name(rows, "part")
+    return in_order(rows, order, part, name)[0].drop(part)
 
 
 def free_name(df: DataFrame, name: str) -> str:

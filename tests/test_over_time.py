@@ -168,3 +168,64 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark):
 def test_queries_on_the_smallest_tables(spark):
     for name in ("events_last_order", "order_before", "overlapping_orders", "purchases_in_errors", "user_sessions"):
         assert over_time.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+@pytest.fixture(params=["1", "5", "60"])
+def ranges(spark, request):
+    """That many range partitions, whatever the size."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield int(request.param)
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+def test_framed_windows_agree_with_plain_ones(spark, ranges):
+    from pyspark.sql import Window
+
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 0, 0, 0, 1, 2, None]), i, rng.choice([None, 1.0, 2.5, 7.0]), rng.randrange(60)) for i in range(150)] + [(9, 900, 1.0, 3)]
+    df = spark.createDataFrame(rows, "k long, id long, PART double, t long")
+    plain = Window.partitionBy("k").orderBy(F.desc("t"), "id")
+    columns = {"a": lambda w: F.lag("PART", 5).over(w), "b": lambda w: F.lead("id", 4).over(w), "c": lambda w: F.sum("PART").over(w.rowsBetween(-3, 2)), "d": lambda w: F.count("*").over(w.rowsBetween(1, 4))}
+    want = sorted(map(tuple, df.select("*", *[f(plain).alias(n) for n, f in columns.items()]).collect()), key=str)
+    got = ordered.windowed(df, ["k"], [F.desc("t"), F.col("id")], columns, before=5, after=4)
+    assert got.columns == [*df.columns, *columns] and sorted(map(tuple, got.collect()), key=str) == want
+    assert ordered.windowed(df.where("false"), ["k"], [F.col("id")], columns, 5, 4).count() == 0
+    # without a key all rows are in one order
+    got = ordered.windowed(df, [], [F.col("id")], {"x": lambda w: F.lag("id").over(w)}, before=1)
+    assert sorted(map(tuple, got.select("id", "x").collect()))[:2] == [(0, None), (1, 0)]
+
+
+@pytest.mark.parametrize(("before", "after"), [(0, 0), (5, 0), (0, 3), (20, 40)])
+def test_range_windows_agree_with_plain_ones(spark, ranges, before, after):
+    from pyspark.sql import Window
+
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 0, 0, 0, 1, None]), i, rng.randrange(9), rng.choice([30, 30, *range(60)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, id long, v long, t long")
+    columns = {"n": lambda w: F.count("*").over(w), "s": lambda w: F.sum("v").over(w)}
+    plain = Window.partitionBy("k").orderBy("t").rangeBetween(-before, after)
+    want = sorted(map(tuple, df.select("*", *[f(plain).alias(n) for n, f in columns.items()]).collect()), key=str)
+    with_null = df.union(spark.createDataFrame([(0, 999, 1, None)], df.schema))
+    got = sorted(map(tuple, ordered.range_windowed(with_null, ["k"], "t", columns, before, after).collect()), key=str)
+    assert got == sorted([*want, (0, 999, 1, None, None, None)], key=str)
+
+
+def test_tiles_agree_with_ntile(spark, ranges):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(k, i) for k, n in ((0, 1), (1, 6), (2, 7), (3, 50), (None, 9)) for i in range(n)], "k long, id long")
+    want = df.withColumn("tile", F.ntile(7).over(Window.partitionBy("k").orderBy("id")))
+    assert sorted(map(tuple, ordered.tiled(df, ["k"], [F.col("id")], 7).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_places_in_an_order(spark, ranges):
+    from fitrank.storage import in_order, row_numbers
+
+    df = spark.createDataFrame([(i * 37 % 101, "x") for i in range(101)], "id long, local string")
+    got = row_numbers(df, [F.desc("id")], "n").collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, 100 - i) for i in range(101)]
+    _, parts = in_order(df, [F.col("id")], "p", "n")
+    assert parts.agg(F.sum("rows")).first()[0] == 101
