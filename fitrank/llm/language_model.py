@@ -179,6 +179,24 @@ def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[first], grams[:, order[first]], sums
 
 
+class Sums:
+    """Adds up packed n-grams of one bucket; equal ones are merged whenever many have come."""
+
+    def __init__(self, order: int, columns: int):
+        self.columns, self.new, self.parts = columns, 0, [(np.zeros((order, 0), np.uint32), np.zeros((columns, 0), np.uint64))]
+
+    def add(self, data: bytes) -> None:
+        grams, counts = unpack(data)
+        self.parts.append((grams, np.vstack([counts, np.zeros((self.columns - len(counts), counts.shape[1]), np.uint64)])))
+        self.new += grams.shape[1]
+        if self.new >= CHUNK_TOKENS:
+            _, grams, counts = self.merged()
+            self.parts, self.new = [(grams, counts)], 0
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return merged(np.hstack([g for g, _ in self.parts]), np.hstack([c for _, c in self.parts]))
+
+
 def _dealt(grams: np.ndarray, counts: np.ndarray, h: np.ndarray, buckets: int):
     """(bucket, packed n-grams) of each bucket that has any."""
     of = bucket_of(h, buckets)
@@ -405,10 +423,8 @@ def _level(rows: DataFrame, model: Model, k: int) -> DataFrame:
     folder, buckets, lower = model.folder, model.buckets[k - 1], model.buckets[k - 2] if k > 1 else 0
     columns = 1 if k == model.order else 5
 
-    def one(bucket: int, packed: list[bytes]):
-        parts = [unpack(p) for p in packed]
-        counts = [np.vstack([c, np.zeros((columns - len(c), c.shape[1]), np.uint64)]) for _, c in parts]
-        h, grams, counts = merged(np.hstack([g for g, _ in parts]), np.hstack(counts))
+    def one(bucket: int, held: Sums):
+        h, grams, counts = held.merged()
         begun = grams[0] == NOTHING
         stored = ~begun
         put_file(folder, f"order{k}-{bucket:08d}", file_bytes(h[stored], counts[:, stored]))
@@ -430,25 +446,25 @@ def _level(rows: DataFrame, model: Model, k: int) -> DataFrame:
             yield _rows(k - 1, [b for b, _ in dealt], [g for _, g in dealt])
 
     def add_up(batches):
-        at, packed = None, []
+        at, held = None, Sums(k, columns)
         for batch in batches:
             done = batch.filter(pa.compute.not_equal(batch.column(0), k))
             if done.num_rows:
                 yield done
             batch = batch.filter(pa.compute.equal(batch.column(0), k))
             for bucket, grams in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if bucket != at and packed:
-                    yield from one(at, packed)
-                    packed = []
+                if bucket != at and at is not None:
+                    yield from one(at, held)
+                    held = Sums(k, columns)
                 at = bucket
-                packed.append(grams)
-        if packed:
-            yield from one(at, packed)
+                held.add(grams)
+        if at is not None:
+            yield from one(at, held)
 
     return rows.repartition(buckets, "bucket").sortWithinPartitions("level", "bucket").mapInArrow(add_up, _ROWS)
 
 
-def train(docs: DataFrame, order: int = 2, bucket: int = 600_000) -> Model:
+def train(docs: DataFrame, order: int = 2, bucket: int = 300_000) -> Model:
     """The model of all texts of docs (null: empty, an end alone). Buckets hold about `bucket` n-grams at most, before
     equal ones are added up; an empty table gives a model that knows nothing."""
     spark = docs.sparkSession
