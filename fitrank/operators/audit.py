@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import concepts, has_any
 from ..functions.scalar import evidence_texts, iso_date, mean, month_diff, roles
-from ..storage import free_name, row_numbers
+from ..storage import free_name, row_numbers, written
 from .consistency import skills
 from .fit import lower, seniority_band, stability_band
 
@@ -122,21 +122,58 @@ def exclusion_reason() -> Column:
     return F.when(~F.col("reachable"), "unreachable").when(F.col("disqualified"), "disqualified").when(~F.col("in_band"), "out-of-band(yoe)").when(~F.col("location_ok"), "out-of-location").otherwise("CLEAN-MISS")
 
 
-#: Included rows that a head-to-head is broadcast for.
-MOST_INCLUDED = 10_000
+#: Rows of a block of included rows, and bins of each axis that excluded rows are grouped by.
+BLOCK_ROWS, AXIS_BINS = 512, 4
+#: Axes on which an excluded row x has to reach an included row y.
+AXES = ("rr", "active_days", "notice", "seniority", "stability", "otw", "in_target")
+BINNED = ("rr", "active_days", "seniority", "stability")
+
+
+def _axes(rows: DataFrame, slack: int, included: bool) -> DataFrame:
+    """candidate_id and the axes as doubles of which more is better; what an included row asks for, or what an excluded one
+    has. Rows that cannot be in a pair are left out."""
+    spare = slack if included else 0
+    held = lambda c, unknown: F.coalesce(F.col(c), F.lit(unknown)).cast("double")
+    # an unknown flag of an included row is asked for, one of an excluded row is not there
+    flag = lambda c: F.coalesce(F.col(c), F.lit(included)).cast("double")
+    axes = {"rr": held("rr", 0), "active_days": -(held("active_days", 999) + spare), "notice": -(held("notice", 999) + spare), "seniority": F.col("seniority").cast("double"), "stability": F.col("stability").cast("double"), "otw": flag("otw"), "in_target": flag("in_target")}
+    known = F.col("seniority").isNotNull() & F.col("stability").isNotNull()
+    usable = known if included else known & F.coalesce(F.col("location_ok"), F.lit(False))
+    return rows.where(usable).select("candidate_id", *[axes[c].alias(c) for c in AXES])
+
+
+def _binned(rows: DataFrame, cuts: dict[str, list[float]]) -> Column:
+    """The cell of a row: its bins on the binned axes and its flags."""
+    cell = F.col("otw") * 2 + F.col("in_target")
+    for c in BINNED:
+        cell = cell * (AXIS_BINS + 1) + sum([(F.col(c) > cut).cast("int") for cut in cuts[c]], F.lit(0))
+    return cell.cast("int")
 
 
 def dominance(included: DataFrame, excluded: DataFrame, slack: int = 15) -> DataFrame:
-    """Pairs (excluded x, included y) where x is at least as good on every axis. The included side is bounded by the
-    ranking's length and is broadcast once its size is checked; more than MOST_INCLUDED are refused."""
-    if included.count() > MOST_INCLUDED:
-        raise ValueError(f"dominance is asked of at most {MOST_INCLUDED} included rows")
-    y, x = included.alias("y"), excluded.alias("x")
-    ge = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0)) >= F.coalesce(F.col(f"y.{c}"), F.lit(0))
-    le = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(999)) <= F.coalesce(F.col(f"y.{c}"), F.lit(999)) + slack
-    implied = lambda c: F.col(f"x.{c}") | ~F.col(f"y.{c}")
-    holds = ge("rr") & le("active_days") & implied("otw") & le("notice") & F.col("x.location_ok") & implied("in_target") & ge("seniority") & ge("stability")
-    return x.join(F.broadcast(y), holds).select(F.col("x.candidate_id").alias("excluded"), F.col("y.candidate_id").alias("included"))
+    """Pairs (excluded x, included y) where x is at least as good on every axis: rr, active days and notice (both with
+    `slack`), flags, seniority, stability, and x's location. Unknown seniority or stability is in no pair.
+
+    Both sides are grouped into cells by quantiles of four axes and by flags; included cells are cut into blocks of some
+    BLOCK_ROWS rows. A cell's best and a block's least on all axes say whether any of its rows can reach any of the block's;
+    excluded rows are sent to the blocks that they may reach, and compared there. Cells are at most a few thousand,
+    whatever the size; the number of included rows is not bounded."""
+    y = written(_axes(included, slack, True), "included")
+    x = written(_axes(excluded, slack, False), "excluded")
+    quantiles = dict(zip(BINNED, x.stat.approxQuantile(list(BINNED), [i / AXIS_BINS for i in range(1, AXIS_BINS)], 0.02)))
+    cuts = {c: sorted(set(q)) for c, q in quantiles.items()}
+    sizes = y.groupBy(_binned(y, cuts).alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("wide"))
+    placed = y.withColumn("cell", _binned(y, cuts)).join(F.broadcast(sizes), F.col("cell") == F.col("of"))
+    block = F.struct("cell", F.pmod(F.xxhash64("candidate_id"), F.col("wide")).cast("int").alias("slice"))
+    blocks = placed.groupBy(block.alias("block")).agg(F.collect_list(F.struct("candidate_id", *AXES)).alias("ys"), *[F.min(c).alias(f"least_{c}") for c in AXES])
+    blocks = written(blocks, "blocks")
+    cells = x.withColumn("cell", _binned(x, cuts)).groupBy("cell").agg(*[F.max(c).alias(f"most_{c}") for c in AXES])
+    reach = reduce(lambda a, b: a & b, [F.col(f"most_{c}") >= F.col(f"least_{c}") for c in AXES])
+    # a row a cell on one side, one a block on the other; neither has rows of its own with it
+    meet = blocks.drop("ys").join(F.broadcast(cells), reach).select(F.col("cell").alias("x_cell"), "block")
+    sent = x.withColumn("x_cell", _binned(x, cuts)).join(meet, "x_cell").join(blocks.select("block", "ys"), "block")
+    holds = lambda r: reduce(lambda a, b: a & b, [F.col(c) >= r[c] for c in AXES])
+    return sent.select(F.col("candidate_id").alias("excluded"), F.explode(F.transform(F.filter("ys", holds), lambda r: r["candidate_id"])).alias("included"))
 
 
 def counts_at(ranked: DataFrame, by: str, cuts=(10, 50, 100)) -> DataFrame:
@@ -162,16 +199,21 @@ def upper_median(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: list[Column], b: list[Column], group: str) -> DataFrame:
-    """1 - 6 sum d^2 / (m (m^2 - 1)) by group, ties in the order given; null below two rows. The orders are of columns."""
+    """1 - 6 sum d^2 / (m (m^2 - 1)) by group, ties in the order given; null below two rows. The orders are of columns.
+    Rows are sorted as they are: give no more columns than orders and group need."""
     first = _placed(rows, group, a, "first_place")
     both = _placed(first, group, b, "second_place")
     g = both.select(F.col(group), (F.col("first_place") - F.col("second_place")).cast("double").alias("d")).groupBy(group).agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("*").cast("double").alias("m"))
     return g.select(group, F.when(F.col("m") > 1, 1 - 6 * F.col("s") / (F.col("m") * (F.col("m") * F.col("m") - 1))).alias("rho"))
 
 
+def stretch() -> Column:
+    """The stretch of ranks that a row is in, null beyond the hundredth."""
+    return F.when(F.col("rank") <= 10, "1-10").when(F.col("rank") <= 50, "11-50").when(F.col("rank") <= 100, "51-100")
+
+
 def bucket_means(rows: DataFrame, value: str) -> DataFrame:
-    bucket = F.when(F.col("rank") <= 10, "1-10").when(F.col("rank") <= 50, "11-50").when(F.col("rank") <= 100, "51-100")
-    return rows.where("rank <= 100").groupBy(bucket.alias("bucket")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    return rows.where("rank <= 100").groupBy(stretch().alias("bucket")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
 def jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

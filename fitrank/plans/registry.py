@@ -16,7 +16,7 @@ from ..operators.ranking import rank_all, score, tie_break_violations, top_n, wi
 from ..profile import corpus_profile
 from ..sources import readers, sinks
 from ..storage import shared_path, written
-from . import oracles, over_time
+from . import oracles, over_sets, over_time
 from .candidate_view import candidates, table
 from .pipeline import best_of, candidate_audit, display_rows, rank_candidates, scored_pool, semantic_scores, usable_scores
 
@@ -353,7 +353,7 @@ def bucket_means(spark, sf_dir):
 @query("""WITH r AS (SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS DOUBLE) AS d FROM part)
 SELECT p_brand, round(CASE WHEN count(*) > 1 THEN 1 - 6 * sum(d * d) / (count(*) * (count(*)::DOUBLE * count(*) - 1)) END, 9) AS rho FROM r GROUP BY p_brand""")
 def spearman(spark, sf_dir):
-    rows = audit.spearman(table(spark, sf_dir, "part"), [F.col("p_retailprice"), F.col("p_partkey")], [F.col("p_size"), F.col("p_partkey")], "p_brand")
+    rows = audit.spearman(table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_size", "p_partkey"), [F.col("p_retailprice"), F.col("p_partkey")], [F.col("p_size"), F.col("p_partkey")], "p_brand")
     return rows.select("p_brand", F.round("rho", 9).alias("rho"))
 
 
@@ -667,8 +667,8 @@ def reports(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {**QUERIES, **over_time.queries()}
+    return {**QUERIES, **over_time.queries(), **over_sets.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**SQL, **over_time.oracle_sql()}
+    return {**SQL, **over_time.oracle_sql(), **over_sets.oracle_sql()}

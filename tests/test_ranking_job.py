@@ -230,9 +230,6 @@ def test_unbounded_tables_are_refused(spark, monkeypatch):
     monkeypatch.setattr(experiments, "MOST_LABELLED", 3)
     with pytest.raises(ValueError):
         experiments.labelled_rows(spark.range(5), "id")
-    monkeypatch.setattr(audit, "MOST_INCLUDED", 2)
-    with pytest.raises(ValueError):
-        audit.dominance(spark.range(5), spark.range(5))
     monkeypatch.setattr(verification, "MOST_RANKED", 2)
     with pytest.raises(ValueError):
         verification.members(spark.range(5).withColumnRenamed("id", "candidate_id"), spark.range(5).selectExpr("id candidate_id", "id rank"))
