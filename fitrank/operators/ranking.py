@@ -55,12 +55,17 @@ def exact_round6(x: Column | str) -> Column:
 
 #: Rows beyond n that a ranking keeps until scores are rounded exactly.
 SLACK = 1024
+#: The longest ranking whose rows pass the driver; rank_all has no such bound.
+MOST_BEST = 100_000
 
 
 def contenders(scored: DataFrame, n: int, id_column: str = "candidate_id") -> tuple[float, DataFrame | None]:
     """(the score under which no row is among the n best, their ids or None if they are too many to be a small set).
 
-    Only ids and scores are sorted: n + SLACK rows by Spark's own rounding, which is at most a millionth off."""
+    Only ids and scores are sorted: n + SLACK rows by Spark's own rounding, which is at most a millionth off. More than
+    MOST_BEST are refused."""
+    if n > MOST_BEST:
+        raise ValueError(f"the best {MOST_BEST} at most; use rank_all")
     near = scored.select(F.col(id_column), F.col("score")).orderBy(F.round("score", 6).desc(), id_column).limit(n + SLACK)
     found = near.collect()
     if len(found) <= n or not n:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -242,6 +244,12 @@ def rank_hundred(spark, sf_dir):
     return rank_candidates(candidates(spark, sf_dir), PROFILE, 100, _vectors(spark, sf_dir), _probes(spark, sf_dir)).select("candidate_id", "rank", "score")
 
 
+@query(f"{WITH_SEMANTIC}{RANKED} both_scores ORDER BY rank LIMIT 25")
+def rank_headline(spark, sf_dir):
+    """The flagship's rows without their wording."""
+    return flagship(spark, sf_dir).drop("reasoning")
+
+
 @query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY round(c_acctbal, 0) DESC, c_custkey) AS BIGINT) AS rank, round(c_acctbal, 0) AS score FROM customer")
 def rank_customers(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal", 0).alias("score"))
@@ -285,6 +293,27 @@ def display(spark, sf_dir):
     return display_rows(explained(best_of(scored_pool(pool, PROFILE), pool, 100)))
 
 
+@query(f"""{oracles.scores(PROFILE)}, r AS ({RANKED} scored ORDER BY rank LIMIT 100)
+SELECT rank, candidate_id, title, printf('%.1f yrs', yoe) AS experience, printf('%.6f', score) AS score FROM r JOIN view USING (candidate_id)""")
+def leaderboard(spark, sf_dir):
+    """What a leaderboard shows, without wording."""
+    pool = candidates(spark, sf_dir)
+    return display_rows(best_of(scored_pool(pool, PROFILE), pool, 100).withColumn("reasoning", F.lit(None).cast("string"))).drop("reasoning")
+
+
+@query(f"""{oracles.scores(PROFILE)}, r AS ({RANKED} scored ORDER BY rank LIMIT 3)
+SELECT candidate_id, rank, title AS current_title, place AS location, round(yoe, 6) AS years, n_roles AS roles, {', '.join(f'round({n}, 6) AS {n}' for n in ("availability", "responsiveness", "recency", "credibility"))}, round(multiplier, 6) AS mult, score
+FROM r JOIN view USING (candidate_id) JOIN engaged_parts USING (candidate_id) JOIN (SELECT candidate_id, multiplier FROM engaged) USING (candidate_id)""")
+def audited_rows(spark, sf_dir):
+    """The first three ranked rows, each looked up by its id: profile, roles and parts of the trace."""
+    pool = candidates(spark, sf_dir)
+    ranked = written(best_of(scored_pool(pool, PROFILE), pool, 3), "ranked")
+    found = [candidate_audit(ranked, r["candidate_id"]) for r in ranked.select("candidate_id").collect()]  # three rows
+    parts = [F.round(n, 6).alias(n) for n in ("availability", "responsiveness", "recency", "credibility", "mult")]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.select("candidate_id", "rank", "profile.current_title", "profile.location", F.round("profile.years_of_experience", 6).alias("years"), F.size("career_history").cast("long").alias("roles"), *parts, F.round("score", 6).alias("score"))
+
+
 @query()
 def audit_lookup(spark, sf_dir):
     """The first-ranked row with its profile, signals and trace."""

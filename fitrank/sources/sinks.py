@@ -57,8 +57,14 @@ def workbook(rows: list[list[str]]) -> bytes:
     return out.getvalue()
 
 
-def markdown(frame: DataFrame, title: str, limit: int = 200) -> str:
-    """A report table of a small frame."""
-    rows = frame.limit(limit).collect()
+#: Rows of a report's table; a frame of more is no report.
+MOST_REPORT_ROWS = 10_000
+
+
+def markdown(frame: DataFrame, title: str) -> str:
+    """A report table of a small frame, whole; more than MOST_REPORT_ROWS rows are refused."""
+    rows = frame.limit(MOST_REPORT_ROWS + 1).collect()
+    if len(rows) > MOST_REPORT_ROWS:
+        raise ValueError(f"a report's table has at most {MOST_REPORT_ROWS} rows")
     lines = [f"## {title}", "", "| " + " | ".join(frame.columns) + " |", "|" + "---|" * len(frame.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
