@@ -476,7 +476,7 @@ def train(docs: DataFrame, order: int = 2, bucket: int = 300_000) -> Model:
     folder = shared_path(spark, "model")
     parts = max(1, -(-n_tokens // bucket))
     word_buckets = max(1, -(-n_words // bucket))
-    model = Model(folder, order, n_tokens, n_words, word_buckets, tuple(parts if k > 1 else word_buckets for k in range(1, order + 1)), (), 0, 0.0)
+    model = Model(folder, order, n_tokens, n_words, word_buckets, tuple(parts if k > 1 else max(word_buckets, -(-parts // 4)) for k in range(1, order + 1)), (), 0, 0.0)
     if not n_tokens:
         return Model(**{**model.__dict__, "discounts": ((0.0, 0.5, 1.0, 1.5),) * order})
     _words_files(row_numbers(counted, [F.desc("n"), F.asc("word")], "number"), folder, word_buckets).agg(F.sum("words")).first()
