@@ -10,13 +10,15 @@ threshold without losing any. What remains is confirmed on full sets.
 
 First each member meets its bucket's smallest one, which settles groups of copies in linear time. Components
 follow. Then, in buckets that still hold several components, members outside the largest one meet the members of
-other components, sizes and bitmaps first. Buckets of copies thus cost what they hold; a bucket of many texts that are
-related but no copies (half of their shingles from one template) is compared by pairs, which no cap cuts short: its cost
-grows with the square of its components. Hot buckets meet in joins that Spark splits.
+other components whose size is in reach, bitmaps first: the join's key is the bucket and a class of sizes, which loses
+nothing. Buckets of copies thus cost what they hold; a bucket of many texts of one size that are related but no copies
+(half of their shingles from one template) is compared by pairs, which no cap cuts short: its cost grows with the square
+of its components. Hot buckets meet in joins that Spark splits.
 """
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -228,8 +230,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     counted = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", (-F.col("component")).alias("component"))).alias("most"), F.count("*").alias("n"))
     mixed = counted.where("n > 1").select("bucket", (-F.col("most.component")).alias("home"))
     open_members = written(named.join(mixed, "bucket").join(marks, "node"), "open")
-    x, y = open_members.where("component <> home").alias("x"), open_members.alias("y")
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.node") < F.col("y.node")))
+    # sizes of a pair at the threshold lie within a ratio of 100 / percent, so their classes differ by one at most
+    size_class = F.floor(F.log("n_shingles") / (math.log(max(100 / percent, 1.0001)) * (1 + 1e-9)))
+    x = open_members.where("component <> home").withColumn("meets", size_class).alias("x")
+    y = open_members.withColumn("meets", F.explode(F.array(size_class - 1, size_class, size_class + 1))).alias("y")
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.meets") == F.col("y.meets")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.node") < F.col("y.node")))
     late = x.join(y, meet & alike("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     late = written(late.join(tried, ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():

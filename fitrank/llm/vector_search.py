@@ -8,7 +8,8 @@ id of its vectors. Trees are written once to the shared folder; their root boxes
 No vector of a box scores higher with query q than sum(max(q * low, q * high)). Queries come in blocks, neighbours in
 space together. A task takes one block through a list of trees, best root bound first, and opens a tree only if its root
 may better the k-th best (score, id) of some query; within a tree it goes on best bound first. The k-th best is passed on
-from tree to tree. What is moved is the rows, once, and a line for each block and tree. Scores are exact integers.
+from tree to tree. Root boxes are files of some RUN_TREES trees; what is moved is the rows, once, and a line of two file
+names for each block and box file. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from .shared import get_file, nb_partitions, put_file, shared_path, small_batche
 NO_ID = np.iinfo(np.int64).max
 #: Below every score that is exact as a double; 64-bit integers have their own least.
 LOWEST = -(2**62)
-#: Trees whose lines may be broadcast: 10,000 are some 10 MB in 64 dimensions.
-BROADCAST_TREES = 10_000
+#: Trees of a box file, some 1 MB in 64 dimensions.
+RUN_TREES = 1024
+#: Box files whose names may be broadcast, some 20 MB; they stand for 10 ** 8 trees.
+BROADCAST_FILES = 100_000
+#: Vector lengths that get cells of their own; rows of all others are dealt by a hash alone.
+MOST_LENGTHS = 64
 
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray, leaf: int = 128) -> dict:
@@ -174,12 +179,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def in_cells(vectors: DataFrame, shard: int, sample: int, most_cells: int) -> DataFrame:
-    """vec_id, vector, dim, cell. Cells are laid out from at most about `sample` vectors (every n-th by hash of its id, all
-    of them at most 32 MB); the sample decides how well boxes part, never the result."""
-    dims = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    """vec_id, vector, dim, cell. Cells are laid out from at most about `sample` vectors of all lengths (every n-th by hash of
+    its id, all of them at most 32 MB), for the most frequent lengths; the sample decides how well boxes part, never the
+    result."""
+    counted = vectors.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MOST_LENGTHS).collect()
+    dims, total = {r["dim"]: r["n"] for r in counted}, sum(r["n"] for r in counted)
     cells = {}
     for dim, n in dims.items():
-        every = max(1, -(-n // max(1, min(sample, (32 << 20) // (8 * dim)))))
+        own = max(1, min(sample * n // total, (32 << 20) // (8 * dim * len(dims))))
+        every = max(1, -(-n // own))
         some = vectors.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0)).orderBy("vec_id").select("vector").toArrow()
         cells[dim] = space_cells(_matrix(some.column(0), some.num_rows), min(most_cells, -(-n // shard))) if some.num_rows else []
     known = vectors.sparkSession.sparkContext.broadcast(cells)
@@ -190,7 +198,7 @@ def in_cells(vectors: DataFrame, shard: int, sample: int, most_cells: int) -> Da
             cell = np.zeros(batch.num_rows, np.int32)
             for dim in np.unique(sizes):
                 own = np.flatnonzero(sizes == dim)
-                cell[own] = cell_of(_matrix(batch.column(1).take(pa.array(own)), len(own)), known.value[int(dim)])
+                cell[own] = cell_of(_matrix(batch.column(1).take(pa.array(own)), len(own)), known.value.get(int(dim), []))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(cell)], ["vec_id", "vector", "dim", "cell"])
 
     return vectors.select("vec_id", "vector").mapInArrow(assign, "vec_id long, vector array<bigint>, dim int, cell int")
@@ -245,52 +253,49 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard
     blocks = written(_dealt(queries, block, "number", 1).groupBy("dim", "number").applyInArrow(gather, "dim int, block string"), "blocks")
     # where blocks are too few to employ all tasks, each goes through several shorter lists of trees
     n_trees, n_blocks = trees.count(), blocks.count()
-    runs = max(1, min(n_trees, nb_partitions(spark) // max(1, n_blocks)))
+    runs = max(1, -(-n_trees // RUN_TREES), min(n_trees, nb_partitions(spark) // max(1, n_blocks)))
+
+    def boxes(key, batch):
+        dim, run = key[0].as_py(), key[1].as_py()
+        listed = [r["tree"] for r in batch.to_pylist()]
+        box = {"files": [t["file"] for t in listed], "least": [t["least"] for t in listed], "low": np.array([t["low"] for t in listed], np.float64), "high": np.array([t["high"] for t in listed], np.float64)}
+        file = put_file(folder, f"boxes-{dim}-{run:08d}", pickle.dumps(box, protocol=5))
+        return pa.table({"dim": [dim], "boxes": [file]}, schema=pa.schema([("dim", pa.int32()), ("boxes", pa.string())]))
+
     lists = trees.withColumn("run", F.pmod(F.xxhash64("tree.file"), F.lit(runs)).cast("int"))
-    # one line for each block and tree of its dimension: the query set against all rows, in blocks
-    work = blocks.join(F.broadcast(lists) if n_trees <= BROADCAST_TREES else lists, "dim").select("block", "run", "tree")
+    files = written(lists.groupBy("dim", "run").applyInArrow(boxes, "dim int, boxes string"), "boxes")
+    # one line for each block and box file of its length: the query set against all rows, in blocks
+    work = blocks.join(F.broadcast(files) if files.count() <= BROADCAST_FILES else files, "dim").select("block", "boxes")
 
     def search(batches):
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        at, lines = None, []
-
-        def done():
-            best = _searched(at[0], lines, k)
-            lines.clear()
-            ok = best.found != NO_ID
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, ok.sum(axis=1))), pa.array(best.found[ok]), pa.array(best.scores[ok].astype(np.int64))], schema=schema)
-
         for batch in batches:
-            for file, run, one in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (file, run) != at:
-                    if lines:
-                        yield from done()
-                    at = (file, run)
-                lines.append(one)
-        if lines:
-            yield from done()
-
-    parted = work.repartition(nb_partitions(spark), "block", "run").sortWithinPartitions("block", "run")
-    found = parted.mapInArrow(search, "query_id long, vec_id long, score long")
+            for block, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                best = _searched(block, pickle.loads(get_file(file)), k)
+                ok = best.found != NO_ID
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, ok.sum(axis=1))), pa.array(best.found[ok]), pa.array(best.scores[ok].astype(np.int64))], schema=schema)
+
+    found = work.repartition(nb_partitions(spark), "block", "boxes").mapInArrow(search, "query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(block: str, trees: list[dict], k: int) -> Best:
-    """A block of queries through trees, the best root bound first; trees that cannot better any query stay closed."""
+def _searched(block: str, boxes: dict, k: int) -> Best:
+    """A block of queries through the trees of a box file, the best root bound first; trees that cannot better any query
+    stay closed."""
     ids, raw = pickle.loads(get_file(block))
     largest_query = int(np.abs(raw).max())
     best = Best(ids, _typed(raw, largest_query), k)
-    low, high = (np.array([t[n] for t in trees], np.float64) for n in ("low", "high"))
+    low, high = boxes["low"], boxes["high"]
     positive, negative = np.maximum(raw, 0).astype(np.float64), np.minimum(raw, 0).astype(np.float64)
     order = [float((positive @ h + negative @ w).max()) for h, w in zip(high, low)]
     for i in np.argsort(-np.array(order), kind="stable"):
         if best.queries.dtype.kind == "f":
             bound = positive @ high[i] + negative @ low[i]
             # a bound that is not exact in doubles decides nothing
-            if max(np.abs(bound).max(), 0) < 2**52 and not best.may_gain(bound, trees[i]["least"]).any():
+            if max(np.abs(bound).max(), 0) < 2**52 and not best.may_gain(bound, boxes["least"][i]).any():
                 continue
-        data = pickle.loads(get_file(trees[i]["file"]))
+        data = pickle.loads(get_file(boxes["files"][i]))
         largest = max(data["largest"], largest_query)
         if best.queries.dtype.kind == "f" and largest * largest * raw.shape[1] >= 2**53:
             best = _widened(best, raw)
