@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import concepts, has_any
 from ..functions.scalar import evidence_texts, iso_date, mean, month_diff, roles
-from ..storage import free_name, row_numbers, written
+from ..storage import written
 from .consistency import skills
 from .fit import lower, seniority_band, stability_band
+from .ordered import group_places
 
 # Fixed values of the independent check; deliberately apart from the profile's.
 STRONG_EVIDENCE = ["recommendation system", "recommender", "ranking system", "ranking model", "learning to rank", "learning-to-rank", "search engine", "search system", "semantic search", "information retrieval", "retrieval system", "vector search", "re-rank", "rerank", "recsys", "relevance ranking", "candidate ranking", "personalization", "personalisation", "matching system", "match candidates"]
@@ -180,19 +181,10 @@ def counts_at(ranked: DataFrame, by: str, cuts=(10, 50, 100)) -> DataFrame:
     return ranked.groupBy(by).agg(F.count("*").alias("pool"), *[F.count_if(F.col("rank") <= k).alias(f"top_{k}") for k in cuts])
 
 
-def _placed(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
-    """Adds `name`: the place from 1 within the group. Places come from one order of all rows, so that no task holds a
-    whole group; what stands before a group is one row a group."""
-    overall, before = free_name(rows, "overall"), free_name(rows, "before_group")
-    placed = row_numbers(rows, [F.col(group), *order], overall)
-    firsts = placed.groupBy(group).agg(F.min(overall).alias(before)).withColumnRenamed(group, free_name(rows, "of"))
-    return placed.join(firsts, F.col(group).eqNullSafe(F.col(firsts.columns[0]))).withColumn(name, F.col(overall) - F.col(before) + 1).drop(overall, before, firsts.columns[0])
-
-
 def upper_median(rows: DataFrame, value: str, group: str) -> DataFrame:
     """min, max, spread and sorted[n // 2] of each group, which doesn't interpolate. Null values don't count."""
     known = rows.select(F.col(group), F.col(value)).where(F.col(value).isNotNull())
-    placed = _placed(known, group, [F.col(value)], "group_place")
+    placed = group_places(known, group, [F.col(value)], "group_place")
     ends = known.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("group_size")).withColumnRenamed(group, "group_key")
     middle = placed.join(ends, F.col(group).eqNullSafe(F.col("group_key"))).where(F.col("group_place") == F.floor(F.col("group_size") / 2) + 1)
     return middle.select(F.col(group), "low", "high", F.col(value).alias("median"), (F.col("high") - F.col("low")).alias("spread"))
@@ -201,8 +193,8 @@ def upper_median(rows: DataFrame, value: str, group: str) -> DataFrame:
 def spearman(rows: DataFrame, a: list[Column], b: list[Column], group: str) -> DataFrame:
     """1 - 6 sum d^2 / (m (m^2 - 1)) by group, ties in the order given; null below two rows. The orders are of columns.
     Rows are sorted as they are: give no more columns than orders and group need."""
-    first = _placed(rows, group, a, "first_place")
-    both = _placed(first, group, b, "second_place")
+    first = group_places(rows, group, a, "first_place")
+    both = group_places(first, group, b, "second_place")
     g = both.select(F.col(group), (F.col("first_place") - F.col("second_place")).cast("double").alias("d")).groupBy(group).agg(F.sum(F.col("d") * F.col("d")).alias("s"), F.count("*").cast("double").alias("m"))
     return g.select(group, F.when(F.col("m") > 1, 1 - 6 * F.col("s") / (F.col("m") * (F.col("m") * F.col("m") - 1))).alias("rho"))
 

@@ -226,3 +226,12 @@ def tiled(rows: DataFrame, by: Sequence[str], order: Sequence[Column], tiles: in
     long_rows = (F.col(size) % tiles) * (short + 1)
     tile = F.when(i < long_rows, F.floor(i / (short + 1))).otherwise(F.floor((i - long_rows) / F.greatest(short, F.lit(1))) + F.col(size) % tiles) + 1
     return both.withColumn(name, tile.cast("int")).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
+def group_places(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: the place from 1 within the group. Places come from one order of all rows, so that no task holds a
+    whole group; what stands before a group is one row a group."""
+    overall, before = free_name(rows, "overall"), free_name(rows, "before_group")
+    placed = row_numbers(rows, [F.col(group), *order], overall)
+    firsts = placed.groupBy(group).agg(F.min(overall).alias(before)).withColumnRenamed(group, free_name(rows, "of"))
+    return placed.join(firsts, F.col(group).eqNullSafe(F.col(firsts.columns[0]))).withColumn(name, F.col(overall) - F.col(before) + 1).drop(overall, before, firsts.columns[0])
