@@ -20,11 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as profiles, their orders as roles, line items as skills, events as signals, documents as texts."""
+def candidates(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """Customers as profiles, their orders as roles, line items as skills, events as signals, documents as texts. Without
+    texts summaries are null and documents are not read."""
     t = lambda name: table(spark, sf_dir, name)
-    docs = t("documents").select("doc_id", "text")
-    n_docs = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1  # from the files' statistics
     title = lambda k: F.element_at(F.array(*[F.lit(x) for x in TITLES]), (k % len(TITLES)).cast("int") + 1)
     by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     shifted = t("orders").withColumn("o_orderdate", F.add_months("o_orderdate", YEARS_ON * 12))
@@ -49,7 +48,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     profile = F.struct(F.col("text").alias("summary"), F.col("c_name").alias("headline"), title(k).alias("current_title"), F.concat(F.lit("Company "), k % 40).alias("current_company"), (F.abs(F.col("c_acctbal")) / 1200 + 5).alias("years_of_experience"), F.col("n_name").alias("location"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("current_industry"))
     education = F.array(F.struct(F.concat(F.lit("tier_"), k % 4 + 1).alias("tier"), (k % 10 + 2000).cast("bigint").alias("start_year"), (k % 10 + 2004 - F.when(k % 50 == 0, 5).otherwise(0)).cast("bigint").alias("end_year")))
-    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(docs, k % n_docs == F.col("doc_id")).join(career, k == F.col("o_custkey"), "left").join(skills, k == F.col("s_custkey"), "left").join(seen, k == F.col("user_id"), "left")
+    people = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    if texts:
+        docs = t("documents").select("doc_id", "text")
+        n_docs = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1  # from the files' statistics
+        people = people.join(docs, k % n_docs == F.col("doc_id"))
+    else:
+        people = people.withColumn("text", F.lit(None).cast("string"))
+    rows = people.join(career, k == F.col("o_custkey"), "left").join(skills, k == F.col("s_custkey"), "left").join(seen, k == F.col("user_id"), "left")
     strip = lambda c, names: F.transform(F.coalesce(F.col(c), F.array()), lambda r: F.struct(*[r[n].alias(n) for n in names]))
     return rows.select(
         k.alias("key"), F.format_string("CAND_%07d", k).alias("candidate_id"), profile.alias("profile"), strip("career", ["title", "description", "company", "industry", "start_date", "end_date", "duration_months", "is_current"]).alias("career_history"),

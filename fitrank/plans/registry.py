@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import concepts, has_any
 from ..functions.scalar import evidence_texts, iso_date, month_diff, narrative
-from ..operators import audit, experiments, metrics, semantic, verification
+from ..operators import audit, experiments, explain, metrics, semantic, verification
 from ..operators.consistency import consistency_flags
 from ..operators.engagement import notice_factor, with_engagement
 from ..operators.explain import explained
@@ -158,7 +158,7 @@ v AS (SELECT c_custkey, coalesce(c.f1, false) AS f1, coalesce(s.f2, false) AS f2
 
 @query(VIEW_FLAGS + "SELECT printf('CAND_%07d', c_custkey) AS candidate_id, array_to_string(list_filter([CASE WHEN f1 THEN 'tenure_impossible' END, CASE WHEN f2 THEN 'phantom_expertise' END, CASE WHEN f3 THEN 'career_exceeds_life' END, CASE WHEN f4 THEN 'experience_exceeds_career_span' END, CASE WHEN f5 THEN 'edu_inversion' END], lambda x: x IS NOT NULL), ',') AS flags FROM v")
 def consistency(spark, sf_dir):
-    return candidates(spark, sf_dir).select("candidate_id", F.array_join(consistency_flags(PROFILE), ",").alias("flags"))
+    return candidates(spark, sf_dir, texts=False).select("candidate_id", F.array_join(consistency_flags(PROFILE), ",").alias("flags"))
 
 
 @query("""WITH e AS (SELECT user_id, max(CAST(ts AS DATE)) AS last, avg(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) AS clicks, count(*) AS n, avg(value) AS value FROM events GROUP BY user_id),
@@ -168,7 +168,7 @@ t AS (SELECT c_custkey, CASE WHEN n % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END + CASE W
   FROM customer LEFT JOIN e ON user_id = c_custkey)
 SELECT printf('CAND_%07d', c_custkey) AS candidate_id, round(availability, 6) AS availability, round(responsiveness, 6) AS responsiveness, round(recency, 6) AS recency FROM t""")
 def engagement(spark, sf_dir):
-    t = with_engagement(candidates(spark, sf_dir), PROFILE)
+    t = with_engagement(candidates(spark, sf_dir, texts=False), PROFILE)
     return t.select("candidate_id", *[F.round(F.col(f"engagement_trace.{n}"), 6).alias(n) for n in ("availability", "responsiveness", "recency")])
 
 
@@ -177,7 +177,7 @@ PARTS = ("availability", "responsiveness", "recency", "credibility")
 
 @query(f"WITH {oracles.VIEW},{oracles.engagement(PROFILE)} SELECT candidate_id, round(multiplier, 6) AS multiplier, {', '.join(f'round({n}, 6) AS {n}' for n in PARTS)} FROM engaged")
 def engagement_multiplier(spark, sf_dir):
-    rows = with_engagement(candidates(spark, sf_dir), PROFILE)
+    rows = with_engagement(candidates(spark, sf_dir, texts=False), PROFILE)
     return rows.select("candidate_id", F.round("multiplier", 6).alias("multiplier"), *[F.round(f"engagement_trace.{n}", 6).alias(n) for n in PARTS])
 
 
@@ -282,6 +282,37 @@ def explanation(spark, sf_dir):
     return rank_candidates(candidates(spark, sf_dir), PROFILE, 100).select("candidate_id", "rank", "reasoning")
 
 
+def _picked(options: tuple[str, ...], salt: int) -> str:
+    """DuckDB's choice by the id's number."""
+    return f"([{', '.join(oracles.quoted(o) for o in options)}])[CAST((k + {salt}) % {len(options)} AS INT) + 1]"
+
+
+CONCERNS = f"""[CASE WHEN domain_gate <= 0.2 THEN {_picked(("the main domain lies elsewhere", "most work is in another field"), 11)} END,
+CASE WHEN notice >= 90 THEN {_picked(("notice runs to ", "the notice period is ", "leaving takes ", "a start is off by "), 5)} || notice || ' days' END,
+CASE WHEN recency < 0.4 THEN {_picked(("recent activity is low", "the profile has been quiet"), 9)} END,
+CASE WHEN location < 0.6 THEN {_picked(("the location is off target", "a move would be needed", "the base is far from the hiring cities"), 2)} END,
+CASE WHEN rate < 0.35 THEN 'replies to recruiters are rare' END,
+CASE WHEN product <= 0.4 THEN {_picked(("the career is mostly in services", "product experience is thin"), 4)} END,
+CASE WHEN stability <= 0.3 THEN {_picked(("tenures are short", "roles change often"), 6)} END]"""
+STANDOUT = """[CASE WHEN github > 0 THEN {'v': least(github / 80, 1), 'i': 0, 'p': 'a code activity score of ' || CAST(round_even(github, 0) AS INT) || ' of 100'} END,
+CASE WHEN rate >= 0.5 THEN {'v': least((rate - 0.4) / 0.55, 1), 'i': -1, 'p': CASE WHEN trunc(rate * 100) BETWEEN 80 AND 89 THEN 'an ' ELSE 'a ' END || CAST(trunc(rate * 100) AS INT) || '% response rate'} END,
+CASE WHEN notice <= 45 THEN {'v': least((60 - notice) / 60, 1), 'i': -2, 'p': CASE WHEN notice = 0 THEN 'immediate availability' ELSE 'availability within ' || notice || ' days' END} END,
+CASE WHEN location >= 1 THEN {'v': 0.45, 'i': -3, 'p': 'a home in a hiring city'} END]"""
+
+
+@query(f"""{oracles.scores(PROFILE)}, r AS ({RANKED} scored ORDER BY rank LIMIT 100),
+p AS (SELECT r.candidate_id, r.rank, v.k, v.title, f.domain_gate, f.location, f.product, f.stability, e.recency, CASE WHEN v.seen THEN v.n_events * 3 END AS notice, CASE WHEN v.seen THEN v.clicks END AS rate, CASE WHEN v.seen THEN least(v.value, 100) END AS github
+  FROM r JOIN view v USING (candidate_id) JOIN fitted f USING (candidate_id) JOIN engaged_parts e USING (candidate_id))
+SELECT candidate_id, rank, CASE WHEN regexp_matches(lower(title), '^(ai|ml|nlp|ir|ux|ui|sre|mle|llm) ') OR regexp_matches(lower(title), '^[aeiou]') THEN 'an' ELSE 'a' END AS article, CAST(k AS BIGINT) AS number,
+  array_to_string(list_filter({CONCERNS}, lambda x: x IS NOT NULL)[1:2], '; ') AS concerns, list_max(list_filter({STANDOUT}, lambda x: x IS NOT NULL)).p AS standout FROM p""")
+def explanation_parts(spark, sf_dir):
+    """What the hundred explanations are made of, apart from their wording: the article of the title, the id's number, the
+    concerns and the strongest signal."""
+    pool = candidates(spark, sf_dir)
+    best = best_of(scored_pool(pool, PROFILE), pool, 100)
+    return best.select("candidate_id", "rank", explain.article(F.col("profile.current_title")).alias("article"), explain.id_number().cast("long").alias("number"), F.array_join(explain.concerns(), "; ").alias("concerns"), explain.standout().alias("standout"))
+
+
 @query()
 def explanation_distinct(spark, sf_dir):
     return verification.distinct_reasons(rank_candidates(candidates(spark, sf_dir), PROFILE, 100))
