@@ -32,8 +32,8 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 NOTHING, BEGIN, FIRST_WORD = 0, 1, 2
 #: Tokens that a worker looks up at a time.
 CHUNK_TOKENS = 500_000
-#: Files that a worker keeps mapped.
-OPEN_FILES = 2048
+#: Files that a worker keeps open, and bytes of those that cannot be mapped.
+OPEN_FILES, HELD_BYTES = 2048, 64 << 20
 #: An n-gram's counts: its own, then as a context: total, followers seen once, twice, more often.
 OWN, TOTAL, ONCE, TWICE, MORE = range(5)
 
@@ -245,9 +245,10 @@ class Shard:
         store, path = filesystem(uri)
         local = store.type_name == "local"
         if not (os.path.exists(path) if local else store.get_file_info(path).is_file):
-            self.hashes = np.zeros(0, np.uint64)
+            self.hashes, self.held = np.zeros(0, np.uint64), 0
             return
         data = np.memmap(path, np.uint8, "r") if local else np.frombuffer(get_file(uri), np.uint8)
+        self.held = 0 if local else len(data)
         n, distinct, columns, width = struct.unpack_from("<QQBB", data[:18].tobytes())
         self.hashes = data[24 : 24 + 8 * n].view("<u8")
         at = 24 + 8 * n
@@ -267,6 +268,17 @@ class Shards:
 
     def __init__(self):
         self.open: OrderedDict[str, Shard] = OrderedDict()
+        self.held = 0
+
+    def shard(self, name: str) -> Shard:
+        found = self.open.pop(name, None)
+        if found is None:
+            found = Shard(name)
+            self.held += found.held
+        self.open[name] = found
+        while len(self.open) > OPEN_FILES or (self.held > HELD_BYTES and len(self.open) > 1):
+            self.held -= self.open.popitem(last=False)[1].held
+        return found
 
     def counts(self, folder: str, level: str, buckets: int, h: np.ndarray, columns: int) -> np.ndarray:
         """(columns, count) of hashes in any order."""
@@ -276,12 +288,7 @@ class Shards:
         present = np.unique(bucket_of(distinct, buckets)) if cuts is None else np.flatnonzero(np.diff(cuts))
         for b in present:
             a, z = (cuts[b], cuts[b + 1]) if cuts is not None else np.searchsorted(bucket_of(distinct, buckets), [b, b + 1])
-            name = f"{folder}/{level}-{b:08d}"
-            shard = self.open.pop(name, None) or Shard(name)
-            self.open[name] = shard
-            if len(self.open) > OPEN_FILES:
-                self.open.popitem(last=False)
-            shard.find(distinct[a:z], out[:, a:z])
+            self.shard(f"{folder}/{level}-{b:08d}").find(distinct[a:z], out[:, a:z])
         return out[:, back]
 
 

@@ -144,6 +144,26 @@ def test_windows_of_long_texts(spark, monkeypatch):
     assert all(a.tolist() == pytest.approx(b.tolist()) for a, b in zip(parts, whole))
 
 
+def test_files_that_cannot_be_mapped_are_few(monkeypatch, tmp_path):
+    from fitrank.llm.shared import put_file
+
+    h = np.arange(1, 1001, dtype=np.uint64) << np.uint64(54)
+    for b in range(4):
+        own = h[language_model.bucket_of(h, 4) == b]
+        put_file(str(tmp_path), f"level-{b:08d}", language_model.file_bytes(own, np.array([own >> np.uint64(54)])))
+    monkeypatch.setattr(language_model, "HELD_BYTES", 1)
+    monkeypatch.setattr(np, "memmap", lambda path, *_: np.fromfile(path, np.uint8))
+    shards = language_model.Shards()
+    asked = np.concatenate([h[::-7], h[:3] + np.uint64(1)])
+    got = shards.counts(str(tmp_path), "level", 4, asked, 1)[0]
+    assert got.tolist() == [*(h[::-7] >> np.uint64(54)).tolist(), 0, 0, 0] and len(shards.open) <= 4
+    for s in shards.open.values():
+        s.held = 1 << 30
+    shards.held = 4 << 30
+    shards.shard("nowhere")
+    assert len(shards.open) == 1 and shards.held == 0
+
+
 def test_language_model_of_nothing(spark):
     model = language_model.train(documents(spark, [(1, "a b")]).where("false"))
     assert [tuple(r)[:5] for r in language_model.score(documents(spark, [(1, "a b")]), model).collect()] == [(1, 3, 0, 0.0, 0.0)]
