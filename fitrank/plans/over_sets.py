@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.mentions import register_mentions
 from ..operators import multisets, sketches
 from ..profile import corpus_profile
-from ..storage import written
+from ..shipping import ship
+from ..sources import sinks, workbooks
+from ..storage import shared_path, written
 from . import oracles
 from .candidate_view import table
 
@@ -129,6 +131,35 @@ def lexicon_mentions(spark, sf_dir):
     FROM mentioning_documents d, LATERAL {name}(d.text) m GROUP BY d.doc_id, m.concept""")
 
 
+# --- workbooks ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+def workbook_scan(spark, sf_dir):
+    """Customers as workbooks, one a nation, read back in ranges of rows."""
+    import pandas as pd
+
+    from ..storage import filesystem
+
+    ship(spark)
+    folder = shared_path(spark, "workbooks")
+
+    def put(rows: pd.DataFrame) -> pd.DataFrame:
+        nation = int(rows["c_nationkey"].iloc[0])
+        data = sinks.workbook([list(rows.columns), *rows.sort_values("c_custkey").astype(str).values.tolist()])
+        store, path = filesystem(folder)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/_{nation}") as out:
+            out.write(data)
+        store.move(f"{path}/_{nation}", f"{path}/nation-{nation:03d}.xlsx")
+        return pd.DataFrame({"nation": [nation], "rows": [len(rows)]})
+
+    columns = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
+    table(spark, sf_dir, "customer").select(*columns).groupBy("c_nationkey").applyInPandas(put, "nation long, rows long").agg(F.sum("rows")).first()
+    workbooks.register_workbooks(spark)
+    return spark.read.format("workbook").option("partitionRows", 25).load(folder)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -148,33 +148,53 @@ def _active_sheet(z: zipfile.ZipFile, ns: dict) -> str:
     return target if target in names else sheets[0]
 
 
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+
+
+def _place(reference: str) -> int:
+    """The column of a cell's reference, from 0; -1 without letters."""
+    place = 0
+    for x in reference:
+        if x.isalpha():
+            place = place * 26 + ord(x.upper()) - 64
+    return place - 1
+
+
+def stream_sheet(z: zipfile.ZipFile, first: int = 0, last: int | None = None):
+    """Rows (from `first` to before `last`, of those there are) of a workbook's active sheet as lists of texts. The sheet is
+    parsed as a stream: a row at a time is in memory, besides the table of shared texts."""
+    shared: list[str] = []
+    tag = lambda name: f"{{{_NS['m']}}}{name}"
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, item in ElementTree.iterparse(f):
+                if item.tag == tag("si"):
+                    shared.append("".join(t.text or "" for t in item.iter(tag("t"))))
+                    item.clear()
+    with z.open(_active_sheet(z, _NS)) as f:
+        number = 0
+        for _, row in ElementTree.iterparse(f):
+            if row.tag != tag("row"):
+                continue
+            if last is not None and number >= last:
+                return
+            if number >= first:
+                cells: dict[int, str] = {}
+                for i, c in enumerate(row.findall("m:c", _NS)):
+                    place, value = _place(c.get("r", "")), c.find("m:v", _NS)
+                    text = value.text if value is not None else "".join(t.text or "" for t in c.iter(tag("t")))
+                    cells[i if place < 0 else place] = shared[int(text)] if c.get("t") == "s" else (text or "")
+                yield [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+            number += 1
+            row.clear()
+
+
 def sheet_rows(data: bytes) -> list[list[str]]:
     """Cells of a workbook's active sheet as text."""
     import io
 
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheet = _active_sheet(z, ns)
-        out = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{ns['m']}}}row"):
-            cells: dict[int, str] = {}
-            for i, c in enumerate(row.findall("m:c", ns)):
-                letters = "".join(x for x in c.get("r", "") if x.isalpha())
-                place = i
-                if letters:
-                    place = 0
-                    for x in letters:
-                        place = place * 26 + ord(x.upper()) - 64
-                    place -= 1
-                value = c.find("m:v", ns)
-                text = value.text if value is not None else "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
-                cells[place] = shared[int(text)] if c.get("t") == "s" else (text or "")
-            out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-        return out
+        return list(stream_sheet(z))
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:

@@ -47,13 +47,22 @@ def write_artifacts(vectors: DataFrame, probes, folder: str) -> None:
     vectors.sparkSession.createDataFrame(rows, "place int, embedding array<float>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/probes")
 
 
+def _letters(column: int) -> str:
+    """The name of a column, from 1."""
+    name = ""
+    while column > 0:
+        column, rest = divmod(column - 1, 26)
+        name = chr(65 + rest) + name
+    return name or "A"
+
+
 def workbook(rows: list[list[str]]) -> bytes:
     """A spreadsheet of one sheet of texts."""
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>' for x in r) + "</row>" for r in rows)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}"><sheetData>{cells}</sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}"><dimension ref="A1:{_letters(max(map(len, rows), default=1))}{max(1, len(rows))}"/><sheetData>{cells}</sheetData></worksheet>')
     return out.getvalue()
 
 

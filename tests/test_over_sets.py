@@ -94,3 +94,29 @@ def test_mentions_agree_with_the_suppressing_columns(spark):
 def test_queries_on_the_smallest_tables(spark):
     for name in ("sketch_rollup", "segment_cube", "order_multisets", "parts_except_all", "lexicon_mentions"):
         assert over_sets.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_workbooks_in_ranges(spark, tmp_path):
+    from fitrank.sources import sinks, workbooks
+
+    workbooks.register_workbooks(spark)
+    head = ["id", "", "text", "z"]
+    rows = [[str(i), "gone", f"é <{i}> & more", ""] for i in range(103)]
+    (tmp_path / "a.xlsx").write_bytes(sinks.workbook([head, *rows[:100], ["", "", "", ""]]))
+    (tmp_path / "b.xlsx").write_bytes(sinks.workbook([["text", "id"], *[[r[2], r[0]] for r in rows[100:]]]))
+    (tmp_path / "note.txt").write_text("no workbook")
+    df = spark.read.format("workbook").option("partitionRows", 7).load(str(tmp_path))
+    assert df.columns == ["id", "text", "z"] and df.rdd.getNumPartitions() == 16
+    assert sorted((int(r.id), r.text, r.z) for r in df.collect()) == [(i, f"é <{i}> & more", "" if i < 100 else None) for i in range(103)]
+    assert df.where("id = '5'").count() == 1
+    assert spark.read.format("workbook").option("limit", 3).load(str(tmp_path / "a.xlsx")).count() == 3
+    unsized = sinks.workbook([["id"], *[[str(i)] for i in range(20)]])
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(unsized)) as z, zipfile.ZipFile(tmp_path / "c.xlsx", "w") as out:
+        for name in z.namelist():
+            out.writestr(name, z.read(name).replace(z.read(name)[z.read(name).index(b"<dimension") : z.read(name).index(b"<sheetData")], b""))
+    assert spark.read.format("workbook").option("partitionRows", 7).load(str(tmp_path / "c.xlsx")).count() == 20
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("workbook").schema("id string").load(str(tmp_path / "empty")).count() == 0
