@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fitrank.shipping import ship
-from fitrank.storage import free_name, release, row_keys, row_numbers, shared_path, shared_root, written
+from fitrank.storage import filesystem, free_name, release, row_keys, row_numbers, shared_path, shared_root, written
 
 __all__ = ["filesystem", "free_name", "get_file", "nb_partitions", "put_file", "release", "row_keys", "row_numbers", "shared_path", "shared_root", "small_batches", "table", "written"]
 
@@ -25,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a local path, a file: URI or any store pyarrow knows."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def put_file(folder: str, name: str, data: bytes) -> str:
     """Write under a name of its own, then rename: a lost or repeated task leaves no half file."""
     store, base = filesystem(folder)
