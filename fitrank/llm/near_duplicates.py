@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import small_batches, written
+from .shared import giving_back, small_batches, written
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -42,6 +42,10 @@ BROADCAST_IDS = 1_000_000
 REMEMBERED_WORDS = 200_000
 
 
+#: Bytes of a batch of texts; both a worker and its JVM hold some of them.
+BATCH_BYTES = 4 << 20
+
+
 class _Words(dict):
     def __missing__(self, word):
         if len(self) >= REMEMBERED_WORDS:
@@ -53,6 +57,14 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forgetting(batches):
+    """A stage's batches; its worker remembers no words beyond its end."""
+    try:
+        yield from giving_back(batches)
+    finally:
+        _words.clear()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _K2
     h = (h ^ (h >> np.uint64(27))) * _K1
@@ -163,7 +175,7 @@ def _signed(docs: DataFrame, width: int, signer: Signer, keep: list[str]) -> Dat
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *(c.slice(at, 500) for c in batch.columns[2:])], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(k).cast("long").alias(k) for k in keep])
-    return rows.mapInArrow(sign, "row long, doc_id long, n_shingles long, class binary, keys array<long>, sketch array<long>, parity array<long>" + "".join(f", {k} long" for k in keep))
+    return rows.mapInArrow(lambda batches: _forgetting(sign(batches)), "row long, doc_id long, n_shingles long, class binary, keys array<long>, sketch array<long>, parity array<long>" + "".join(f", {k} long" for k in keep))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -174,7 +186,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 found = [shingle_set(t, width).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(sets, "node long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(lambda batches: _forgetting(sets(batches)), "node long, shingles array<long>")
 
 
 def _sketch_bits(a: str, b: str):
@@ -199,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     give repeated results); a row without doc_id is linked with nothing, component_id is null and it is kept.
     `key` names a whole-number column that tells rows apart and is returned too (default doc_id).
     Other columns are ignored; an empty table gives no rows."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=1000, size=BATCH_BYTES)
     keep = [key] if key != "doc_id" else []
     signer = Signer(bands, rows)
     widest = widest_xor(percent / 100, signer.k, slack)

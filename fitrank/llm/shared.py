@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fitrank.shipping import ship
 from fitrank.storage import filesystem, free_name, release, row_keys, row_numbers, shared_path, shared_root, written
 
-__all__ = ["filesystem", "free_name", "get_file", "nb_partitions", "put_file", "release", "row_keys", "row_numbers", "shared_path", "shared_root", "small_batches", "table", "written"]
+__all__ = ["filesystem", "free_name", "get_file", "giving_back", "nb_partitions", "put_file", "release", "row_keys", "row_numbers", "shared_path", "shared_root", "small_batches", "table", "written"]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
@@ -21,6 +24,17 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
+def giving_back(batches):
+    """The batches of a stage; at its end the worker, which lives on beside the stages that follow, gives memory that it no
+    longer uses back to the machine."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
