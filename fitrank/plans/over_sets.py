@@ -134,9 +134,13 @@ def lexicon_mentions(spark, sf_dir):
 # --- workbooks ---------------------------------------------------------------------------------------------------
 
 
+#: Customers of all nations whose workbooks are written one a nation; more are dealt to several.
+CUSTOMERS_A_PART = 200_000
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def workbook_scan(spark, sf_dir):
-    """Customers as workbooks, one a nation, read back in ranges of rows."""
+    """Customers as workbooks, one a nation or, of many customers, several of it, read back in ranges of rows."""
     import pandas as pd
 
     from ..storage import filesystem
@@ -145,17 +149,20 @@ def workbook_scan(spark, sf_dir):
     folder = shared_path(spark, "workbooks")
 
     def put(rows: pd.DataFrame) -> pd.DataFrame:
-        nation = int(rows["c_nationkey"].iloc[0])
-        data = sinks.workbook([list(rows.columns), *rows.sort_values("c_custkey").astype(str).values.tolist()])
+        nation, part = int(rows["c_nationkey"].iloc[0]), int(rows["part"].iloc[0])
+        data = sinks.workbook([columns, *rows[columns].sort_values("c_custkey").astype(str).values.tolist()])
         store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/_{nation}") as out:
+        with store.open_output_stream(f"{path}/_{nation}-{part}") as out:
             out.write(data)
-        store.move(f"{path}/_{nation}", f"{path}/nation-{nation:03d}.xlsx")
+        store.move(f"{path}/_{nation}-{part}", f"{path}/nation-{nation:03d}-{part:05d}.xlsx")
         return pd.DataFrame({"nation": [nation], "rows": [len(rows)]})
 
     columns = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
-    table(spark, sf_dir, "customer").select(*columns).groupBy("c_nationkey").applyInPandas(put, "nation long, rows long").agg(F.sum("rows")).first()
+    customers = table(spark, sf_dir, "customer").select(*columns)
+    parts = customers.count() // CUSTOMERS_A_PART + 1
+    placed = customers.withColumn("part", F.pmod(F.xxhash64("c_custkey"), F.lit(parts)))
+    placed.groupBy("c_nationkey", "part").applyInPandas(put, "nation long, rows long").agg(F.sum("rows")).first()
     workbooks.register_workbooks(spark)
     return spark.read.format("workbook").option("partitionRows", 25).load(folder)
 

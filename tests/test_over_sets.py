@@ -120,3 +120,22 @@ def test_workbooks_in_ranges(spark, tmp_path):
     assert spark.read.format("workbook").option("partitionRows", 7).load(str(tmp_path / "c.xlsx")).count() == 20
     (tmp_path / "empty").mkdir()
     assert spark.read.format("workbook").schema("id string").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_ranges_of_a_long_sheet_stay_few(spark, tmp_path):
+    from fitrank.sources import sinks, workbooks
+
+    workbooks.register_workbooks(spark)
+    (tmp_path / "a.xlsx").write_bytes(sinks.workbook([["id"], *[[str(i)] for i in range(6000)]]))
+    df = spark.read.format("workbook").option("partitionRows", 7).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == workbooks.MOST_LONG_RANGES
+    assert sorted(int(r.id) for r in df.collect()) == list(range(6000))
+
+
+def test_workbook_scan_deals_many_customers_to_several_workbooks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(over_sets, "CUSTOMERS_A_PART", 40)
+    rows = [(i, f"n{i}", "x", i % 2) for i in range(200)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    found = over_sets.workbook_scan(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 8
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(str(v) for v in r) for r in rows)
