@@ -30,6 +30,17 @@ def query(sql: str | None = None):
 # --- sketches ----------------------------------------------------------------------------------------------------
 
 
+def frequent_errors(counts, told, most: int = 5):
+    """event_type and the largest error of its frequent users as a share of its rows. A named user's error is that of its
+    count; any other's is by how much it outnumbers the last of `most` named ones. Sketches of more users than they have
+    items name only those they are sure of, maybe none: then the last one counts as 0."""
+    last = F.coalesce(F.get("frequent", F.lit(most - 1))["n"], F.lit(0))
+    named = told.select("event_type", F.explode("frequent").alias("f")).select("event_type", F.col("f.item").alias("user_id"), F.col("f.n").alias("n"))
+    both = counts.where("user_id is not null").join(named, ["event_type", "user_id"], "full").join(F.broadcast(told.select("event_type", "told_rows", last.alias("last"))), "event_type")
+    off = F.when(F.col("n").isNull(), F.col("count") - F.col("last")).otherwise(F.abs(F.col("n") - F.coalesce("count", F.lit(0))))
+    return both.groupBy("event_type").agg(F.max(F.greatest(off, F.lit(0)) / F.col("told_rows")).alias("error"))
+
+
 @query("SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_near, true AS quantiles_near, true AS frequent_near FROM events GROUP BY event_type")
 def sketch_rollup(spark, sf_dir):
     """Sketches by day and type, written, then rolled up by type and held against exact figures: distinct users within 5 %,
@@ -41,9 +52,7 @@ def sketch_rollup(spark, sf_dir):
     both = events.join(F.broadcast(told), "event_type")  # a row a type
     below = [F.avg((F.col("value") <= F.col("quantile_value")[i]).cast("double")).alias(f"below{i}") for i in range(3)]
     exact = both.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("users"), F.first("told_rows").alias("told_rows"), F.first("distinct_user_id").alias("told"), *below)
-    counts = events.groupBy("event_type", "user_id").count()
-    named = told.select("event_type", "told_rows", F.explode("frequent").alias("f")).select("event_type", "told_rows", F.col("f.item").alias("user_id"), F.col("f.n").alias("n"))
-    errors = named.join(counts, ["event_type", "user_id"]).groupBy("event_type").agg((F.max(F.abs(F.col("n") - F.col("count")) / F.col("told_rows")) <= 0.01).alias("frequent_near"))
+    errors = frequent_errors(events.groupBy("event_type", "user_id").count(), told).select("event_type", (F.col("error") <= 0.01).alias("frequent_near"))
     ranks = F.greatest(*[F.abs(F.col(f"below{i}") - r) for i, r in enumerate((0.1, 0.5, 0.9))]) <= 0.02
     near = (F.abs(F.col("told") - F.col("users")) <= 0.05 * F.col("users")) & (F.col("told_rows") == F.col("rows"))
     return exact.join(errors, "event_type", "left").select("event_type", "rows", "users", near.alias("users_near"), ranks.alias("quantiles_near"), F.coalesce("frequent_near", F.lit(False)).alias("frequent_near"))

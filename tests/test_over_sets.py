@@ -139,3 +139,18 @@ def test_workbook_scan_deals_many_customers_to_several_workbooks(spark, tmp_path
     found = over_sets.workbook_scan(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() > 8
     assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(str(v) for v in r) for r in rows)
+
+
+def test_frequent_users_of_more_users_than_items(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sketches, "ITEMS", 64)
+    rows = [(f"2024-01-0{d} 00:00:00", u, "view", float(u)) for d in range(1, 4) for u in range(1200)]
+    events = spark.createDataFrame(rows, "ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(str(tmp_path / "even" / "events.parquet"))
+    found = over_sets.sketch_rollup(spark, str(tmp_path / "even")).first()
+    assert found.rows == 3600 and found.users == 1200 and found.frequent_near
+    told = spark.createDataFrame([("view", 1000, [(1, 100), (2, 90)])], "event_type string, told_rows long, frequent array<struct<item:long,n:long>>")
+    error = lambda counts, most: over_sets.frequent_errors(spark.createDataFrame([("view", u, n) for u, n in counts], "event_type string, user_id long, count long"), told, most).first().error
+    assert error([(1, 100), (2, 80), (3, 5)], 5) == 0.01  # the count of 2 is 10 off
+    assert error([(1, 100), (2, 90), (3, 60)], 5) == 0.06  # 3 should have been named
+    assert error([(1, 100), (2, 90), (3, 110)], 2) == 0.02  # 3 outnumbers 2
+    assert error([(1, 100), (2, 90), (3, 90), (None, 500)], 2) == 0
