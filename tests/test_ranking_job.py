@@ -318,3 +318,18 @@ def test_the_rest_works_without_the_training_data_parts(tmp_path, gone, operator
         out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(copy)})
         there = operators and os.path.isdir(os.path.join(ROOT, "fitrank", "llm"))
         assert out.stdout.split() == ["True", str(there), str(pipeline_there), "True"], out.stderr[-2000:]
+
+
+def test_the_first_of_line_items_of_one_number_is_the_last_claim(spark, tmp_path):
+    from fitrank.plans.candidate_view import candidates
+
+    small = "/root/testdata/sf0.001"
+    for name in ("nation", "customer", "orders", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    order = spark.read.parquet(f"{small}/orders.parquet").orderBy("o_orderkey").first()
+    # (discount, part): alike but for their proficiencies, then another number
+    items = [(order.o_orderkey, 60 * i, n, d) for i, (n, d) in enumerate([(2, 0.08), (2, 0.0), (2, 0.05), (1, 0.0)])]
+    rows = spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_discount double").coalesce(1)
+    rows.selectExpr("*", "5.0D AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = candidates(spark, str(tmp_path), texts=False).where(f"key = {order.o_custkey}").first()
+    assert [s.proficiency for s in found.skills] == ["intermediate", "advanced", "intermediate", "expert"]
