@@ -333,3 +333,12 @@ def test_the_first_of_line_items_of_one_number_is_the_last_claim(spark, tmp_path
     rows.selectExpr("*", "5.0D AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = candidates(spark, str(tmp_path), texts=False).where(f"key = {order.o_custkey}").first()
     assert [s.proficiency for s in found.skills] == ["intermediate", "advanced", "intermediate", "expert"]
+
+
+def test_the_first_mention_settles_what_nothing_takes_back(spark):
+    texts = [None, "", "none here", "a retrieval", "no retrieval", "no big deal. retrieval", "we hope to see retrieval", "hope. retrieval, hope", "retrieval, hope", "no retrieval. retrieval", "a\x02 retrieval", "hope for \U0001f600 retrieval"]
+    judged = lexicon._by_first_mention(F.col("t"), lexicon.term_regex(["retrieval"]), r"(?U)\bno\s+(?:[\w'/-]+\s+){0,2}\z", r"(?U)\bhope\b")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(judged).collect()] == [False, False, False, True, None, True, None, True, True, None, None, None]
+    whole = lexicon.unsuppressed(F.col("t"), ["retrieval"], r"\bno", r"\bhope\b")
+    assert [r[0] for r in df.orderBy("i").select(whole).collect()] == [False, False, False, True, False, True, False, True, True, True, True, False]
