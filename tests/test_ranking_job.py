@@ -342,3 +342,16 @@ def test_the_first_mention_settles_what_nothing_takes_back(spark):
     assert [r[0] for r in df.orderBy("i").select(judged).collect()] == [False, False, False, True, None, True, None, True, True, None, None, None]
     whole = lexicon.unsuppressed(F.col("t"), ["retrieval"], r"\bno", r"\bhope\b")
     assert [r[0] for r in df.orderBy("i").select(whole).collect()] == [False, False, False, True, False, True, False, True, True, True, True, False]
+
+
+def test_only_the_best_are_built_again(spark):
+    from fitrank.plans.candidate_view import candidates
+
+    pool = candidates(spark, "/root/testdata/sf0.001")
+    best = spark.createDataFrame([("CAND_0000003", 1), ("CAND_0000007", 2)], "candidate_id string, rank int")
+    found = pipeline.only(pool, best, 2)
+    assert sorted(r.candidate_id for r in found.select("candidate_id").collect()) == ["CAND_0000003", "CAND_0000007"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    named = [line for line in plan.splitlines() if "Filter" in line and "CAND_0000007" in line]
+    assert any("c_custkey" in line for line in named) and sum("o_custkey" in line for line in named) >= 2
+    assert pipeline.only(pool, best, pipeline.MOST_NAMED + 1).count() == 2
