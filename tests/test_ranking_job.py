@@ -355,3 +355,27 @@ def test_only_the_best_are_built_again(spark):
     named = [line for line in plan.splitlines() if "Filter" in line and "CAND_0000007" in line]
     assert any("c_custkey" in line for line in named) and sum("o_custkey" in line for line in named) >= 2
     assert pipeline.only(pool, best, pipeline.MOST_NAMED + 1).count() == 2
+
+
+def test_summaries_read_once_settle_what_whole_texts_do(spark):
+    from fitrank.operators import audit, texts
+    from fitrank.profile import corpus_profile
+
+    long = "lorem ipsum dolor sit amet " * 20
+    summaries = [
+        None, "", " ", "with", "from the", "ends with", long, "nothing else with " + long, "not with " + long, "not with " + long + " with " + long, long + "and ther", long + "looking for a place", long + "than", long + "in",
+        "looking for one with " + long, long + ". no", "and\x02with " + long, "This Of The " + long, long + "spar", "search engine " + long, long + "search", "kafka " + long + "deployed", "tutorials hobby project " + long, long + "lighter weight", "der " + long, long + " LES", long + "d" * 300, long * 9 + "not my strongest",
+    ]
+    titles = [["the the"], ["with the k"], ["engine for that"], [], ["than this"], ["x", "not", "with"], ["the production"], ["strongest for"]]
+    rows = [(f"C{i:02d}{j}", {"summary": s, "headline": "the of the" if j % 2 else None, "current_title": t[0] if t else None, "years_of_experience": 6.0}, [{"title": x, "description": None if j % 3 else "spark", "duration_months": 30.0} for x in t]) for i, s in enumerate(summaries) for j, t in enumerate(titles)]
+    profile = "summary string, headline string, current_title string, current_company string, years_of_experience double, location string, country string, current_industry string"
+    role = "title string, description string, company string, industry string, start_date string, end_date string, duration_months double, is_current boolean"
+    signals = "open_to_work_flag boolean, notice_period_days double, willing_to_relocate boolean, recruiter_response_rate double, avg_response_time_hours double, last_active_date string, github_activity_score double, verified_email boolean, verified_phone boolean, linkedin_connected boolean, skill_assessment_scores map<string,double>"
+    pool = spark.createDataFrame([(*r, [], [], None) for r in rows], f"candidate_id string, profile struct<{profile.replace(' ', ':').replace(',:', ', ')}>, career_history array<struct<{role.replace(' ', ':').replace(',:', ', ')}>>, education array<struct<tier:string,start_year:bigint,end_year:bigint>>, skills array<struct<name:string,proficiency:string,duration_months:double>>, signals struct<{signals.replace(' ', ':').replace(',:', ', ')}>")
+    job = corpus_profile()
+    found = texts.with_found(pool.withColumn("summary", F.col("profile.summary")), "summary", [job, job.but(floor=0.5)]).drop("summary")
+    assert len([c for c in found.columns if c.startswith(texts.PREFIX)]) == 1
+    settled = found.select(F.col(texts.found_name(job))["sure"].alias("s"), F.col(texts.found_name(job))["open"].alias("o"))
+    assert settled.where("size(s) > 0").count() and settled.where("o").count() and settled.where("not o").count()
+    for of in (lambda p: ranking.score(p, job).select("candidate_id", "score", F.to_json("trace")), lambda p: audit.classify(p, job)):
+        assert sorted(map(str, of(found).collect())) == sorted(map(str, of(pool).collect()))
