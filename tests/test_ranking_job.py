@@ -379,3 +379,13 @@ def test_summaries_read_once_settle_what_whole_texts_do(spark):
     assert settled.where("size(s) > 0").count() and settled.where("o").count() and settled.where("not o").count()
     for of in (lambda p: ranking.score(p, job).select("candidate_id", "score", F.to_json("trace")), lambda p: audit.classify(p, job)):
         assert sorted(map(str, of(found).collect())) == sorted(map(str, of(pool).collect()))
+
+
+@pytest.mark.parametrize("query", ["gate_counts", "verification_rows"])
+def test_classes_and_ranking_take_one_pass(spark, monkeypatch, query):
+    from fitrank.plans import registry
+
+    asked, real = [], registry.candidates
+    monkeypatch.setattr(registry, "candidates", lambda *a, **k: asked.append(k) or real(*a, **k))
+    registry.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1 and asked[0]["profiles"]
