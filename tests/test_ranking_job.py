@@ -389,3 +389,15 @@ def test_classes_and_ranking_take_one_pass(spark, monkeypatch, query):
     monkeypatch.setattr(registry, "candidates", lambda *a, **k: asked.append(k) or real(*a, **k))
     registry.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert len(asked) == 1 and asked[0]["profiles"]
+
+
+def test_variants_are_scored_in_one_pass(spark, tmp_path, monkeypatch):
+    people = load(spark, tmp_path, [person(i, ["built ranking systems", "bm25"][i % 2], yoe=4.0 + i % 5) for i in range(6)])
+    labels = spark.createDataFrame([(f"CAND_{i:07d}", i % 4) for i in range(6)], "candidate_id string, rel int")
+    names, real = [], experiments.written
+    monkeypatch.setattr(experiments, "written", lambda df, name, *a: names.append(name) or real(df, name, *a))
+    variants = [("base", JOB), ("assessed", JOB.but(assessment_bonus=0.1)), ("low", JOB.but(floor=0.3))]
+    experiments.impact(people, labels, variants, n=3)
+    assert names == ["scores"]
+    names.clear()
+    assert experiments.variant_scores(people.join(labels, "candidate_id"), variants).count() == 6 and names == ["scores"]
