@@ -401,3 +401,14 @@ def test_variants_are_scored_in_one_pass(spark, tmp_path, monkeypatch):
     assert names == ["scores"]
     names.clear()
     assert experiments.variant_scores(people.join(labels, "candidate_id"), variants).count() == 6 and names == ["scores"]
+
+
+def test_only_labelled_candidates_are_built_for_resampling(spark, monkeypatch):
+    from fitrank.plans import registry
+
+    seen = []
+    monkeypatch.setattr(experiments, "variant_scores", lambda labelled, *a: seen.append(labelled) or labelled)
+    monkeypatch.setattr(experiments, "bootstrap", lambda rows, names: rows)
+    registry.impact_bootstrap(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("o_custkey" in line for line in plan.splitlines() if "Filter" in line and "CAND_" in line) >= 2
