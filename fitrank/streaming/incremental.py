@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,58 +83,87 @@ def event_sessions(events: DataFrame, time: str, gap: str, late: str = "1 hour",
     return grouped.select(begun, ended, *[c for c in grouped.columns if c not in ("session_window", "last_time")])
 
 
+#: Keys are dealt to that many buckets; a bucket's keys share a call of Python, a state and a timer, whose cost of
+#: milliseconds would else be paid by every key.
+BUCKETS = 1024
+RUN = {"key": "long", "begun_us": "long", "ended_us": "long", "rows": "long", "value": "double"}
+
+
 class Engagement(StatefulProcessor):
-    """One key's engagement: rows and value since it was last idle for `idle_ms`. Each batch tells the running sums of its
-    keys; a run of rows is closed by a later row that is further away, or by a timer when the watermark gets there."""
+    """Engagement of a bucket of keys: of each key, rows and value since it was last idle for `idle_ms`. Each batch tells
+    the running sums of its keys; a run of rows is closed by a later row that is further away, or by a timer when the
+    watermark gets there. A bucket's timer is that of the run due first. Closed runs leave the state."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "begun_us long, ended_us long, rows long, value double")
+        self.runs = handle.getValueState("runs", ", ".join(f"{c} array<{kind}>" for c, kind in RUN.items()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("at_us", kind="stable")
-        held = self.run.get() if self.run.exists() else None
-        out = []
-        for at, value in zip(new["at_us"].tolist(), new["value"].tolist()):
-            value = 0.0 if value is None or value != value else value
-            if held and at - held[1] > self.idle_ms * 1000:
-                out.append(self._told(key, "closed", held))
-                held = None
-            held = (min(held[0], at), max(held[1], at), held[2] + 1, held[3] + value) if held else (at, at, 1, value)
-        self.run.update(held)
+        new = pd.concat(list(rows), ignore_index=True)
+        new = pd.DataFrame({"key": new["key"], "begun_us": new["at_us"], "ended_us": new["at_us"], "rows": 1, "value": new["value"].fillna(0.0)})
+        runs, last, grown = extended(self._held(), new, self.idle_ms * 1000)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-held[1] // 1000) + self.idle_ms + 1)
-        yield pd.DataFrame([*out, self._told(key, "running", held)], columns=ENGAGEMENT)
+        self._hold(runs[last])
+        told = runs[~last | grown]
+        yield self._told(told, np.where(last, "running", "closed")[told.index])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.run.exists():
-            yield pd.DataFrame([self._told(key, "closed", self.run.get())], columns=ENGAGEMENT)
-            self.run.clear()
+        held = self._held()
+        due = self._due(held) <= timerValues.getCurrentWatermarkInMs()
+        self._hold(held[~due])
+        yield self._told(held[due], "closed")
+
+    def _held(self) -> pd.DataFrame:
+        held = self.runs.get() or [[] for _ in RUN]
+        return pd.DataFrame({c: np.array(values, "float64" if kind == "double" else "int64") for (c, kind), values in zip(RUN.items(), held)})
+
+    def _hold(self, runs: pd.DataFrame) -> None:
+        if runs.empty:
+            self.runs.clear()
+            return
+        self.runs.update(tuple(runs[c].tolist() for c in RUN))
+        self.handle.registerTimer(int(self._due(runs).min()))
+
+    def _due(self, runs: pd.DataFrame) -> pd.Series:
+        return -(-runs["ended_us"] // 1000) + self.idle_ms + 1
 
     @staticmethod
-    def _told(key, state: str, run) -> tuple:
-        return (*key, state, *run)
+    def _told(runs: pd.DataFrame, state) -> pd.DataFrame:
+        return runs.assign(state=state)[["key", "state", *list(RUN)[1:]]]
 
     def close(self) -> None:
         pass
 
 
-ENGAGEMENT = ["key", "state", "begun_us", "ended_us", "rows", "value"]
+def extended(held: pd.DataFrame, new: pd.DataFrame, idle_us: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The runs of held runs, one a key at most, and of new rows by time; which are their key's last, which have new rows."""
+    both = pd.concat([held, new], ignore_index=True)
+    order = np.lexsort((both["begun_us"], both.index >= len(held), both["key"]))  # of a key what is held comes first
+    key, begun, ended, rows, value = (both[c].to_numpy()[order] for c in RUN)
+    first = np.append(True, key[1:] != key[:-1])
+    until = np.maximum(ended, ended[first][np.cumsum(first) - 1])  # the key's latest so far: new rows ascend
+    begins = first | np.append(True, begun[1:] - until[:-1] > idle_us)
+    at = np.flatnonzero(begins)
+    sums = np.bincount(np.cumsum(begins) - 1, value)
+    runs = pd.DataFrame({"key": key[at], "begun_us": np.minimum.reduceat(begun, at), "ended_us": np.maximum.reduceat(ended, at), "rows": np.add.reduceat(rows, at), "value": sums})
+    return runs, np.append(key[at][1:] != key[at][:-1], True), np.logical_or.reduceat(order >= len(held), at)
 
 
-def engagement(events: DataFrame, key: str, time: str, value: str, idle_ms: int, late: str = "1 hour") -> DataFrame:
+def engagement(events: DataFrame, key: str, time: str, value: str, idle_ms: int, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """key, state (running or closed), begun, ended, rows, value of each key's runs of rows, by keyed state with timers. Rows
-    with a null key or time don't count; null values count as rows of value 0."""
+    with a null key or time don't count; null values count as rows of value 0. A checkpoint keeps the number of buckets that
+    it was begun with."""
     spark = events.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     at = F.col(time).cast("timestamp")
     rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("key"), at.alias("at"), F.unix_micros(at).alias("at_us"), F.col(value).cast("double").alias("value"))
-    told = rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Engagement(idle_ms), "key long, state string, begun_us long, ended_us long, rows long, value double", outputMode="Append", timeMode="EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    told = rows.withWatermark("at", late).groupBy("bucket").transformWithStateInPandas(Engagement(idle_ms), "key long, state string, begun_us long, ended_us long, rows long, value double", outputMode="Append", timeMode="EventTime")
     moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return told.select("key", "state", moment("begun_us").alias("begun"), moment("ended_us").alias("ended"), "rows", "value")

@@ -155,6 +155,49 @@ def test_engagement_keeps_state_across_restarts_and_closes_by_timer(spark):
     assert set(told[2]) - set(told[1]) == {(2, "closed", 150, 200, 2, 8.0), (3, "running", 1000, 1000, 1, 0.0)}
 
 
+def plain_engagement(loads, idle, late):
+    """What keyed state tells, a key at a time: (key, state, begun, ended, rows, value)."""
+    held, told, latest = {}, [], 0
+    for rows in loads:
+        rows = sorted((k, t, 0.0 if v is None or v != v else v) for k, t, v in rows if None not in (k, t))
+        for k, t, v in rows:
+            if k in held and t - held[k][1] > idle:
+                told.append((k, "closed", *held.pop(k)))
+            begun, ended, n, value = held.get(k, (t, t, 0, 0.0))
+            held[k] = (min(begun, t), max(ended, t), n + 1, value + v)
+        told += [(k, "running", *held[k]) for k in {k for k, _, _ in rows}]
+        latest = max([latest, *[t for _, t, _ in rows]])
+        told += [(k, "closed", *held.pop(k)) for k in list(held) if held[k][1] + idle < latest - late]
+    return told
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 1024])
+def test_keys_of_a_bucket_keep_runs_of_their_own(spark, buckets):
+    rng = random.Random(buckets)
+    key = lambda: rng.choice([0, 0, 0, 0, None, *range(-20, 20)])
+    loads, latest = [], 30
+    for _ in range(3):  # rows up to 30 minutes behind the latest of the load before
+        loads.append([(key(), rng.choice([None, *range(latest - 30, latest + 200)]), rng.choice([None, 0.25, 2.0, float("nan")])) for _ in range(120)])
+        latest = max(t for k, t, _ in loads[-1] if None not in (k, t))
+    loads.append([(99, latest + 500, 1.0)])
+    flow = incremental.Incremental(spark, arrivals(spark, loads[0]).schema, lambda e: incremental.engagement(e, "k", "t", "v", 60 * 60_000, "31 minutes", buckets))
+    for rows in loads:
+        flow.load(arrivals(spark, rows))
+    minute = lambda at: int((at - START).total_seconds()) // 60
+    got = sorted((r.key, r.state, minute(r.begun), minute(r.ended), r.rows, r.value) for r in flow.log().collect())
+    want = plain_engagement(loads, 60, 31)
+    assert got == sorted(want) and sum(r[1] == "closed" for r in want) > 40
+
+
+def test_engagement_of_many_keys_shares_state_and_timers(spark):
+    rows = arrivals(spark, [(k, k % 50, 1.0) for k in range(5000)])
+    flow = incremental.Incremental(spark, rows.schema, lambda e: incremental.engagement(e, "k", "t", "v", 60 * 60_000, "1 minute"))
+    flow.load(rows)
+    assert flow.log().where("state = 'running'").select("key").distinct().count() == 5000
+    # with a state a key, 5,000 and as many calls of Python
+    assert max(o["numRowsTotal"] for p in flow.progress for o in p["stateOperators"]) < 2500
+
+
 def test_a_batch_that_runs_again_replaces_its_rows(spark):
     rows = arrivals(spark, [(1, 0, 1.0)])
     flow = incremental.Incremental(spark, rows.schema, lambda e: incremental.event_windows(e, "t", "1 hour", aggregates=[F.count("*").alias("n")]), "update")
