@@ -412,3 +412,30 @@ def test_only_labelled_candidates_are_built_for_resampling(spark, monkeypatch):
     registry.impact_bootstrap(spark, "/root/testdata/sf0.001")
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert sum("o_custkey" in line for line in plan.splitlines() if "Filter" in line and "CAND_" in line) >= 2
+
+
+def test_texts_meet_customers_after_all_shuffles(spark):
+    from fitrank.plans import candidate_view
+
+    plan = candidate_view.candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in (top := next(line for line in plan.splitlines() if "Join" in line)) and "doc_id" in top
+
+
+def test_reports_take_one_pass_over_the_pool(spark, monkeypatch):
+    from fitrank.operators import audit
+    from fitrank.plans import registry
+
+    sf, real, asked = "/root/testdata/sf0.001", registry.candidates, []
+    semantic = pipeline.semantic_scores(registry._vectors(spark, sf), registry._probes(spark, sf))
+    rows = registry._classes_and_both_scores(spark, sf, semantic)
+    pool = real(spark, sf)
+    for name, vectors in (("plain", None), ("both", semantic)):
+        assert sorted(map(str, rows.where(name).select("candidate_id", "score").collect())) == sorted(map(str, ranking.score(pool, registry.PROFILE, vectors).select("candidate_id", "score").collect()))
+    assert rows.where("not plain").count()
+    covered = audit.coverage_counts(rows.where("plain").select("covered.*"), registry.PROFILE)
+    assert sorted(map(str, covered.collect())) == sorted(map(str, audit.lexicon_coverage(pool, registry.PROFILE).collect()))
+    monkeypatch.setattr(registry, "SUPERSET", 20)
+    monkeypatch.setattr(registry, "bootstrap_ci", lambda spark, sf_dir: spark.range(1))
+    monkeypatch.setattr(registry, "candidates", lambda *a, **k: asked.append(k) or real(*a, **k))
+    assert registry.reports(spark, sf).count()
+    assert [k.get("among") is None for k in asked] == [True, False] and asked[1]["among"].count() == 20
